@@ -1,0 +1,3 @@
+"""Nothing streams in these analyses: every input is a whole table and every result is a
+batch DataFrame. The package keeps this module so that the layout is uniform; no streaming
+operator is provided because none is part of the feature set."""
