@@ -19,7 +19,7 @@ SELECT o.o_orderkey AS order_id, l.l_linenumber AS line_number, l.l_partkey AS p
        s.s_acctbal AS seller_balance, o.o_totalprice AS order_total,
        s.s_nationkey AS zip_code_prefix_x, c.c_nationkey AS zip_code_prefix_y,
        n.n_name AS customer_state, n.n_name AS geolocation_state,
-       n.n_nationkey * 1.5 - 20 AS geolocation_lat, n.n_nationkey * 2.0 - 60 AS geolocation_lng,
+       n.n_nationkey * CAST(1.5 AS DOUBLE) - 20 AS geolocation_lat, n.n_nationkey * CAST(2.0 AS DOUBLE) - 60 AS geolocation_lng,
        c.c_acctbal AS customer_balance, c.c_mktsegment AS market_segment
 FROM lineitem l
 JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -49,13 +49,182 @@ def with_fact(body: str, extra: str = "") -> str:
     return "WITH " + ",\n".join(ctes) + "\n" + body
 
 
-SQL: dict[str, str] = {}
+GAPS = """
+SELECT *,
+  CASE WHEN (order_id % 90) % 9 < 2 THEN NULL ELSE order_status END AS lead_behaviour_profile,
+  CASE WHEN (order_id % 90) % 10 < 6 THEN NULL ELSE price * 0.1 END AS declared_monthly_revenue,
+  CASE WHEN order_id % 50 = 0 THEN NULL ELSE order_purchase_timestamp END AS shipping_limit_date
+FROM fact_raw
+"""
+
+FACT_RAW_COLUMNS = (
+    "customer_id", "order_id", "line_number", "product_id", "seller_id",
+    "order_purchase_timestamp", "order_status", "order_priority", "price", "payment_value",
+    "freight_value", "product_weight_g", "product_category_name", "product_type", "discount",
+    "tax", "retail_price", "seller_balance", "order_total", "zip_code_prefix_x",
+    "customer_unique_id", "zip_code_prefix_y", "customer_state", "geolocation_state",
+    "geolocation_lat", "geolocation_lng", "customer_balance", "market_segment")
+GAP_COLUMNS = ("lead_behaviour_profile", "declared_monthly_revenue", "shipping_limit_date")
+
+ROW_KEYS = "order_id, line_number, product_id, seller_id"
+NUMERIC = ("price", "payment_value", "freight_value", "product_weight_g", "discount", "tax",
+           "retail_price", "seller_balance", "order_total", "customer_balance",
+           "geolocation_lat", "geolocation_lng")
+PROFILE_STRINGS = ("customer_state", "product_category_name", "product_type", "order_status",
+                   "order_priority", "market_segment")
+
+
+def ts_text(c: str) -> str:
+    return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
+
+
+def bucket(keys: str = ROW_KEYS, salt: str = "", n: int = 100) -> str:
+    text = f"concat_ws('|', {keys})"
+    if salt:
+        text = f"'{salt}' || {text}"
+    return f"(('0x' || substr(md5({text}), 1, 8))::BIGINT % {n})"
 
 
 def register(name: str, sql: str) -> None:
     SQL[name] = sql
 
 
+SQL: dict[str, str] = {}
+
+# --- sources, joins, cleaning -------------------------------------------------------------
+
+register("denormalize_facts", with_fact(f"""
+SELECT {ROW_KEYS}, customer_unique_id,
+       CAST(CAST(order_purchase_timestamp AS DATE) AS VARCHAR) AS purchase_date,
+       price, payment_value, freight_value, product_weight_g,
+       product_category_name, customer_state, zip_code_prefix_x, zip_code_prefix_y
+FROM fact_raw"""))
+
+register("zip_fanout_counts", """
+SELECT n.n_name AS state, count(DISTINCT s.s_suppkey) AS sellers,
+       count(DISTINCT c.c_custkey) AS customers, count(*) AS pairs
+FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey
+JOIN nation n ON n.n_nationkey = s.s_nationkey
+GROUP BY n.n_name""")
+
+register("category_lookup_join", with_fact("""
+SELECT t.product_category_name_english AS category, count(*) AS n,
+       round(sum(f.price), 2) AS total_price
+FROM fact f JOIN translation t USING (product_category_name)
+GROUP BY 1"""))
+
+
+def _clean_select() -> str:
+    cols = []
+    for c in FACT_RAW_COLUMNS + GAP_COLUMNS:
+        if c in ("zip_code_prefix_x", "declared_monthly_revenue"):
+            continue  # dropped: suffix _x / more than half null
+        name = "zip_code_prefix" if c == "zip_code_prefix_y" else c
+        if c in ("order_purchase_timestamp", "shipping_limit_date"):
+            cols.append(f"{ts_text(c)} AS {name}")
+        elif c == "lead_behaviour_profile":
+            cols.append(f"coalesce({c}, (SELECT v FROM mode)) AS {name}")
+        else:
+            cols.append(f"{c} AS {name}")
+    return ",\n       ".join(cols)
+
+
+register("clean_columns_rows", with_fact(f"""
+SELECT {_clean_select()}
+FROM kept""", extra=f"""gaps AS ({GAPS}),
+kept AS (SELECT * FROM gaps WHERE shipping_limit_date IS NOT NULL),
+mode AS (SELECT lead_behaviour_profile AS v FROM kept WHERE lead_behaviour_profile IS NOT NULL
+         GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)"""))
+
+register("null_fractions", with_fact("\nUNION ALL\n".join(
+    f"SELECT '{c}' AS column, round(avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END), 6) "
+    f"AS null_fraction FROM gaps" for c in FACT_RAW_COLUMNS + GAP_COLUMNS),
+    extra=f"gaps AS MATERIALIZED ({GAPS})"))
+
+# --- profiling ----------------------------------------------------------------------------
+
+register("column_profile", with_fact("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS column, count({c}) AS n, count(*) - count({c}) AS n_null,
+       round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_pct,
+       count(DISTINCT {c}) AS n_distinct, round(avg({c}), 4) AS mean,
+       round(stddev_samp({c}), 4) AS std, round(min({c}), 4) AS min, round(max({c}), 4) AS max,
+       round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50,
+       round(quantile_cont({c}, 0.75), 4) AS p75
+FROM f""" for c in NUMERIC), extra="f AS MATERIALIZED (SELECT * FROM fact)"))
+
+register("top_values", with_fact(f"""
+SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT "column", value, n,
+         row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value) AS rank
+  FROM ({' UNION ALL '.join(
+      f"SELECT '{c}' AS \"column\", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM f "
+      f"WHERE {c} IS NOT NULL GROUP BY 2" for c in PROFILE_STRINGS)})
+) WHERE rank <= 5""", extra="f AS MATERIALIZED (SELECT * FROM fact)"))
+
+
+def _describe(col: str, src: str, by: str | None = None) -> str:
+    keys = f"{by}, " if by else ""
+    where = f"WHERE {by} IS NOT NULL" if by else ""
+    group = f"GROUP BY {by}" if by else ""
+    return f"""
+SELECT {keys}count({col}) AS count, round(avg({col}), 4) AS mean,
+       round(stddev_samp({col}), 4) AS std, round(min({col}), 4) AS min,
+       round(quantile_cont({col}, 0.25), 4) AS p25, round(quantile_cont({col}, 0.5), 4) AS p50,
+       round(quantile_cont({col}, 0.75), 4) AS p75, round(max({col}), 4) AS max
+FROM {src} {where} {group}"""
+
+
+register("describe_price", with_fact(_describe("price", "fact")))
+register("describe_by_segment", with_fact(_describe("payment_value", "fact", "market_segment")))
+
+register("price_histogram", with_fact("""
+SELECT bin, round(mn + bin * ((mx - mn) / 10.0), 4) AS lo,
+       round(mn + (bin + 1) * ((mx - mn) / 10.0), 4) AS hi, count(*) AS n
+FROM (
+  SELECT CAST(CASE WHEN (b.mx - b.mn) / 10.0 > 0
+                   THEN least(floor((f.price - b.mn) / ((b.mx - b.mn) / 10.0)), 9) ELSE 0 END
+              AS INTEGER) AS bin, b.mn, b.mx
+  FROM fact f, (SELECT min(price) AS mn, max(price) AS mx FROM fact) b
+  WHERE f.price IS NOT NULL)
+GROUP BY bin, mn, mx"""))
+
+register("fact_summary", with_fact("""
+SELECT CAST(min(CAST(order_purchase_timestamp AS DATE)) AS VARCHAR) AS min_date,
+       CAST(max(CAST(order_purchase_timestamp AS DATE)) AS VARCHAR) AS max_date,
+       count(DISTINCT customer_unique_id) AS unique_customers,
+       round(coalesce(sum(price), 0), 2) AS total_sales
+FROM fact"""))
+
+# --- exploration --------------------------------------------------------------------------
+
+TYPE_CATEGORIES = ("STANDARD", "SMALL", "ECONOMY", "MEDIUM", "PROMO")
+
+register("monthly_category_counts", with_fact("\nUNION ALL\n".join(f"""
+SELECT '{c}' AS category, CAST(month(order_purchase_timestamp) AS INTEGER) AS month,
+       count(*) AS n
+FROM fact
+WHERE year(order_purchase_timestamp) = 1997 AND contains(product_type, '{c}')
+GROUP BY 2""" for c in TYPE_CATEGORIES)))
+
+register("counts_by_state", with_fact("""
+SELECT customer_state AS state, count(customer_unique_id) AS n
+FROM fact WHERE customer_state IS NOT NULL GROUP BY 1"""))
+
+register("state_value_counts", with_fact("""
+SELECT customer_state AS state, count(*) AS n
+FROM fact WHERE customer_state IS NOT NULL GROUP BY 1"""))
+
+register("state_bubbles", with_fact("""
+SELECT customer_state AS state, count(customer_unique_id) AS n,
+       round(avg(geolocation_lat), 4) AS lat, round(avg(geolocation_lng), 4) AS lng,
+       round(count(customer_unique_id) * 20.0, 4) AS radius
+FROM fact WHERE customer_state IS NOT NULL GROUP BY 1"""))
+
+register("best_sellers", with_fact("""
+SELECT product_category_name, round(coalesce(sum(price), 0), 2) AS total
+FROM fact WHERE product_category_name IS NOT NULL
+GROUP BY 1 ORDER BY coalesce(sum(price), 0) DESC, 1 LIMIT 10"""))
+
 register("best_seller_monthly", with_fact("""
 SELECT * FROM (
   PIVOT (
@@ -68,3 +237,358 @@ SELECT * FROM (
   SELECT product_category_name, sum(price) AS total FROM fact
   JOIN translation USING (product_category_name)
   GROUP BY product_category_name ORDER BY total DESC, product_category_name LIMIT 10)"""))
+
+register("orders_per_period", with_fact("""
+SELECT CAST(year(order_purchase_timestamp) AS INTEGER) AS year,
+       CAST(month(order_purchase_timestamp) AS INTEGER) AS month, count(order_id) AS n,
+       CAST(month(order_purchase_timestamp) AS VARCHAR) || '/' ||
+       CAST(year(order_purchase_timestamp) AS VARCHAR) AS period
+FROM fact GROUP BY 1, 2, 4"""))
+
+# --- statistics ---------------------------------------------------------------------------
+
+PERFECT = 1e-12
+
+
+def _pairs_sql(pairs) -> str:
+    aggs, rows = [], []
+    for i, (a, b) in enumerate(pairs):
+        cond = f"FILTER (WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"
+        aggs.append(f"covar_pop({a}, {b}) {cond} AS cov{i}, stddev_pop({a}) {cond} AS sa{i}, "
+                    f"stddev_pop({b}) {cond} AS sb{i}")
+        rows.append(f"SELECT '{a}' AS col_a, '{b}' AS col_b, "
+                    f"cov{i} / nullif(sa{i} * sb{i}, 0) AS corr FROM m")
+    return ("m AS MATERIALIZED (SELECT " + ",\n  ".join(aggs) + " FROM fact),\n"
+            "pairs AS (" + "\nUNION ALL\n".join(rows) + ")")
+
+
+_UPPER = [(NUMERIC[i], NUMERIC[j]) for i in range(len(NUMERIC)) for j in range(i, len(NUMERIC))]
+_MATRIX = """full_m AS (
+  SELECT col_a, col_b, corr FROM pairs
+  UNION ALL SELECT col_b, col_a, corr FROM pairs WHERE col_a <> col_b)"""
+
+register("corr_matrix", with_fact("SELECT col_a, col_b, round(corr, 6) AS corr FROM full_m",
+                                  extra=_pairs_sql(_UPPER) + ",\n" + _MATRIX))
+
+register("corr_pairs", with_fact(f"""
+SELECT col_a, col_b, round(corr, 6) AS corr FROM full_m
+WHERE col_a <> col_b AND corr IS NOT NULL AND corr < 1 - {PERFECT} AND abs(corr) > 0.3""",
+                                 extra=_pairs_sql(_UPPER) + ",\n" + _MATRIX))
+
+register("target_corr", with_fact(f"""
+SELECT col_a AS feature, round(corr, 6) AS corr, round(abs(corr), 6) AS abs_corr FROM pairs
+WHERE abs(corr) > 0.3 AND abs(corr) < 1 - {PERFECT}""",
+                                  extra=_pairs_sql([(c, "price") for c in NUMERIC if c != "price"])))
+
+register("explained_variance_2d", with_fact("""
+SELECT component, round(pct_variance, 4) AS pct_variance, round(cum_pct, 4) AS cum_pct FROM (
+  SELECT 1 AS component, 50.0 * (1 + abs(r)) AS pct_variance, 50.0 * (1 + abs(r)) AS cum_pct FROM c
+  UNION ALL
+  SELECT 2, 50.0 * (1 - abs(r)), 100.0 FROM c)""", extra="""c AS (
+  SELECT covar_pop(price, payment_value) / (stddev_pop(price) * stddev_pop(payment_value)) AS r
+  FROM fact WHERE price IS NOT NULL AND payment_value IS NOT NULL)"""))
+
+# --- sampling and splits ------------------------------------------------------------------
+
+register("sample_exact", with_fact(f"""
+SELECT {ROW_KEYS}, price FROM fact
+ORDER BY md5('s1' || concat_ws('|', {ROW_KEYS})), {ROW_KEYS} LIMIT 1000"""))
+
+register("hash_split_counts", with_fact(f"""
+SELECT CASE WHEN {bucket()} < 20 THEN 'test' ELSE 'train' END AS split, count(*) AS n,
+       round(sum(price), 2) AS total_price
+FROM fact GROUP BY 1"""))
+
+# --- customer value -----------------------------------------------------------------------
+
+MEASURES = """clv AS (SELECT order_id, product_id, order_purchase_timestamp, payment_value, price,
+                customer_unique_id, geolocation_state, line_number, seller_id FROM fact),
+per0 AS MATERIALIZED (
+  SELECT customer_unique_id, max(order_purchase_timestamp) AS last_purchase,
+         count(order_purchase_timestamp) AS frequency,
+         round(coalesce(sum(payment_value), 0), 2) AS revenue, count(*) AS rows
+  FROM clv WHERE customer_unique_id IS NOT NULL GROUP BY 1),
+per AS MATERIALIZED (
+  SELECT p.*, CAST(date_sub('day', p.last_purchase, g.latest) AS INTEGER) AS recency
+  FROM per0 p, (SELECT max(last_purchase) AS latest FROM per0) g)"""
+
+register("customer_recency", with_fact(f"""
+SELECT customer_unique_id, {ts_text('last_purchase')} AS last_purchase, recency FROM per""",
+                                       extra=MEASURES))
+register("customer_frequency", with_fact("SELECT customer_unique_id, frequency FROM per",
+                                         extra=MEASURES))
+register("customer_revenue", with_fact("SELECT customer_unique_id, revenue FROM per",
+                                       extra=MEASURES))
+register("recency_describe", with_fact(_describe("recency", "clv JOIN per USING (customer_unique_id)"),
+                                       extra=MEASURES))
+
+register("event_recency_days", f"""
+WITH per AS (SELECT user_id, max(ts) AS last_ts FROM events WHERE user_id IS NOT NULL GROUP BY 1),
+g AS (SELECT max(last_ts) AS latest FROM per)
+SELECT user_id, {ts_text('last_ts')} AS last_ts,
+       CAST(date_sub('day', last_ts, latest) AS INTEGER) AS recency_days,
+       CAST(date_diff('day', CAST(last_ts AS DATE), CAST(latest AS DATE)) AS INTEGER) AS calendar_days
+FROM per, g""")
+
+
+def kmeans_ctes(p: str, hist: str, k: int, iters: int = 20) -> tuple[list[str], str]:
+    """Lloyd iterations on a (value, weight) CTE as chained materialized CTEs.
+
+    Start: (i + 0.5) / k quantiles of the distinct values. Assignment: value <= midpoint of
+    neighbouring centres goes to the lower one. Empty cluster: centre kept."""
+    probs = ", ".join(f"{(i + 0.5) / k!r}::DOUBLE" for i in range(k))
+    ctes = [f"{p}_q AS MATERIALIZED (SELECT quantile_cont(value, [{probs}]) AS q FROM {hist})",
+            f"{p}_c0 AS MATERIALIZED (SELECT "
+            + ", ".join(f"q[{i + 1}] AS c{i}" for i in range(k)) + f" FROM {p}_q)"]
+    for it in range(1, iters + 1):
+        prev = f"{p}_c{it - 1}"
+        ctes.append(f"{p}_s{it} AS MATERIALIZED (SELECT {assign_case('h.value', 'c', k)} AS cl, "
+                    f"sum(h.weight * h.value) AS sw, sum(h.weight) AS w FROM {hist} h, {prev} c "
+                    f"GROUP BY 1)")
+        ctes.append(f"{p}_c{it} AS MATERIALIZED (SELECT " + ", ".join(
+            f"coalesce((SELECT sw / w FROM {p}_s{it} WHERE cl = {i} AND w > 0), c.c{i}) AS c{i}"
+            for i in range(k)) + f" FROM {prev} c)")
+    return ctes, f"{p}_c{iters}"
+
+
+def assign_case(x: str, c: str, k: int) -> str:
+    if k == 1:
+        return "0"
+    return ("CASE " + " ".join(f"WHEN {x} <= ({c}.c{i} + {c}.c{i + 1}) / 2.0 THEN {i}"
+                               for i in range(k - 1)) + f" ELSE {k - 1} END")
+
+
+def ranked_clusters_ctes(p: str, hist: str, k: int) -> tuple[list[str], str, str]:
+    """k-means chain + the rank map ``{p}_rank(cl, rank)`` by weighted cluster mean."""
+    ctes, final = kmeans_ctes(p, hist, k)
+    ctes.append(f"{p}_rank AS MATERIALIZED (SELECT cl, CAST(row_number() OVER (ORDER BY m, cl) - 1 "
+                f"AS INTEGER) AS rank FROM (SELECT {assign_case('h.value', 'c', k)} AS cl, "
+                f"sum(h.weight * h.value) / sum(h.weight) AS m FROM {hist} h, {final} c GROUP BY 1))")
+    return ctes, final, f"{p}_rank"
+
+
+def _rfm_ctes() -> str:
+    parts = [MEASURES]
+    joins, cols = [], []
+    for m, k in (("recency", 4), ("frequency", 4), ("revenue", 3)):
+        parts.append(f"h_{m} AS MATERIALIZED (SELECT CAST({m} AS DOUBLE) AS value, "
+                     f"CAST(sum(rows) AS DOUBLE) AS weight FROM per GROUP BY 1)")
+        ctes, final, rank = ranked_clusters_ctes(f"k_{m}", f"h_{m}", k)
+        parts += ctes
+        joins.append(f"CROSS JOIN {final} AS f_{m}")
+        cols.append((m, k, final, rank))
+    lab = ", ".join(f"{assign_case(f'CAST(per.{m} AS DOUBLE)', f'f_{m}', k)} AS cl_{m}"
+                    for m, k, _, _ in cols)
+    parts.append(f"labelled AS (SELECT per.*, {lab} FROM per {' '.join(joins)})")
+    rank_joins = " ".join(f"JOIN k_{m}_rank r_{m} ON r_{m}.cl = l.cl_{m}" for m, _, _, _ in cols)
+    parts.append(f"""rfm0 AS (SELECT l.customer_unique_id, l.last_purchase, l.recency, l.frequency,
+       l.revenue, l.rows, r_recency.rank AS recency_cluster, r_frequency.rank AS frequency_cluster,
+       r_revenue.rank AS revenue_cluster FROM labelled l {rank_joins})""")
+    parts.append("""rfm AS MATERIALIZED (SELECT *, recency_cluster + frequency_cluster + revenue_cluster
+       AS overall_score,
+       CASE WHEN recency_cluster + frequency_cluster + revenue_cluster > 3 THEN 'high_value'
+            WHEN recency_cluster + frequency_cluster + revenue_cluster > 1 THEN 'mid_value'
+            ELSE 'low_value' END AS category FROM rfm0)""")
+    return ",\n".join(parts)
+
+
+RFM = _rfm_ctes()
+
+register("rfm_clusters", with_fact("""
+SELECT customer_unique_id, recency, recency_cluster, frequency, frequency_cluster,
+       round(revenue, 2) AS revenue, revenue_cluster, overall_score, category FROM rfm""",
+                                   extra=RFM))
+
+register("rfm_score_means", with_fact("""
+SELECT overall_score, round(sum(recency * rows) / sum(rows), 4) AS recency,
+       round(sum(frequency * rows) / sum(rows), 4) AS frequency,
+       round(sum(revenue * rows) / sum(rows), 4) AS revenue
+FROM rfm GROUP BY 1""", extra=RFM))
+
+register("rfm_categories", with_fact("""
+SELECT category, count(*) AS customers, sum(rows) AS rows FROM rfm GROUP BY 1""", extra=RFM))
+
+register("rfm_scatter_points", with_fact("""
+SELECT category, frequency AS x, round(revenue, 2) AS y, CAST(sum(rows) AS BIGINT) AS n FROM rfm
+WHERE revenue < 4000000 AND frequency < 7000 GROUP BY 1, 2, 3""", extra=RFM))
+
+
+def _window_sql(start: str, end_next: str, with_clv: bool) -> str:
+    clv_col = ", round(r.revenue, 2) AS CLV" if with_clv else ""
+    clv_grp = ", 10" if with_clv else ""
+    return f"""
+SELECT r.customer_unique_id, r.recency, r.recency_cluster, r.frequency, r.frequency_cluster,
+       round(r.revenue, 2) AS revenue, r.revenue_cluster, r.overall_score, r.category{clv_col},
+       count(*) AS rows
+FROM clv c JOIN rfm r USING (customer_unique_id)
+WHERE c.order_purchase_timestamp >= TIMESTAMP '{start}' AND c.order_purchase_timestamp < TIMESTAMP '{end_next}'
+GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9{clv_grp}"""
+
+
+register("window_short", with_fact(_window_sql("1996-10-01", "1997-06-02", False), extra=RFM))
+register("window_long", with_fact(_window_sql("1996-07-01", "1998-08-02", True), extra=RFM))
+
+VALUE = RFM + """,
+wrows AS (SELECT customer_unique_id, count(*) AS n FROM clv
+          WHERE order_purchase_timestamp >= TIMESTAMP '1996-07-01'
+            AND order_purchase_timestamp < TIMESTAMP '1998-08-02'
+            AND customer_unique_id IS NOT NULL GROUP BY 1),
+val AS MATERIALIZED (SELECT r.*, coalesce(r.revenue * w.n, 0.0) AS m14_revenue
+                     FROM rfm r LEFT JOIN wrows w USING (customer_unique_id)),
+p99 AS (SELECT quantile_cont(v.m14_revenue, 0.99) AS q
+        FROM clv c JOIN val v USING (customer_unique_id)),
+trimmed AS MATERIALIZED (SELECT * FROM val WHERE m14_revenue < (SELECT q FROM p99))"""
+
+
+def _value_ctes() -> str:
+    parts = [VALUE, "h_clv AS MATERIALIZED (SELECT m14_revenue AS value, CAST(sum(rows) AS DOUBLE) "
+                    "AS weight FROM trimmed GROUP BY 1)"]
+    ctes, final, rank = ranked_clusters_ctes("k_clv", "h_clv", 3)
+    parts += ctes
+    parts.append(f"""valued AS MATERIALIZED (SELECT t.*, r.rank AS CLV_cluster FROM trimmed t
+       CROSS JOIN {final} f JOIN {rank} r ON r.cl = {assign_case('t.m14_revenue', 'f', 3)})""")
+    return ",\n".join(parts)
+
+
+VALUED = _value_ctes()
+
+register("clv_window_value", with_fact("""
+SELECT customer_unique_id, round(m14_revenue, 2) AS m14_revenue, rows FROM trimmed""",
+                                       extra=VALUE))
+
+register("clv_clusters", with_fact("""
+SELECT CLV_cluster, count(*) AS customers, sum(rows) AS rows,
+       round(sum(m14_revenue * rows) / sum(rows), 2) AS mean, round(min(m14_revenue), 2) AS min,
+       round(max(m14_revenue), 2) AS max
+FROM valued GROUP BY 1""", extra=VALUED))
+
+register("clv_score_points", with_fact("""
+SELECT category, overall_score AS x, round(m14_revenue, 2) AS y, CAST(sum(rows) AS BIGINT) AS n
+FROM valued WHERE m14_revenue < 4000000 GROUP BY 1, 2, 3""", extra=VALUED))
+
+register("clv_one_hot", with_fact("""
+SELECT customer_unique_id, overall_score, round(m14_revenue, 2) AS m14_revenue, CLV_cluster, rows,
+       CAST(category = 'high_value' AS INTEGER) AS category_high_value,
+       CAST(category = 'low_value' AS INTEGER) AS category_low_value,
+       CAST(category = 'mid_value' AS INTEGER) AS category_mid_value
+FROM valued""", extra=VALUED))
+
+_CLV_FEATURES = ("payment_value", "price", "recency", "recency_cluster", "frequency",
+                 "frequency_cluster", "revenue", "revenue_cluster", "overall_score",
+                 "m14_revenue", "CLV_cluster")
+
+
+def _target_pairs_sql(src: str, target: str, feats) -> str:
+    aggs, rows = [], []
+    for i, a in enumerate(feats):
+        cond = f"FILTER (WHERE {a} IS NOT NULL AND {target} IS NOT NULL)"
+        aggs.append(f"covar_pop({a}, {target}) {cond} AS cov{i}, stddev_pop({a}) {cond} AS sa{i}, "
+                    f"stddev_pop({target}) {cond} AS sb{i}")
+        rows.append(f"SELECT '{a}' AS feature, round(cov{i} / nullif(sa{i} * sb{i}, 0), 6) AS corr FROM tm")
+    return (f"tm AS MATERIALIZED (SELECT " + ",\n  ".join(aggs) + f" FROM {src})", "\nUNION ALL\n".join(rows))
+
+
+_tm, _tq = _target_pairs_sql("crows", "CLV_cluster", _CLV_FEATURES)
+register("clv_target_corr", with_fact(_tq, extra=VALUED + """,
+crows AS MATERIALIZED (SELECT c.payment_value, c.price, v.recency, v.recency_cluster, v.frequency,
+       v.frequency_cluster, v.revenue, v.revenue_cluster, v.overall_score, v.m14_revenue,
+       v.CLV_cluster FROM clv c JOIN valued v USING (customer_unique_id)),
+""" + _tm))
+
+# --- scalar functions ---------------------------------------------------------------------
+
+register("text_number_casts", """
+SELECT CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month,
+       TRY_CAST(CASE WHEN o_orderstatus = 'F' THEN '1' ELSE o_orderstatus END AS INTEGER) AS status_num,
+       count(*) AS n
+FROM (SELECT strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS ts,
+             o_orderstatus FROM orders)
+GROUP BY 1, 2, 3""")
+
+# --- models -------------------------------------------------------------------------------
+
+_X = ("payment_value", "freight_value", "product_weight_g")
+
+
+def _det3(m) -> str:
+    return (f"(({m[0][0]}) * (({m[1][1]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][1]}))"
+            f" - ({m[0][1]}) * (({m[1][0]}) * ({m[2][2]}) - ({m[1][2]}) * ({m[2][0]}))"
+            f" + ({m[0][2]}) * (({m[1][0]}) * ({m[2][1]}) - ({m[1][1]}) * ({m[2][0]})))")
+
+
+def _ols_ctes() -> str:
+    a = [[f"a{i}{j}" for j in range(3)] for i in range(3)]
+    b = [f"b{i}" for i in range(3)]
+    aggs = [f"covar_pop({_X[i]}, {_X[j]}) AS a{i}{j}" for i in range(3) for j in range(3)]
+    aggs += [f"covar_pop({_X[i]}, price) AS b{i}" for i in range(3)]
+    aggs += [f"avg({x}) AS m{i}" for i, x in enumerate(_X)] + ["avg(price) AS my"]
+    det = _det3(a)
+    betas = []
+    for k in range(3):
+        mk = [[(b[i] if j == k else a[i][j]) for j in range(3)] for i in range(3)]
+        betas.append(f"{_det3(mk)} / {det} AS beta{k}")
+    return f"""split AS (SELECT {ROW_KEYS}, payment_value, freight_value, product_weight_g, price,
+       CASE WHEN {bucket()} < 20 THEN 'test' ELSE 'train' END AS split FROM fact),
+mom AS MATERIALIZED (SELECT {', '.join(aggs)} FROM split WHERE split = 'train'),
+ols AS MATERIALIZED (SELECT {', '.join(betas)}, * FROM mom),
+coef AS MATERIALIZED (SELECT beta0, beta1, beta2, my - (beta0 * m0 + beta1 * m1 + beta2 * m2) AS intercept FROM ols),
+pred AS (SELECT s.*, (c.beta0 * s.payment_value + c.beta1 * s.freight_value
+                      + c.beta2 * s.product_weight_g) + c.intercept AS prediction
+         FROM split s, coef c)"""
+
+
+OLS = _ols_ctes()
+
+register("price_linear_coefficients", with_fact("""
+SELECT 'intercept' AS term, round(intercept, 4) AS value FROM coef
+UNION ALL SELECT 'payment_value', round(beta0, 4) FROM coef
+UNION ALL SELECT 'freight_value', round(beta1, 4) FROM coef
+UNION ALL SELECT 'product_weight_g', round(beta2, 4) FROM coef""", extra=OLS))
+
+register("price_linear_metrics", with_fact("""
+SELECT split, round(1 - sum((price - prediction) ^ 2) / (var_pop(price) * count(price)), 4) AS r2,
+       round(avg((price - prediction) ^ 2), 0) AS mse, count(*) AS n
+FROM pred GROUP BY 1""", extra=OLS))
+
+register("price_linear_predictions", with_fact("""
+SELECT round(pred_price, 4) AS pred_price, round(price, 4) AS price,
+       round(difference, 4) AS difference, round(pct_error, 4) AS pct_error FROM (
+  SELECT DISTINCT pred_price, price, price - pred_price AS difference,
+         100.0 * abs(price - pred_price) / nullif(price, 0) AS pct_error
+  FROM (SELECT round_even(prediction, 2) AS pred_price, price FROM pred))
+ORDER BY price, pred_price LIMIT 100""", extra=OLS))
+
+CLASSIFIED = VALUED + f""",
+crow AS MATERIALIZED (SELECT c.{ROW_KEYS.replace(', ', ', c.')}, v.category, v.CLV_cluster,
+       CASE WHEN {bucket('c.' + ROW_KEYS.replace(', ', ', c.'), salt='56')} < 25 THEN 'test' ELSE 'train' END AS split
+       FROM clv c JOIN valued v USING (customer_unique_id)),
+majority AS (SELECT category, CLV_cluster AS prediction FROM (
+       SELECT category, CLV_cluster, row_number() OVER (PARTITION BY category
+              ORDER BY count(*) DESC, CLV_cluster) AS rn
+       FROM crow WHERE split = 'train' GROUP BY 1, 2) WHERE rn = 1),
+predicted AS (SELECT c.*, m.prediction FROM crow c JOIN majority m USING (category)),
+conf AS (SELECT CAST(CLV_cluster AS INTEGER) AS label, CAST(prediction AS INTEGER) AS prediction,
+       count(*) AS n FROM predicted WHERE split = 'test' GROUP BY 1, 2)"""
+
+register("value_classifier_confusion", with_fact("SELECT * FROM conf", extra=CLASSIFIED))
+
+register("value_classifier_metrics", with_fact("""
+SELECT class, tp, fp, fn, tn, round(recall, 4) AS recall, round(precision, 4) AS precision,
+       round(5.0 * precision * recall / nullif(4.0 * precision + recall, 0), 4) AS f_beta,
+       round(5.0 * precision * recall / nullif(5.0 * precision + recall, 0), 4) AS f_beta_alt
+FROM (
+  SELECT cls AS class, tp, predicted - tp AS fp, actual - tp AS fn,
+         total - actual - predicted + tp AS tn,
+         tp / nullif(actual, 0) AS recall, tp / nullif(predicted, 0) AS precision
+  FROM (
+    SELECT k.cls, coalesce(a.n, 0) AS actual, coalesce(p.n, 0) AS predicted,
+           coalesce(t.n, 0) AS tp, (SELECT sum(n) FROM conf) AS total
+    FROM (SELECT label AS cls FROM conf UNION SELECT prediction FROM conf) k
+    LEFT JOIN (SELECT label AS cls, sum(n) AS n FROM conf GROUP BY 1) a USING (cls)
+    LEFT JOIN (SELECT prediction AS cls, sum(n) AS n FROM conf GROUP BY 1) p USING (cls)
+    LEFT JOIN (SELECT label AS cls, n FROM conf WHERE label = prediction) t USING (cls)))""",
+                                               extra=CLASSIFIED))
+
+register("value_classifier_accuracy", with_fact("""
+SELECT split, round(avg(CASE WHEN CLV_cluster = prediction THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
+       count(*) AS n FROM predicted GROUP BY 1""", extra=CLASSIFIED))

@@ -1,5 +1,8 @@
 """The registered queries: each takes (spark, sf_dir) and returns a DataFrame over the
 whole driver tables. Column names equal those of the DuckDB twins in ``plans.oracle``.
+
+Output conventions (shared with the twins): doubles rounded to 4 digits (2 for money
+totals), timestamps as ``yyyy-MM-dd HH:mm:ss`` text, months/years as int.
 """
 
 from __future__ import annotations
@@ -8,32 +11,464 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType, TimestampType
 
-from shopscope.operators import explore
+from shopscope.functions import hash_bucket, whole_days
+from shopscope.operators import (cleaning, clv, explore, joins, models, profile, rfm,
+                                 sampling, stats)
+from shopscope.operators.cluster import elbow, value_histogram
 from shopscope.sources import standins
+from shopscope.sources.tables import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+# Fixed parameters of the analyses (the same values appear in the SQL twins).
+ROW_KEYS = ("order_id", "line_number", "product_id", "seller_id")
+NUMERIC = ("price", "payment_value", "freight_value", "product_weight_g", "discount", "tax",
+           "retail_price", "seller_balance", "order_total", "customer_balance",
+           "geolocation_lat", "geolocation_lng")
+PRICE_FEATURES = ("payment_value", "freight_value", "product_weight_g")
+TYPE_CATEGORIES = ("STANDARD", "SMALL", "ECONOMY", "MEDIUM", "PROMO")
+SERIES_YEAR = 1997
+SHORT_WINDOW = ("1996-10-01", "1997-06-01")
+LONG_WINDOW = ("1996-07-01", "1998-08-01")
+PROFILE_STRINGS = ("customer_state", "product_category_name", "product_type", "order_status",
+                   "order_priority", "market_segment")
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
     return fn
 
 
-def _round_doubles(df: DataFrame, digits: int = 4, skip: tuple[str, ...] = ()) -> DataFrame:
+def finish(df: DataFrame, digits: int | None = 4, money: tuple[str, ...] = (),
+           money_digits: int = 2) -> DataFrame:
+    """Round doubles (``money`` columns to ``money_digits``; none when ``digits`` is None:
+    row-level values are computed identically by both engines), timestamps to text."""
     out = []
     for f in df.schema.fields:
-        if f.dataType.typeName() in ("double", "float") and f.name not in skip:
-            out.append(F.round(F.col(f"`{f.name}`"), digits).alias(f.name))
+        c = F.col(f"`{f.name}`")
+        t = f.dataType.typeName()
+        if t in ("double", "float") and digits is not None:
+            out.append(F.round(c, money_digits if f.name in money else digits).alias(f.name))
+        elif isinstance(f.dataType, (TimestampNTZType, TimestampType)):
+            out.append(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(f.name))
         else:
-            out.append(F.col(f"`{f.name}`"))
+            out.append(c)
     return df.select(*out)
 
 
+def _fact(spark: SparkSession, sf: str) -> DataFrame:
+    return standins.fact_table(spark, sf)
+
+
+def _clv_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return _fact(spark, sf).select(*rfm.CLV_COLUMNS, "line_number", "seller_id")
+
+
+def _rfm(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(clv rows, per-customer measures with ranked clusters, score and class)."""
+    base = _clv_rows(spark, sf)
+    return base, rfm.rfm_clusters(rfm.customer_measures(base))
+
+
+def _clv_value(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """(clv rows, customers under the p99 window value with their value cluster)."""
+    base, per = _rfm(spark, sf)
+    val = clv.window_value(base, per, *LONG_WINDOW)
+    return base, clv.value_clusters(clv.trim_upper(val, "m14_revenue", 0.99))
+
+
+# --- sources, joins, cleaning -------------------------------------------------------------
+
+@query
+def denormalize_facts(spark, sf):
+    f = standins.fact_raw(spark, sf)
+    return finish(f.select(*ROW_KEYS, "customer_unique_id",
+                           F.to_date("order_purchase_timestamp").cast("string").alias("purchase_date"),
+                           "price", "payment_value", "freight_value", "product_weight_g",
+                           "product_category_name", "customer_state", "zip_code_prefix_x",
+                           "zip_code_prefix_y"), digits=None)
+
+
+@query
+def zip_fanout_counts(spark, sf):
+    s = read_table(spark, sf, "supplier")
+    c = read_table(spark, sf, "customer")
+    n = read_table(spark, sf, "nation")
+    pairs = joins.fanout_pair_counts(s, c, "s_nationkey", "c_nationkey", "zip")
+    return (pairs.join(F.broadcast(n), pairs.zip == n.n_nationkey)  # nation: 25 rows
+            .select(F.col("n_name").alias("state"), F.col("n_left").alias("sellers"),
+                    F.col("n_right").alias("customers"), F.col("n_pairs").alias("pairs")))
+
+
+@query
+def category_lookup_join(spark, sf):
+    named = joins.lookup_join(_fact(spark, sf), standins.category_translation(spark, sf),
+                              "product_category_name")
+    out = (named.groupBy(F.col("product_category_name_english").alias("category"))
+           .agg(F.count(F.lit(1)).alias("n"), F.sum("price").alias("total_price")))
+    return finish(out, money=("total_price",))
+
+
+@query
+def clean_columns_rows(spark, sf):
+    return finish(cleaning.clean(standins.fact_with_gaps(spark, sf)), digits=None)
+
+
+@query
+def null_fractions(spark, sf):
+    t = cleaning.null_fraction_table(standins.fact_with_gaps(spark, sf))
+    return t.select("column", F.round("null_fraction", 6).alias("null_fraction"))
+
+
+# --- profiling ----------------------------------------------------------------------------
+
+@query
+def column_profile(spark, sf):
+    return finish(profile.profile(_fact(spark, sf), list(NUMERIC)))
+
+
+@query
+def top_values(spark, sf):
+    return profile.top_values(_fact(spark, sf), list(PROFILE_STRINGS), k=5) \
+        .withColumn("rank", F.col("rank").cast("int"))
+
+
+@query
+def describe_price(spark, sf):
+    return finish(profile.describe(_fact(spark, sf), "price"))
+
+
+@query
+def describe_by_segment(spark, sf):
+    return finish(profile.describe_by(_fact(spark, sf), "payment_value", "market_segment"))
+
+
+@query
+def price_histogram(spark, sf):
+    return finish(profile.histogram(_fact(spark, sf), "price", bins=10))
+
+
+@query
+def fact_summary(spark, sf):
+    s = rfm.summary(rfm.clv_base(_fact(spark, sf)))
+    return finish(s.select(F.col("min_date").cast("string").alias("min_date"),
+                           F.col("max_date").cast("string").alias("max_date"),
+                           "unique_customers", "total_sales"), money=("total_sales",))
+
+
+# --- exploration --------------------------------------------------------------------------
+
+@query
+def monthly_category_counts(spark, sf):
+    out = explore.monthly_category_counts(_fact(spark, sf), TYPE_CATEGORIES, SERIES_YEAR,
+                                          category_col="product_type")
+    return out.withColumn("month", F.col("month").cast("int"))
+
+
+@query
+def counts_by_state(spark, sf):
+    return explore.counts_by_state(_fact(spark, sf))
+
+
+@query
+def state_value_counts(spark, sf):
+    return explore.value_counts(_fact(spark, sf), "customer_state") \
+        .withColumnRenamed("customer_state", "state")
+
+
+@query
+def state_bubbles(spark, sf):
+    return finish(explore.state_bubbles(_fact(spark, sf), scale=20.0))
+
+
+@query
+def best_sellers(spark, sf):
+    return finish(explore.best_sellers(_fact(spark, sf), 10), money=("total",))
+
+
+@query
+def best_seller_monthly(spark, sf):
+    out = explore.best_seller_monthly(_fact(spark, sf), standins.category_translation(spark, sf))
+    return finish(out.withColumn("month", F.col("month").cast("int")), digits=2)
+
+
+@query
+def orders_per_period(spark, sf):
+    return explore.orders_per_period(_fact(spark, sf)) \
+        .select(F.col("year").cast("int").alias("year"), F.col("month").cast("int").alias("month"),
+                "n", "period")
+
+
+# --- statistics ---------------------------------------------------------------------------
+
+@query
+def corr_matrix(spark, sf):
+    m = stats.corr_matrix(_fact(spark, sf), list(NUMERIC))
+    return m.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+
+
+@query
+def corr_pairs(spark, sf):
+    m = stats.corr_pairs(_fact(spark, sf), list(NUMERIC), 0.3)
+    return m.select("col_a", "col_b", F.round("corr", 6).alias("corr"))
+
+
+@query
+def target_corr(spark, sf):
+    t = stats.target_corr(_fact(spark, sf), "price", [c for c in NUMERIC if c != "price"], 0.3)
+    return t.select("feature", F.round("corr", 6).alias("corr"), F.round("abs_corr", 6).alias("abs_corr"))
+
+
+@query
+def explained_variance(spark, sf):
+    return finish(stats.explained_variance(_fact(spark, sf), list(NUMERIC)))
+
+
+@query
+def explained_variance_2d(spark, sf):
+    return finish(stats.explained_variance(_fact(spark, sf), ["price", "payment_value"]))
+
+
+@query
+def tree_importance(spark, sf):
+    return finish(stats.tree_importance(_fact(spark, sf), "order_status", list(NUMERIC)))
+
+
+# --- sampling and splits ------------------------------------------------------------------
+
+@query
+def sample_exact(spark, sf):
+    s = sampling.sample_n(_fact(spark, sf), 1000, list(ROW_KEYS), salt="s1")
+    return s.select(*ROW_KEYS, "price")
+
+
+@query
+def hash_split_counts(spark, sf):
+    s = sampling.hash_split(_fact(spark, sf), list(ROW_KEYS), 0.2)
+    return finish(s.groupBy("split").agg(F.count(F.lit(1)).alias("n"),
+                                         F.sum("price").alias("total_price")),
+                  money=("total_price",))
+
+
+# --- customer value: measures -------------------------------------------------------------
+
+def _measures(spark, sf):
+    return rfm.customer_measures(_clv_rows(spark, sf))
+
+
+@query
+def customer_recency(spark, sf):
+    m = _measures(spark, sf)
+    return finish(m.select("customer_unique_id", "last_purchase", "recency"))
+
+
+@query
+def customer_frequency(spark, sf):
+    return _measures(spark, sf).select("customer_unique_id", "frequency")
+
+
+@query
+def customer_revenue(spark, sf):
+    return finish(_measures(spark, sf).select("customer_unique_id", "revenue"), digits=2)
+
+
+@query
+def recency_describe(spark, sf):
+    base = _clv_rows(spark, sf)
+    rows = rfm.attach_to_rows(base, rfm.customer_measures(base))
+    return finish(profile.describe(rows, "recency"))
+
+
+@query
+def event_recency_days(spark, sf):
+    ev = read_table(spark, sf, "events")
+    per = ev.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.max("ts").alias("last_ts"))
+    latest = per.agg(F.max("last_ts").alias("__latest"))
+    out = (per.crossJoin(F.broadcast(latest))  # one row
+           .select("user_id", "last_ts",
+                   whole_days("last_ts", "__latest").cast("int").alias("recency_days"),
+                   F.datediff(F.to_date("__latest"), F.to_date("last_ts")).alias("calendar_days")))
+    return finish(out)
+
+
+# --- customer value: clusters -------------------------------------------------------------
+
+@query
+def elbow_curve(spark, sf):
+    per = _measures(spark, sf)
+    return finish(elbow(value_histogram(per, "recency", "rows"), range(1, 8)), digits=2)
+
+
+@query
+def rfm_clusters(spark, sf):
+    _, per = _rfm(spark, sf)
+    return finish(per.select("customer_unique_id", "recency", "recency_cluster", "frequency",
+                             "frequency_cluster", "revenue", "revenue_cluster", "overall_score",
+                             "category"), digits=2)
+
+
+@query
+def rfm_score_means(spark, sf):
+    _, per = _rfm(spark, sf)
+    return finish(rfm.score_means(per))
+
+
+@query
+def rfm_categories(spark, sf):
+    _, per = _rfm(spark, sf)
+    return per.groupBy("category").agg(F.count(F.lit(1)).alias("customers"),
+                                       F.sum("rows").alias("rows"))
+
+
+@query
+def rfm_scatter_points(spark, sf):
+    _, per = _rfm(spark, sf)
+    pts = rfm.scatter(per, "frequency", "revenue", {"revenue": 4000000, "frequency": 7000})
+    return finish(pts, digits=2)
+
+
+@query
+def window_short(spark, sf):
+    base, per = _rfm(spark, sf)
+    rows = rfm.attach_to_rows(base, per)
+    return finish(clv.window_customers(rows, *SHORT_WINDOW), digits=2)
+
+
+@query
+def window_long(spark, sf):
+    base, per = _rfm(spark, sf)
+    rows = rfm.attach_to_rows(base, per)
+    return finish(clv.window_customers(rows, *LONG_WINDOW, with_clv=True), digits=2)
+
+
+@query
+def clv_window_value(spark, sf):
+    base, per = _rfm(spark, sf)
+    val = clv.window_value(base, per, *LONG_WINDOW)
+    return finish(clv.trim_upper(val, "m14_revenue", 0.99)
+                  .select("customer_unique_id", "m14_revenue", "rows"), digits=2)
+
+
+@query
+def clv_clusters(spark, sf):
+    _, v = _clv_value(spark, sf)
+    out = v.groupBy("CLV_cluster").agg(
+        F.count(F.lit(1)).alias("customers"), F.sum("rows").alias("rows"),
+        (F.sum(F.col("m14_revenue") * F.col("rows")) / F.sum("rows")).alias("mean"),
+        F.min("m14_revenue").alias("min"), F.max("m14_revenue").alias("max"))
+    return finish(out, digits=2)
+
+
+@query
+def clv_score_points(spark, sf):
+    _, v = _clv_value(spark, sf)
+    return finish(rfm.scatter(v, "overall_score", "m14_revenue", {"m14_revenue": 4000000}), digits=2)
+
+
+@query
+def clv_one_hot(spark, sf):
+    _, v = _clv_value(spark, sf)
+    oh = clv.one_hot_classes(v.select("customer_unique_id", "overall_score", "m14_revenue",
+                                      "CLV_cluster", "category", "rows"), drop=())
+    return finish(oh, digits=2)
+
+
+@query
+def clv_target_corr(spark, sf):
+    base, v = _clv_value(spark, sf)
+    rows = base.join(v.drop("rows", "last_purchase"), "customer_unique_id")
+    feats = ["payment_value", "price", "recency", "recency_cluster", "frequency",
+             "frequency_cluster", "revenue", "revenue_cluster", "overall_score", "m14_revenue",
+             "CLV_cluster"]
+    t = stats.target_corr(rows, "CLV_cluster", feats, None)
+    return t.select("feature", F.round("corr", 6).alias("corr"))
+
+
+# --- scalar functions ---------------------------------------------------------------------
+
+@query
+def text_number_casts(spark, sf):
+    o = read_table(spark, sf, "orders")
+    text = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    ts = F.to_timestamp_ntz(text, F.lit("yyyy-MM-dd HH:mm:ss"))
+    status = F.when(F.col("o_orderstatus") == "F", F.lit("1")).otherwise(F.col("o_orderstatus"))
+    t = o.select(F.year(ts).cast("int").alias("year"), F.month(ts).cast("int").alias("month"),
+                 status.try_cast("int").alias("status_num"))
+    return t.groupBy("year", "month", "status_num").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --- models -------------------------------------------------------------------------------
+
+def _price_split(spark, sf):
+    s = sampling.hash_split(_fact(spark, sf), list(ROW_KEYS), 0.2)
+    return s.select(*ROW_KEYS, *PRICE_FEATURES, "price", "split")
+
+
+@query
+def price_linear_coefficients(spark, sf):
+    s = _price_split(spark, sf)
+    m = models.fit_linear(s.where(F.col("split") == "train"), PRICE_FEATURES, "price")
+    return finish(models.linear_coefficients(m, PRICE_FEATURES))
+
+
+@query
+def price_linear_metrics(spark, sf):
+    s = _price_split(spark, sf)
+    m = models.fit_linear(s.where(F.col("split") == "train"), PRICE_FEATURES, "price")
+    pred = models.predict(m, s, PRICE_FEATURES)
+    met = models.regression_metrics(pred, "price", by="split")
+    return met.select("split", F.round("r2", 4).alias("r2"), F.round("mse", 0).alias("mse"), "n")
+
+
+@query
+def price_linear_predictions(spark, sf):
+    s = _price_split(spark, sf)
+    m = models.fit_linear(s.where(F.col("split") == "train"), PRICE_FEATURES, "price")
+    return finish(models.prediction_table(models.predict(m, s, PRICE_FEATURES)), digits=4)
+
+
+@query
+def price_gbt_metrics(spark, sf):
+    s = _price_split(spark, sf).cache()
+    m = models.fit_gbt_regressor(s.where(F.col("split") == "train"), PRICE_FEATURES, "price",
+                                 max_iter=20)
+    met = models.regression_metrics(models.predict(m, s, PRICE_FEATURES), "price", by="split")
+    return met.select("split", F.round("r2", 4).alias("r2"), F.round("mse", 0).alias("mse"), "n")
+
+
+CLASS_FEATURES = ("category_low_value", "category_mid_value", "category_high_value")
+
+
+def _classified(spark, sf):
+    base, v = _clv_value(spark, sf)
+    rows = base.select(*ROW_KEYS, "customer_unique_id").join(
+        v.select("customer_unique_id", "category", "CLV_cluster"), "customer_unique_id")
+    rows = clv.one_hot_classes(rows, drop=())
+    rows = rows.withColumn("split", F.when(hash_bucket(*ROW_KEYS, buckets=100, salt="56") < 25,
+                                           F.lit("test")).otherwise(F.lit("train")))
+    model = models.fit_value_classifier(rows.where(F.col("split") == "train"), CLASS_FEATURES,
+                                        "CLV_cluster", max_iter=20)
+    return models.classify(model, rows, CLASS_FEATURES)
+
+
+@query
+def value_classifier_confusion(spark, sf):
+    pred = _classified(spark, sf)
+    return models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster")
+
+
+@query
+def value_classifier_metrics(spark, sf):
+    pred = _classified(spark, sf).cache()
+    conf = models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster")
+    per = models.per_class_metrics(conf, beta=2.0)
+    return finish(per.withColumn("class", F.col("class").cast("int")))
+
+
 @query
-def best_seller_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fact = standins.fact_table(spark, sf_dir)
-    tr = standins.category_translation(spark, sf_dir)
-    out = explore.best_seller_monthly(fact, tr, k=10)
-    return _round_doubles(out.withColumn("month", F.col("month").cast("int")), 2)
+def value_classifier_accuracy(spark, sf):
+    pred = _classified(spark, sf)
+    return finish(models.accuracy(pred, "CLV_cluster", by="split"))
