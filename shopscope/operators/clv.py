@@ -40,37 +40,32 @@ def window_rows(rows: DataFrame, start: str, end: str, ts_col: str = "order_purc
     return out.withColumn("CLV", F.col("revenue")) if with_clv else out
 
 
-def window_customers(rows: DataFrame, start: str, end: str,
-                     ts_col: str = "order_purchase_timestamp", with_clv: bool = False) -> DataFrame:
-    """The window's rows collapsed per customer (all columns are per-customer values)
-    with ``rows`` = the customer's rows in the window."""
-    w = window_rows(rows, start, end, ts_col, with_clv)
-    keys = list(w.columns)
-    return w.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"))
-
-
-def window_value(base: DataFrame, per_customer: DataFrame, start: str, end: str,
-                 measure: str = "revenue", ts_col: str = "order_purchase_timestamp",
-                 customer_col: str = "customer_unique_id", value_col: str = "payment_value",
+def window_customers(per_customer: DataFrame, window: str, with_clv: bool = False) -> DataFrame:
+    """The window's detail rows collapsed per customer, from the per-customer table's
+    ``rows_{window}`` count: the customer-value columns, optional ``CLV`` (= revenue) and
+    ``rows`` = the customer's rows in the window. No rescan of the detail rows."""
+    cols = [F.col(c) for c in WINDOW_COLUMNS]
+    if with_clv:
+        cols.append(F.col("revenue").alias("CLV"))
+    return (per_customer.where(F.col(f"rows_{window}") > 0)
+            .select(*cols, F.col(f"rows_{window}").alias("rows")))
+
+
+def window_value(per_customer: DataFrame, window: str, measure: str = "revenue",
                  name: str = "m14_revenue") -> DataFrame:
-    """Per customer: value in the window (0 when the customer has no row there) and rows.
+    """Per customer: value in the window (0 when the customer has no row there).
 
     ``measure="revenue"`` sums the customer's total revenue once per window row (the
-    original definition); ``measure="payment_value"`` sums the payments in the window.
+    original definition: revenue x rows in the window); ``measure="payment_value"`` sums
+    the payments inside the window.
     """
-    win = base.where(in_window(ts_col, start, end) & F.col(customer_col).isNotNull())
     if measure == "revenue":
-        per_win = win.groupBy(customer_col).agg(F.count(F.lit(1)).alias("__wrows"))
-        val = F.col("revenue") * F.col("__wrows")
-        joined = per_customer.join(per_win, customer_col, "left")
+        val = F.col("revenue") * F.col(f"rows_{window}")
     elif measure == "payment_value":
-        per_win = win.groupBy(customer_col).agg(F.sum(value_col).alias("__wsum"))
-        val = F.col("__wsum")
-        joined = per_customer.join(per_win, customer_col, "left")
+        val = F.col(f"paid_{window}")
     else:
         raise ValueError(measure)
-    return joined.select("*", F.coalesce(val, F.lit(0.0)).alias(name)) \
-        .drop("__wrows", "__wsum")
+    return per_customer.withColumn(name, F.coalesce(val, F.lit(0.0)))
 
 
 def trim_upper(df: DataFrame, column: str, q: float = 0.99, weight_col: str | None = "rows") -> DataFrame:

@@ -38,27 +38,39 @@ def summary(base: DataFrame, ts_col: str = "order_purchase_timestamp",
 def customer_measures(base: DataFrame, customer_col: str = "customer_unique_id",
                       ts_col: str = "order_purchase_timestamp", value_col: str = "payment_value",
                       distinct_orders: bool = False, order_col: str = "order_id",
-                      revenue_digits: int | None = 2) -> DataFrame:
-    """Per customer: ``last_purchase, recency, frequency, revenue, rows``.
+                      revenue_digits: int | None = 2,
+                      windows: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Per customer: ``last_purchase, recency, frequency, revenue, rows`` and, for each named
+    date window, ``rows_{name}`` (rows inside it) and ``paid_{name}`` (payments inside it).
 
     * recency: whole days from the customer's last purchase to the latest purchase of all,
     * frequency: rows with a purchase time (``distinct_orders`` counts orders instead),
     * revenue: sum of ``value_col`` (0 when all null), rounded to ``revenue_digits``,
     * rows: the customer's row count (the weight of the customer in row-level statistics).
-    Rows without a customer are ignored.
+    Rows without a customer are ignored. All of it is one aggregation over the detail rows
+    (partial aggregation before the shuffle), so nothing downstream rescans them.
     """
+    from shopscope.operators.clv import in_window  # the window predicate lives with CLV
+
     freq = F.count_distinct(order_col) if distinct_orders else F.count(ts_col)
     rev = F.coalesce(F.sum(value_col), F.lit(0.0))
     if revenue_digits is not None:
         rev = F.round(rev, revenue_digits)
+    extra = []
+    for name, (start, end) in (windows or {}).items():
+        inside = in_window(ts_col, start, end)
+        extra += [F.count(F.when(inside, F.lit(1))).alias(f"rows_{name}"),
+                  F.coalesce(F.sum(F.when(inside, F.col(value_col))), F.lit(0.0)).alias(f"paid_{name}")]
     per = (base.where(F.col(customer_col).isNotNull()).groupBy(customer_col)
            .agg(F.max(ts_col).alias("last_purchase"), freq.alias("frequency"),
-                rev.alias("revenue"), F.count(F.lit(1)).alias("rows")))
+                rev.alias("revenue"), F.count(F.lit(1)).alias("rows"), *extra))
     latest = per.agg(F.max("last_purchase").alias("__latest"))
+    window_cols = [c for name in (windows or {}) for c in (f"rows_{name}", f"paid_{name}")]
     return (per.crossJoin(F.broadcast(latest))  # one row
             .withColumn("recency", whole_days("last_purchase", "__latest").cast("int"))
             .drop("__latest")
-            .select(customer_col, "last_purchase", "recency", "frequency", "revenue", "rows"))
+            .select(customer_col, "last_purchase", "recency", "frequency", "revenue", "rows",
+                    *window_cols))
 
 
 @dataclass(frozen=True)

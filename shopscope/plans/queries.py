@@ -17,6 +17,7 @@ from shopscope.functions import hash_bucket, whole_days
 from shopscope.operators import (cleaning, clv, explore, joins, models, profile, rfm,
                                  sampling, stats)
 from shopscope.operators.cluster import elbow, value_histogram
+from shopscope.session import materialize
 from shopscope.sources import standins
 from shopscope.sources.tables import read_table
 
@@ -67,16 +68,24 @@ def _clv_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _fact(spark, sf).select(*rfm.CLV_COLUMNS, "line_number", "seller_id")
 
 
+WINDOWS = {"short": SHORT_WINDOW, "long": LONG_WINDOW}
+
+
+def _measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Per-customer measures (one pass over the fact), materialized: every later step
+    (histograms, Lloyd iterations, quantiles, windows) reads this small table."""
+    return materialize(rfm.customer_measures(_clv_rows(spark, sf), windows=WINDOWS))
+
+
 def _rfm(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(clv rows, per-customer measures with ranked clusters, score and class)."""
-    base = _clv_rows(spark, sf)
-    return base, rfm.rfm_clusters(rfm.customer_measures(base))
+    return _clv_rows(spark, sf), rfm.rfm_clusters(_measures(spark, sf))
 
 
 def _clv_value(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(clv rows, customers under the p99 window value with their value cluster)."""
     base, per = _rfm(spark, sf)
-    val = clv.window_value(base, per, *LONG_WINDOW)
+    val = clv.window_value(per, "long")
     return base, clv.value_clusters(clv.trim_upper(val, "m14_revenue", 0.99))
 
 
@@ -255,24 +264,21 @@ def hash_split_counts(spark, sf):
 
 # --- customer value: measures -------------------------------------------------------------
 
-def _measures(spark, sf):
-    return rfm.customer_measures(_clv_rows(spark, sf))
-
-
 @query
 def customer_recency(spark, sf):
-    m = _measures(spark, sf)
+    m = rfm.customer_measures(_clv_rows(spark, sf))
     return finish(m.select("customer_unique_id", "last_purchase", "recency"))
 
 
 @query
 def customer_frequency(spark, sf):
-    return _measures(spark, sf).select("customer_unique_id", "frequency")
+    return rfm.customer_measures(_clv_rows(spark, sf)).select("customer_unique_id", "frequency")
 
 
 @query
 def customer_revenue(spark, sf):
-    return finish(_measures(spark, sf).select("customer_unique_id", "revenue"), digits=2)
+    return finish(rfm.customer_measures(_clv_rows(spark, sf)).select("customer_unique_id", "revenue"),
+                  digits=2)
 
 
 @query
@@ -332,22 +338,20 @@ def rfm_scatter_points(spark, sf):
 
 @query
 def window_short(spark, sf):
-    base, per = _rfm(spark, sf)
-    rows = rfm.attach_to_rows(base, per)
-    return finish(clv.window_customers(rows, *SHORT_WINDOW), digits=2)
+    _, per = _rfm(spark, sf)
+    return finish(clv.window_customers(per, "short"), digits=2)
 
 
 @query
 def window_long(spark, sf):
-    base, per = _rfm(spark, sf)
-    rows = rfm.attach_to_rows(base, per)
-    return finish(clv.window_customers(rows, *LONG_WINDOW, with_clv=True), digits=2)
+    _, per = _rfm(spark, sf)
+    return finish(clv.window_customers(per, "long", with_clv=True), digits=2)
 
 
 @query
 def clv_window_value(spark, sf):
-    base, per = _rfm(spark, sf)
-    val = clv.window_value(base, per, *LONG_WINDOW)
+    _, per = _rfm(spark, sf)
+    val = clv.window_value(per, "long")
     return finish(clv.trim_upper(val, "m14_revenue", 0.99)
                   .select("customer_unique_id", "m14_revenue", "rows"), digits=2)
 
@@ -443,27 +447,33 @@ CLASS_FEATURES = ("category_low_value", "category_mid_value", "category_high_val
 
 
 def _classified(spark, sf):
+    """Predicted cells: (split, class indicators, CLV_cluster, n rows, prediction).
+
+    The detail rows are reduced once to (split, class, label) cell counts - at most
+    2 x 3 x 3 rows - and both training and evaluation work on those weighted cells."""
     base, v = _clv_value(spark, sf)
     rows = base.select(*ROW_KEYS, "customer_unique_id").join(
         v.select("customer_unique_id", "category", "CLV_cluster"), "customer_unique_id")
-    rows = clv.one_hot_classes(rows, drop=())
-    rows = rows.withColumn("split", F.when(hash_bucket(*ROW_KEYS, buckets=100, salt="56") < 25,
-                                           F.lit("test")).otherwise(F.lit("train")))
-    model = models.fit_value_classifier(rows.where(F.col("split") == "train"), CLASS_FEATURES,
-                                        "CLV_cluster", max_iter=20)
-    return models.classify(model, rows, CLASS_FEATURES)
+    split = F.when(hash_bucket(*ROW_KEYS, buckets=100, salt="56") < 25, F.lit("test")) \
+        .otherwise(F.lit("train"))
+    cells = materialize(rows.groupBy(split.alias("split"), "category", "CLV_cluster")
+                        .agg(F.count(F.lit(1)).alias("n")))
+    cells = clv.one_hot_classes(cells, drop=())
+    model = models.fit_value_classifier(cells.where(F.col("split") == "train"), CLASS_FEATURES,
+                                        "CLV_cluster", max_iter=20, weight_col="n")
+    return models.classify(model, cells, CLASS_FEATURES)
 
 
 @query
 def value_classifier_confusion(spark, sf):
     pred = _classified(spark, sf)
-    return models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster")
+    return models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster", weight_col="n")
 
 
 @query
 def value_classifier_metrics(spark, sf):
-    pred = _classified(spark, sf).cache()
-    conf = models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster")
+    pred = _classified(spark, sf)
+    conf = models.confusion(pred.where(F.col("split") == "test"), "CLV_cluster", weight_col="n")
     per = models.per_class_metrics(conf, beta=2.0)
     return finish(per.withColumn("class", F.col("class").cast("int")))
 
@@ -471,4 +481,4 @@ def value_classifier_metrics(spark, sf):
 @query
 def value_classifier_accuracy(spark, sf):
     pred = _classified(spark, sf)
-    return finish(models.accuracy(pred, "CLV_cluster", by="split"))
+    return finish(models.accuracy(pred, "CLV_cluster", by="split", weight_col="n"))

@@ -64,3 +64,21 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
 def scratch_dir(prefix: str = "shopscope-") -> str:
     """A fresh scratch folder (one per run, never reused)."""
     return tempfile.mkdtemp(prefix=prefix, dir="/tmp")
+
+
+def materialize(df, eager: bool = True):
+    """Cut a DataFrame's lineage so that later jobs (and a lost executor) start from it.
+
+    With a checkpoint directory (the cluster's shared ``spark.checkpoint.dir``) the data is
+    written there with ``checkpoint()``; without one it is persisted to memory and disk and
+    computed once. Never a machine-local checkpoint.
+    """
+    from pyspark import StorageLevel
+
+    spark = df.sparkSession
+    if ensure_checkpoint_dir(spark) is not None:
+        return df.checkpoint(eager=eager)
+    out = df.persist(StorageLevel.MEMORY_AND_DISK)
+    if eager:
+        out.count()
+    return out
