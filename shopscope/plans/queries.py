@@ -86,7 +86,7 @@ def _clv_value(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(clv rows, customers under the p99 window value with their value cluster)."""
     base, per = _rfm(spark, sf)
     val = clv.window_value(per, "long")
-    return base, clv.value_clusters(clv.trim_upper(val, "m14_revenue", 0.99))
+    return base, materialize(clv.value_clusters(clv.trim_upper(val, "m14_revenue", 0.99)))
 
 
 # --- sources, joins, cleaning -------------------------------------------------------------
