@@ -54,7 +54,8 @@ def initial_centres(hist: DataFrame, fits: Sequence[Fit],
     probs = sorted({(i + 0.5) / k for _, k in fits for i in range(k)})
     by = [series_col] if series_col else []
     q = {}
-    for r in quantiles(hist, "value", probs, by=by).collect():
+    # the histogram is already cached by the caller: no second materialization
+    for r in quantiles(hist, "value", probs, by=by, materialize_hist=False).collect():
         q[(r[series_col] if series_col else None, round(r["p"], 12))] = r["value"]
     return {(s, k): [q[(s, round((i + 0.5) / k, 12))] for i in range(k)] for s, k in fits}
 

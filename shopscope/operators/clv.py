@@ -68,6 +68,13 @@ def window_value(per_customer: DataFrame, window: str, measure: str = "revenue",
     return per_customer.withColumn(name, F.coalesce(val, F.lit(0.0)))
 
 
+def upper_quantile(df: DataFrame, column: str, q: float = 0.99,
+                   weight_col: str | None = "rows") -> float | None:
+    """The q-quantile of ``column`` over weighted rows, as a scalar."""
+    r = quantiles(df, column, [q], weight_col=weight_col).first()
+    return None if r is None else r["value"]
+
+
 def trim_upper(df: DataFrame, column: str, q: float = 0.99, weight_col: str | None = "rows") -> DataFrame:
     """Keep rows with column < its q-quantile (strict), the quantile taken over weighted rows."""
     qv = quantiles(df, column, [q], weight_col=weight_col).select(F.col("value").alias("__q"))
@@ -77,8 +84,8 @@ def trim_upper(df: DataFrame, column: str, q: float = 0.99, weight_col: str | No
 def value_clusters(df: DataFrame, column: str = "m14_revenue", k: int = 3,
                    out_col: str = "CLV_cluster", max_iter: int = 20, method: str = "lloyd") -> DataFrame:
     """Ranked 1-D clusters of the window value (row-weighted)."""
-    centres, ranks = fit_ranked_clusters(df, [ClusterSpec(column, k)], "rows", max_iter,
-                                         method)[column]
+    spec = ClusterSpec(column, k, out_col=out_col)
+    centres, ranks = fit_ranked_clusters(df, [spec], "rows", max_iter, method)[spec.name]
     lab = nearest_sorted_centre(F.col(column).cast("double"), centres)
     return df.withColumn(out_col, rank_map_expr(lab, ranks))
 

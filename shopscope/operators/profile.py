@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from shopscope.functions import bucket_by_edges
+from shopscope.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
 
@@ -45,56 +46,46 @@ def _window(by: Sequence[str]) -> Window:
     return Window.partitionBy(*by) if by else Window.partitionBy()
 
 
-def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", buckets: int = 64, accuracy: int = 10000,
-              weight_col: str | None = None) -> DataFrame:
-    """Linear-interpolation quantiles of ``column`` per group: columns ``*by, p, value``.
-
-    ``method``: ``"exact"`` (distributed, see module doc), ``"percentile"`` (Spark's exact
-    aggregate: fine for small groups) or ``"approx"`` (``percentile_approx``).
-    ``weight_col`` (exact method only) gives each row an integer multiplicity, as if it
-    were repeated that many times.
-    """
+def value_hist(df: DataFrame, column: str, by: Sequence[str] = (),
+               weight_col: str | None = None, keep_nulls: bool = False) -> DataFrame:
+    """(*by, __x, __c): distinct values of ``column`` per group with their row count (or
+    total weight). Partial aggregation runs before the shuffle, so a value that holds a
+    large share of the rows costs one row per map task."""
     by = list(by)
     x = F.col(column).cast("double")
     wt = F.col(weight_col).cast("bigint") if weight_col else F.lit(1).cast("bigint")
-    base = (_drop_null_keys(df, by).where(F.col(column).isNotNull())
-            .select(*by, x.alias("__x"), wt.alias("__w")))
-    plist = [float(p) for p in probs]
-    if method in ("percentile", "approx"):
-        if weight_col:
-            raise ValueError("weights need method='exact'")
-        fn = F.percentile if method == "percentile" else F.percentile_approx
-        arg = F.array(*[F.lit(p) for p in plist])
-        agg = (fn("__x", arg) if method == "percentile" else fn("__x", arg, accuracy))
-        q = base.groupBy(*by).agg(agg.alias("__q"))
-        return q.select(*by, F.posexplode("__q").alias("__i", "value")).select(
-            *by, F.element_at(F.array(*[F.lit(p) for p in plist]), F.col("__i") + 1).alias("p"),
-            "value")
-    if method != "exact":
-        raise ValueError(method)
+    base = _drop_null_keys(df, by)
+    if not keep_nulls:
+        base = base.where(F.col(column).isNotNull())
+    return base.groupBy(*by, x.alias("__x")).agg(F.sum(wt).alias("__c"))
 
+
+def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
+                        buckets: int = 64, accuracy: int = 10000) -> DataFrame:
+    """Exact quantiles from a (*by, __x, __c) histogram (see module doc)."""
+    by = list(by)
+    plist = [float(p) for p in probs]
+    hist = hist.where(F.col("__x").isNotNull())
     cuts = [i / buckets for i in range(1, buckets)]
-    edge_row = base.agg(F.percentile_approx("__x", cuts, accuracy).alias("e")).first()
+    # edges over distinct values: they balance the ranking work, which is per histogram row
+    edge_row = hist.agg(F.percentile_approx("__x", cuts, accuracy).alias("e")).first()
     edges = sorted(set(edge_row["e"] or []))
-    hist = (base.withColumn("__b", bucket_by_edges("__x", edges) if edges else F.lit(0))
-            .groupBy(*by, "__b", "__x").agg(F.sum("__w").alias("__c")))
-    sizes = hist.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
+    hb = hist.withColumn("__b", bucket_by_edges("__x", edges) if edges else F.lit(0))
+    sizes = hb.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
     before = _window(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(*by, "__b",
                            F.coalesce(F.sum("__bc").over(before), F.lit(0)).alias("__off"),
                            F.sum("__bc").over(_window(by)).alias("__n"))
     running = Window.partitionBy(*by, "__b").orderBy("__x") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (hist.withColumn("__end", F.sum("__c").over(running))
+    ranked = (hb.withColumn("__end", F.sum("__c").over(running))
               .join(offsets, [*by, "__b"])
               .withColumn("__end", F.col("__end") + F.col("__off"))
               .withColumn("__start", F.col("__end") - F.col("__c")))
     pos = F.col("p") * (F.col("__n") - 1)
-    lo, hi = F.floor(pos), F.ceil(pos)
     picked = (ranked.select(*by, "__x", "__start", "__end", "__n",
                             F.explode(F.array(*[F.lit(p) for p in plist])).alias("p"))
-              .withColumn("__lo", lo).withColumn("__hi", hi)
+              .withColumn("__lo", F.floor(pos)).withColumn("__hi", F.ceil(pos))
               .withColumn("__has_lo", (F.col("__start") <= F.col("__lo")) & (F.col("__lo") < F.col("__end")))
               .withColumn("__has_hi", (F.col("__start") <= F.col("__hi")) & (F.col("__hi") < F.col("__end")))
               .where(F.col("__has_lo") | F.col("__has_hi")))
@@ -106,6 +97,38 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
     return res.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac).alias("value"))
 
 
+def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (),
+              method: str = "exact", buckets: int = 64, accuracy: int = 10000,
+              weight_col: str | None = None, materialize_hist: bool = True) -> DataFrame:
+    """Linear-interpolation quantiles of ``column`` per group: columns ``*by, p, value``.
+
+    ``method``: ``"exact"`` (distributed, see module doc), ``"percentile"`` (Spark's exact
+    aggregate: fine for small groups) or ``"approx"`` (``percentile_approx``).
+    ``weight_col`` (exact method only) gives each row an integer multiplicity, as if it
+    were repeated that many times. The exact method evaluates ``df`` once: its histogram
+    is materialized (``materialize_hist``) before the ranking jobs read it.
+    """
+    by = list(by)
+    plist = [float(p) for p in probs]
+    if method in ("percentile", "approx"):
+        if weight_col:
+            raise ValueError("weights need method='exact'")
+        base = (_drop_null_keys(df, by).where(F.col(column).isNotNull())
+                .select(*by, F.col(column).cast("double").alias("__x")))
+        arg = F.array(*[F.lit(p) for p in plist])
+        agg = (F.percentile("__x", arg) if method == "percentile"
+               else F.percentile_approx("__x", arg, accuracy))
+        q = base.groupBy(*by).agg(agg.alias("__q"))
+        return q.select(*by, F.posexplode("__q").alias("__i", "value")).select(
+            *by, F.element_at(arg, F.col("__i") + 1).alias("p"), "value")
+    if method != "exact":
+        raise ValueError(method)
+    hist = value_hist(df, column, by, weight_col)
+    if materialize_hist:
+        hist = materialize(hist)
+    return quantiles_from_hist(hist, plist, by, buckets, accuracy)
+
+
 def _pname(p: float) -> str:
     return "p" + f"{p * 100:g}".replace(".", "_")
 
@@ -119,19 +142,44 @@ def quantiles_wide(df: DataFrame, column: str, probs: Sequence[float], by: Seque
     return q.groupBy(*by).agg(*cols) if by else q.agg(*cols)
 
 
+def _moments_from_hist(hist: DataFrame, by: Sequence[str]) -> DataFrame:
+    """count, mean, sample std, min, max per group from a (*by, __x, __c) histogram;
+    the variance is a sum of squared deviations from the group mean (no cancellation)."""
+    by = list(by)
+    valid = hist.where(F.col("__x").isNotNull())
+    first = valid.groupBy(*by).agg(
+        F.sum("__c").alias("count"),
+        (F.sum(F.col("__c") * F.col("__x")) / F.sum("__c")).alias("mean"),
+        F.min("__x").alias("min"), F.max("__x").alias("max"))
+    joined = valid.join(first, by, "inner") if by else valid.crossJoin(first)
+    dev = joined.groupBy(*by).agg(
+        F.sum(F.col("__c") * (F.col("__x") - F.col("mean")) ** 2).alias("__ss"))
+    out = first.join(dev, by, "inner") if by else first.crossJoin(dev)
+    return out.withColumn("std", F.sqrt(F.col("__ss") / F.nullif(F.col("count") - 1, F.lit(0)))) \
+        .drop("__ss")
+
+
 def describe(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "exact") -> DataFrame:
-    """count, mean, std (sample), min, 25/50/75 % (linear), max — per group when ``by``."""
+    """count, mean, std (sample), min, 25/50/75 % (linear), max — per group when ``by``.
+
+    Exact method: the input is reduced once to a value histogram (materialized); moments
+    and quantiles are computed from it.
+    """
     by = list(by)
-    x = F.col(column)
-    base = _drop_null_keys(df, by)
-    moments = base.groupBy(*by).agg(
-        F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-        F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
-    qs = quantiles_wide(base, column, DESCRIBE_PROBS, by, method)
-    if by:
-        out = moments.join(qs, by, "left")
+    if method == "exact":
+        hist = materialize(value_hist(df, column, by))
+        moments = _moments_from_hist(hist, by)
+        qs = quantiles_from_hist(hist, DESCRIBE_PROBS, by)
+        qs = qs.groupBy(*by).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value")))
+                                   .alias(_pname(p)) for p in DESCRIBE_PROBS])
     else:
-        out = moments.crossJoin(qs)  # one row each
+        base = _drop_null_keys(df, by)
+        x = F.col(column)
+        moments = base.groupBy(*by).agg(
+            F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
+            F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
+        qs = quantiles_wide(base, column, DESCRIBE_PROBS, by, method)
+    out = moments.join(qs, by, "left") if by else moments.crossJoin(qs)  # one row each
     return out.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -159,9 +207,9 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
 
 
 def _long(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
-    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast(cast).alias("value"))
-                      for c in columns])
-    return df.select(F.inline(pairs))
+    """(column, value) pairs, one per input row and column (an Expand, not a Generate)."""
+    return (df.select(*[F.col(f"`{c}`").cast(cast).alias(c) for c in columns])
+            .unpivot([], list(columns), "column", "value"))
 
 
 def top_values(df: DataFrame, columns: Sequence[str], k: int = 5) -> DataFrame:
@@ -185,24 +233,27 @@ def mode_of(df: DataFrame, column: str):
 
 
 def profile(df: DataFrame, columns: Sequence[str] | None = None,
-            method: str = "exact", approx_distinct: bool = False) -> DataFrame:
+            method: str = "exact") -> DataFrame:
     """Per numeric column: n, n_null, null_pct, n_distinct, mean, std, min, max, p25/50/75.
 
-    The columns are stacked into (column, value) pairs so that one grouped aggregation
-    covers all of them, and one quantile job serves every column.
+    The columns are stacked into (column, value) pairs and reduced once to a histogram of
+    (column, value, count), nulls included; every statistic is computed from it, so the
+    input is evaluated once whatever the number of columns.
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     long = _long(df, cols, "double")
-    distinct = (F.approx_count_distinct("value") if approx_distinct
-                else F.count_distinct("value"))
-    stats = long.groupBy("column").agg(
-        F.count(F.lit(1)).alias("rows"), F.count("value").alias("n"),
-        distinct.alias("n_distinct"), F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"), F.min("value").alias("min"),
-        F.max("value").alias("max"))
-    qs = quantiles_wide(long, "value", DESCRIBE_PROBS, ["column"], method)
-    return (stats.join(qs, "column", "left")
-            .select("column", "n", (F.col("rows") - F.col("n")).alias("n_null"),
-                    (F.lit(100.0) * (F.col("rows") - F.col("n")) / F.col("rows")).alias("null_pct"),
+    hist = materialize(value_hist(long, "value", ["column"], keep_nulls=True))
+    counts = hist.groupBy("column").agg(
+        F.sum("__c").alias("rows"),
+        F.sum(F.when(F.col("__x").isNull(), F.col("__c"))).alias("n_null"),
+        F.count("__x").alias("n_distinct"))
+    moments = _moments_from_hist(hist, ["column"])
+    qs = quantiles_from_hist(hist, DESCRIBE_PROBS, ["column"]).groupBy("column").agg(
+        *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value"))).alias(_pname(p))
+          for p in DESCRIBE_PROBS])
+    n_null = F.coalesce(F.col("n_null"), F.lit(0))
+    return (counts.join(moments, "column", "left").join(qs, "column", "left")
+            .select("column", (F.col("rows") - n_null).alias("n"), n_null.alias("n_null"),
+                    (F.lit(100.0) * n_null / F.col("rows")).alias("null_pct"),
                     "n_distinct", "mean", "std", "min", "max", "p25", "p50", "p75")
             .orderBy("column"))

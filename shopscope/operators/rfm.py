@@ -75,9 +75,21 @@ def customer_measures(base: DataFrame, customer_col: str = "customer_unique_id",
 
 @dataclass(frozen=True)
 class ClusterSpec:
+    """One 1-D clustering: ``measure`` into ``k`` ranked clusters, written to ``out_col``
+    (default ``{measure}_cluster``), optionally only for rows where ``where`` holds."""
     measure: str
     k: int
     ascending: bool = True
+    where: object = None
+    out_col: str | None = None
+
+    @property
+    def name(self) -> str:
+        return self.out_col or f"{self.measure}_cluster"
+
+    def value(self) -> F.Column:
+        v = F.col(self.measure).cast("double")
+        return v if self.where is None else F.when(self.where, v)
 
 
 DEFAULT_SPECS = (ClusterSpec("recency", 4), ClusterSpec("frequency", 4), ClusterSpec("revenue", 3))
@@ -92,10 +104,10 @@ def rank_map_expr(cluster: F.Column, ranks: dict[int, int]) -> F.Column:
     return expr
 
 
-def measure_histograms(per_customer: DataFrame, measures, weight_col: str = "rows") -> DataFrame:
-    """(series, value, weight) for several measures in one aggregation."""
-    recs = F.array(*[F.struct(F.lit(m).alias("series"), F.col(m).cast("double").alias("value"))
-                     for m in measures])
+def measure_histograms(per_customer: DataFrame, specs, weight_col: str = "rows") -> DataFrame:
+    """(series, value, weight) for several clusterings in one aggregation."""
+    recs = F.array(*[F.struct(F.lit(s.name).alias("series"), s.value().alias("value"))
+                     for s in specs])
     return (per_customer.select(F.inline(recs), F.col(weight_col).alias("__w"))
             .where(F.col("value").isNotNull())
             .groupBy("series", "value").agg(F.sum("__w").cast("double").alias("weight")))
@@ -107,20 +119,20 @@ def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows"
     """For each spec: ascending centres and the map cluster id -> rank of the cluster's
     weighted mean. One histogram job and one aggregation per iteration serve all specs."""
     specs = list(specs)
-    hist = measure_histograms(per_customer, [s.measure for s in specs], weight_col).cache()
+    hist = measure_histograms(per_customer, specs, weight_col).cache()
     try:
         if method == "ml":
-            centres = {s.measure: kmeans_ml(hist.where(F.col("series") == s.measure), "value",
-                                            s.k, "weight") for s in specs}
+            centres = {s.name: kmeans_ml(hist.where(F.col("series") == s.name), "value",
+                                         s.k, "weight") for s in specs}
         else:
-            fitted = kmeans_1d(hist, {s.measure: s.k for s in specs}, max_iter, cache=False,
+            fitted = kmeans_1d(hist, {s.name: s.k for s in specs}, max_iter, cache=False,
                                series_col="series")
-            centres = {s.measure: fitted[(s.measure, s.k)] for s in specs}
+            centres = {s.name: fitted[(s.name, s.k)] for s in specs}
         lab = None
         for s in specs:
-            e = nearest_sorted_centre("value", centres[s.measure])
-            lab = (F.when(F.col("series") == s.measure, e) if lab is None
-                   else lab.when(F.col("series") == s.measure, e))
+            e = nearest_sorted_centre("value", centres[s.name])
+            lab = (F.when(F.col("series") == s.name, e) if lab is None
+                   else lab.when(F.col("series") == s.name, e))
         means = (hist.groupBy("series", lab.alias("cluster"))
                  .agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("m"))
                  .collect())
@@ -128,23 +140,32 @@ def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows"
         hist.unpersist()
     out = {}
     for s in specs:
-        rows = [r for r in means if r["series"] == s.measure]
+        rows = [r for r in means if r["series"] == s.name]
         order = sorted(rows, key=lambda r: ((r["m"] if s.ascending else -r["m"]), r["cluster"]))
-        out[s.measure] = (centres[s.measure], {r["cluster"]: i for i, r in enumerate(order)})
+        out[s.name] = (centres[s.name], {r["cluster"]: i for i, r in enumerate(order)})
     return out
 
 
-def rfm_clusters(per_customer: DataFrame, specs=DEFAULT_SPECS, max_iter: int = 20,
-                 method: str = "lloyd") -> DataFrame:
-    """Adds ``{measure}_cluster`` (ranked), ``overall_score`` and ``category``."""
-    fitted = fit_ranked_clusters(per_customer, specs, max_iter=max_iter, method=method)
+def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = 20,
+                        method: str = "lloyd", weight_col: str = "rows") -> DataFrame:
+    """Fits every spec together and adds its ranked cluster column (null where the spec's
+    ``where`` is false)."""
+    fitted = fit_ranked_clusters(per_customer, specs, weight_col, max_iter=max_iter, method=method)
     out = per_customer
     for s in specs:
-        centres, ranks = fitted[s.measure]
-        lab = nearest_sorted_centre(F.col(s.measure).cast("double"), centres)
-        out = out.withColumn(f"{s.measure}_cluster", rank_map_expr(lab, ranks))
-    score = sum((F.col(f"{s.measure}_cluster") for s in specs[1:]),
-                F.col(f"{specs[0].measure}_cluster"))
+        centres, ranks = fitted[s.name]
+        lab = rank_map_expr(nearest_sorted_centre(F.col(s.measure).cast("double"), centres), ranks)
+        out = out.withColumn(s.name, lab if s.where is None else F.when(s.where, lab))
+    return out
+
+
+def rfm_clusters(per_customer: DataFrame, specs=DEFAULT_SPECS, max_iter: int = 20,
+                 method: str = "lloyd", extra_specs=()) -> DataFrame:
+    """Adds the ranked ``{measure}_cluster`` columns, ``overall_score`` (their sum) and
+    ``category``. ``extra_specs`` are fitted in the same iterations but not scored."""
+    specs = list(specs)
+    out = add_ranked_clusters(per_customer, specs + list(extra_specs), max_iter, method)
+    score = sum((F.col(s.name) for s in specs[1:]), F.col(specs[0].name))
     return out.withColumn("overall_score", score).withColumn("category", score_class("overall_score"))
 
 

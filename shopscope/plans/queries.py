@@ -83,10 +83,16 @@ def _rfm(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _clv_value(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(clv rows, customers under the p99 window value with their value cluster)."""
-    base, per = _rfm(spark, sf)
-    val = clv.window_value(per, "long")
-    return base, materialize(clv.value_clusters(clv.trim_upper(val, "m14_revenue", 0.99)))
+    """(clv rows, customers under the p99 window value with their value cluster).
+
+    The window value needs no cluster, so its p99 is found first and the value clustering
+    (on the customers under it) runs in the same Lloyd iterations as R, F and M."""
+    val = clv.window_value(_measures(spark, sf), "long")
+    p99 = clv.upper_quantile(val, "m14_revenue", 0.99)
+    kept = F.col("m14_revenue") < F.lit(p99)
+    spec = rfm.ClusterSpec("m14_revenue", 3, where=kept, out_col="CLV_cluster")
+    scored = rfm.rfm_clusters(val, extra_specs=[spec])
+    return _clv_rows(spark, sf), materialize(scored.where(kept))
 
 
 # --- sources, joins, cleaning -------------------------------------------------------------
