@@ -15,8 +15,13 @@ def col(c: ColumnLike) -> Column:
 
 
 def whole_days(start: ColumnLike, end: ColumnLike) -> Column:
-    """Whole 24-hour periods from ``start`` to ``end``, floored (not calendar days)."""
-    return F.timestamp_diff("DAY", col(start), col(end))
+    """Whole 24-hour periods from ``start`` to ``end``, truncated (not calendar days).
+
+    Taken from the day field of the (end - start) day-time interval: for timestamp_ntz no
+    session time zone is involved, so a daylight-saving change cannot turn a day into 23
+    or 25 hours.
+    """
+    return F.extract(F.lit("DAY"), col(end) - col(start)).cast("int")
 
 
 def round_half_even(c: ColumnLike, digits: int = 2) -> Column:

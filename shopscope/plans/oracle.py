@@ -592,3 +592,21 @@ FROM (
 register("value_classifier_accuracy", with_fact("""
 SELECT split, round(avg(CASE WHEN CLV_cluster = prediction THEN 1.0 ELSE 0.0 END), 4) AS accuracy,
        count(*) AS n FROM predicted GROUP BY 1""", extra=CLASSIFIED))
+
+
+def _elbow_sql(ks=range(1, 8)) -> str:
+    parts = [MEASURES, "h_rec AS MATERIALIZED (SELECT CAST(recency AS DOUBLE) AS value, "
+                       "CAST(sum(rows) AS DOUBLE) AS weight FROM per GROUP BY 1)"]
+    sse = []
+    for k in ks:
+        ctes, final = kmeans_ctes(f"e{k}", "h_rec", k)
+        parts += ctes
+        centre = ("c.c0" if k == 1 else
+                  "CASE " + " ".join(f"WHEN {assign_case('h.value', 'c', k)} = {i} THEN c.c{i}"
+                                     for i in range(k)) + " END")
+        sse.append(f"SELECT {k} AS k, round(sum(h.weight * (h.value - {centre}) ^ 2), 0) AS sse "
+                   f"FROM h_rec h, {final} c")
+    return with_fact("\nUNION ALL\n".join(sse), extra=",\n".join(parts))
+
+
+register("elbow_curve", _elbow_sql())

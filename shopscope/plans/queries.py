@@ -311,7 +311,7 @@ def event_recency_days(spark, sf):
 @query
 def elbow_curve(spark, sf):
     per = _measures(spark, sf)
-    return finish(elbow(value_histogram(per, "recency", "rows"), range(1, 8)), digits=2)
+    return finish(elbow(value_histogram(per, "recency", "rows"), range(1, 8)), digits=0)
 
 
 @query
