@@ -77,8 +77,8 @@ def upper_quantile(df: DataFrame, column: str, q: float = 0.99,
 
 def trim_upper(df: DataFrame, column: str, q: float = 0.99, weight_col: str | None = "rows") -> DataFrame:
     """Keep rows with column < its q-quantile (strict), the quantile taken over weighted rows."""
-    qv = quantiles(df, column, [q], weight_col=weight_col).select(F.col("value").alias("__q"))
-    return df.crossJoin(F.broadcast(qv)).where(F.col(column) < F.col("__q")).drop("__q")
+    qv = quantiles(df, column, [q], weight_col=weight_col).select("value").scalar()
+    return df.where(F.col(column) < qv)
 
 
 def value_clusters(df: DataFrame, column: str = "m14_revenue", k: int = 3,

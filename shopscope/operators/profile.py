@@ -151,10 +151,14 @@ def _moments_from_hist(hist: DataFrame, by: Sequence[str]) -> DataFrame:
         F.sum("__c").alias("count"),
         (F.sum(F.col("__c") * F.col("__x")) / F.sum("__c")).alias("mean"),
         F.min("__x").alias("min"), F.max("__x").alias("max"))
-    joined = valid.join(first, by, "inner") if by else valid.crossJoin(first)
-    dev = joined.groupBy(*by).agg(
-        F.sum(F.col("__c") * (F.col("__x") - F.col("mean")) ** 2).alias("__ss"))
-    out = first.join(dev, by, "inner") if by else first.crossJoin(dev)
+    if by:
+        dev = valid.join(first, by, "inner").groupBy(*by).agg(
+            F.sum(F.col("__c") * (F.col("__x") - F.col("mean")) ** 2).alias("__ss"))
+        out = first.join(dev, by, "inner")
+    else:
+        mean = first.select("mean").scalar()
+        ss = valid.agg(F.sum(F.col("__c") * (F.col("__x") - mean) ** 2)).scalar()
+        out = first.withColumn("__ss", ss)
     return out.withColumn("std", F.sqrt(F.col("__ss") / F.nullif(F.col("count") - 1, F.lit(0)))) \
         .drop("__ss")
 
@@ -179,7 +183,11 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "
             F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
             F.min(x).cast("double").alias("min"), F.max(x).cast("double").alias("max"))
         qs = quantiles_wide(base, column, DESCRIBE_PROBS, by, method)
-    out = moments.join(qs, by, "left") if by else moments.crossJoin(qs)  # one row each
+    if by:
+        out = moments.join(qs, by, "left")
+    else:  # both one row: attach the quantiles as one struct-valued scalar subquery
+        q = qs.select(F.struct(*[_pname(p) for p in DESCRIBE_PROBS])).scalar()
+        out = moments.select("*", *[q.getField(_pname(p)).alias(_pname(p)) for p in DESCRIBE_PROBS])
     return out.select(*by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -193,12 +201,13 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
     x = max lands in the last bin (Spark's ``width_bucket`` would open an extra one).
     """
     x = F.col(column).cast("double")
-    bounds = df.agg(F.min(x).alias("__mn"), F.max(x).alias("__mx"))
-    w = (F.col("__mx") - F.col("__mn")) / F.lit(float(bins))
-    b = F.when(w > 0, F.least(F.floor((x - F.col("__mn")) / w), F.lit(bins - 1))).otherwise(F.lit(0))
-    counted = (df.where(F.col(column).isNotNull()).select(x.alias(column))
-               .crossJoin(F.broadcast(bounds))  # one row
-               .select(b.cast("int").alias("bin"), "__mn", "__mx")
+    # min and max as one struct-valued scalar subquery (reused, so evaluated once)
+    bounds = df.agg(F.struct(F.min(x).alias("mn"), F.max(x).alias("mx"))).scalar()
+    mn, mx = bounds.getField("mn"), bounds.getField("mx")
+    w = (mx - mn) / F.lit(float(bins))
+    b = F.when(w > 0, F.least(F.floor((x - mn) / w), F.lit(bins - 1))).otherwise(F.lit(0))
+    counted = (df.where(F.col(column).isNotNull())
+               .select(b.cast("int").alias("bin"), mn.alias("__mn"), mx.alias("__mx"))
                .groupBy("bin", "__mn", "__mx").agg(F.count(F.lit(1)).alias("n")))
     width = (F.col("__mx") - F.col("__mn")) / F.lit(float(bins))
     return counted.select("bin", (F.col("__mn") + F.col("bin") * width).alias("lo"),

@@ -1,8 +1,7 @@
 """Recency, frequency, revenue: per-customer measures, clusters, overall score, value class.
 
 Execution: one ``groupBy(customer)`` (partial aggregation before the shuffle) yields all
-three measures; the global last purchase is a one-row aggregate over that result, joined
-as a broadcast. Each 1-D clustering runs on the measure's (value, rows) histogram (see
+three measures; the global last purchase is a scalar subquery over that result. Each 1-D clustering runs on the measure's (value, rows) histogram (see
 ``operators.cluster``), so the fact table is not rescanned per iteration. Cluster labels
 are added with a k-leaf comparison expression; ranks come from a k-row map.
 """
@@ -64,11 +63,9 @@ def customer_measures(base: DataFrame, customer_col: str = "customer_unique_id",
     per = (base.where(F.col(customer_col).isNotNull()).groupBy(customer_col)
            .agg(F.max(ts_col).alias("last_purchase"), freq.alias("frequency"),
                 rev.alias("revenue"), F.count(F.lit(1)).alias("rows"), *extra))
-    latest = per.agg(F.max("last_purchase").alias("__latest"))
+    latest = per.agg(F.max("last_purchase")).scalar()  # scalar subquery, evaluated once
     window_cols = [c for name in (windows or {}) for c in (f"rows_{name}", f"paid_{name}")]
-    return (per.crossJoin(F.broadcast(latest))  # one row
-            .withColumn("recency", whole_days("last_purchase", "__latest").cast("int"))
-            .drop("__latest")
+    return (per.withColumn("recency", whole_days("last_purchase", latest).cast("int"))
             .select(customer_col, "last_purchase", "recency", "frequency", "revenue", "rows",
                     *window_cols))
 

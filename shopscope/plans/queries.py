@@ -298,11 +298,10 @@ def recency_describe(spark, sf):
 def event_recency_days(spark, sf):
     ev = read_table(spark, sf, "events")
     per = ev.where(F.col("user_id").isNotNull()).groupBy("user_id").agg(F.max("ts").alias("last_ts"))
-    latest = per.agg(F.max("last_ts").alias("__latest"))
-    out = (per.crossJoin(F.broadcast(latest))  # one row
-           .select("user_id", "last_ts",
-                   whole_days("last_ts", "__latest").cast("int").alias("recency_days"),
-                   F.datediff(F.to_date("__latest"), F.to_date("last_ts")).alias("calendar_days")))
+    latest = per.agg(F.max("last_ts")).scalar()  # scalar subquery, evaluated once
+    out = per.select("user_id", "last_ts",
+                     whole_days("last_ts", latest).cast("int").alias("recency_days"),
+                     F.datediff(F.to_date(latest), F.to_date("last_ts")).alias("calendar_days"))
     return finish(out)
 
 
