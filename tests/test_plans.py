@@ -49,3 +49,17 @@ def test_no_python_evaluation(spark, name):
         pytest.skip("covered by the parity run; plan build fits models")
     p = plan(entry.queries()[name](spark, SMALL))
     assert "BatchEvalPython" not in p and "ArrowEvalPython" not in p
+
+
+def test_top_values_limits_before_shuffle(spark):
+    from shopscope.operators import profile
+    df = profile.top_values(standins.fact_table(spark, SMALL), ["customer_state", "order_id"], 5)
+    df.collect()
+    p = plan(df)
+    assert "WindowGroupLimit" in p and "Partial" in p
+
+
+def test_no_cross_join_in_customer_measures(spark):
+    p = plan(entry.queries()["customer_recency"](spark, SMALL))
+    assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
+    assert "Subquery" in p
