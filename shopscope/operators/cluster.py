@@ -25,6 +25,9 @@ from pyspark.sql import functions as F
 from shopscope.functions import nearest_sorted_centre
 from shopscope.operators.profile import quantiles
 
+# Upper bound on Lloyd iterations; a fit stops earlier as soon as no centre moves.
+LLOYD_MAX_ITER = 60
+
 
 def value_histogram(df: DataFrame, value_col: str, weight_col: str | None = None) -> DataFrame:
     """(value, weight): distinct non-null values and their total weight (rows by default)."""
@@ -71,7 +74,7 @@ def _assignments(fits: Sequence[Fit], centres: dict[Fit, list[float]],
     return F.array(*recs)
 
 
-def kmeans_1d(hist: DataFrame, ks, max_iter: int = 20, cache: bool = True,
+def kmeans_1d(hist: DataFrame, ks, max_iter: int = LLOYD_MAX_ITER, cache: bool = True,
               series_col: str | None = None) -> dict:
     """Ascending centres after at most ``max_iter`` Lloyd iterations.
 
@@ -127,7 +130,7 @@ def sse(hist: DataFrame, centres: dict[int, list[float]]) -> DataFrame:
     return (hist.select(F.inline(recs)).groupBy("k").agg(F.sum("d").alias("sse")).orderBy("k"))
 
 
-def elbow(hist: DataFrame, ks: Sequence[int] = range(1, 8), max_iter: int = 20) -> DataFrame:
+def elbow(hist: DataFrame, ks: Sequence[int] = range(1, 8), max_iter: int = LLOYD_MAX_ITER) -> DataFrame:
     """SSE for each k (deterministic 1-D k-means): ``k, sse``."""
     h = hist.cache()
     try:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopscope.functions import nearest_sorted_centre, score_class, whole_days
-from shopscope.operators.cluster import kmeans_1d, kmeans_ml
+from shopscope.operators.cluster import LLOYD_MAX_ITER, kmeans_1d, kmeans_ml
 
 CLV_COLUMNS = ("order_id", "product_id", "order_purchase_timestamp", "payment_value", "price",
                "customer_unique_id", "geolocation_state")
@@ -111,7 +111,7 @@ def measure_histograms(per_customer: DataFrame, specs, weight_col: str = "rows")
 
 
 def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows",
-                        max_iter: int = 20, method: str = "lloyd"
+                        max_iter: int = LLOYD_MAX_ITER, method: str = "lloyd"
                         ) -> dict[str, tuple[list[float], dict[int, int]]]:
     """For each spec: ascending centres and the map cluster id -> rank of the cluster's
     weighted mean. One histogram job and one aggregation per iteration serve all specs."""
@@ -143,7 +143,7 @@ def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows"
     return out
 
 
-def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = 20,
+def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = LLOYD_MAX_ITER,
                         method: str = "lloyd", weight_col: str = "rows") -> DataFrame:
     """Fits every spec together and adds its ranked cluster column (null where the spec's
     ``where`` is false)."""
@@ -156,7 +156,7 @@ def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = 20,
     return out
 
 
-def rfm_clusters(per_customer: DataFrame, specs=DEFAULT_SPECS, max_iter: int = 20,
+def rfm_clusters(per_customer: DataFrame, specs=DEFAULT_SPECS, max_iter: int = LLOYD_MAX_ITER,
                  method: str = "lloyd", extra_specs=()) -> DataFrame:
     """Adds the ranked ``{measure}_cluster`` columns, ``overall_score`` (their sum) and
     ``category``. ``extra_specs`` are fitted in the same iterations but not scored."""

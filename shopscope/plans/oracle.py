@@ -331,7 +331,7 @@ SELECT user_id, {ts_text('last_ts')} AS last_ts,
 FROM per, g""")
 
 
-def kmeans_ctes(p: str, hist: str, k: int, iters: int = 20) -> tuple[list[str], str]:
+def kmeans_ctes(p: str, hist: str, k: int, iters: int = 60) -> tuple[list[str], str]:
     """Lloyd iterations on a (value, weight) CTE as chained materialized CTEs.
 
     Start: (i + 0.5) / k quantiles of the distinct values. Assignment: value <= midpoint of
