@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopscope.functions import nearest_sorted_centre
-from shopscope.operators.profile import quantiles
+from shopscope.operators.profile import quantiles_from_hist
 
 # Upper bound on Lloyd iterations; a fit stops earlier as soon as no centre moves.
 LLOYD_MAX_ITER = 60
@@ -57,8 +57,10 @@ def initial_centres(hist: DataFrame, fits: Sequence[Fit],
     probs = sorted({(i + 0.5) / k for _, k in fits for i in range(k)})
     by = [series_col] if series_col else []
     q = {}
-    # the histogram is already cached by the caller: no second materialization
-    for r in quantiles(hist, "value", probs, by=by, materialize_hist=False).collect():
+    # each histogram row is one distinct value (count 1 for quantiles of distinct values);
+    # the histogram is cached by the caller, so it is ranked as it is
+    distinct = hist.select(*by, F.col("value").alias("__x"), F.lit(1).cast("bigint").alias("__c"))
+    for r in quantiles_from_hist(distinct, probs, by=by).collect():
         q[(r[series_col] if series_col else None, round(r["p"], 12))] = r["value"]
     return {(s, k): [q[(s, round((i + 0.5) / k, 12))] for i in range(k)] for s, k in fits}
 
