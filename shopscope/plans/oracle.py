@@ -168,9 +168,9 @@ def _describe(col: str, src: str, by: str | None = None) -> str:
     group = f"GROUP BY {by}" if by else ""
     return f"""
 SELECT {keys}count({col}) AS count, round(avg({col}), 4) AS mean,
-       round(stddev_samp({col}), 4) AS std, round(min({col}), 4) AS min,
+       round(stddev_samp({col}), 4) AS std, round(CAST(min({col}) AS DOUBLE), 4) AS min,
        round(quantile_cont({col}, 0.25), 4) AS p25, round(quantile_cont({col}, 0.5), 4) AS p50,
-       round(quantile_cont({col}, 0.75), 4) AS p75, round(max({col}), 4) AS max
+       round(quantile_cont({col}, 0.75), 4) AS p75, round(CAST(max({col}) AS DOUBLE), 4) AS max
 FROM {src} {where} {group}"""
 
 
@@ -217,7 +217,7 @@ FROM fact WHERE customer_state IS NOT NULL GROUP BY 1"""))
 register("state_bubbles", with_fact("""
 SELECT customer_state AS state, count(customer_unique_id) AS n,
        round(avg(geolocation_lat), 4) AS lat, round(avg(geolocation_lng), 4) AS lng,
-       round(count(customer_unique_id) * 20.0, 4) AS radius
+       round(CAST(count(customer_unique_id) AS DOUBLE) * 20.0, 4) AS radius
 FROM fact WHERE customer_state IS NOT NULL GROUP BY 1"""))
 
 register("best_sellers", with_fact("""
@@ -406,7 +406,7 @@ SELECT overall_score, round(sum(recency * rows) / sum(rows), 4) AS recency,
 FROM rfm GROUP BY 1""", extra=RFM))
 
 register("rfm_categories", with_fact("""
-SELECT category, count(*) AS customers, sum(rows) AS rows FROM rfm GROUP BY 1""", extra=RFM))
+SELECT category, count(*) AS customers, CAST(sum(rows) AS BIGINT) AS rows FROM rfm GROUP BY 1""", extra=RFM))
 
 register("rfm_scatter_points", with_fact("""
 SELECT category, frequency AS x, round(revenue, 2) AS y, CAST(sum(rows) AS BIGINT) AS n FROM rfm
@@ -457,7 +457,7 @@ SELECT customer_unique_id, round(m14_revenue, 2) AS m14_revenue, rows FROM trimm
                                        extra=VALUE))
 
 register("clv_clusters", with_fact("""
-SELECT CLV_cluster, count(*) AS customers, sum(rows) AS rows,
+SELECT CLV_cluster, count(*) AS customers, CAST(sum(rows) AS BIGINT) AS rows,
        round(sum(m14_revenue * rows) / sum(rows), 2) AS mean, round(min(m14_revenue), 2) AS min,
        round(max(m14_revenue), 2) AS max
 FROM valued GROUP BY 1""", extra=VALUED))
@@ -582,10 +582,10 @@ FROM (
          tp / nullif(actual, 0) AS recall, tp / nullif(predicted, 0) AS precision
   FROM (
     SELECT k.cls, coalesce(a.n, 0) AS actual, coalesce(p.n, 0) AS predicted,
-           coalesce(t.n, 0) AS tp, (SELECT sum(n) FROM conf) AS total
+           coalesce(t.n, 0) AS tp, (SELECT CAST(sum(n) AS BIGINT) FROM conf) AS total
     FROM (SELECT label AS cls FROM conf UNION SELECT prediction FROM conf) k
-    LEFT JOIN (SELECT label AS cls, sum(n) AS n FROM conf GROUP BY 1) a USING (cls)
-    LEFT JOIN (SELECT prediction AS cls, sum(n) AS n FROM conf GROUP BY 1) p USING (cls)
+    LEFT JOIN (SELECT label AS cls, CAST(sum(n) AS BIGINT) AS n FROM conf GROUP BY 1) a USING (cls)
+    LEFT JOIN (SELECT prediction AS cls, CAST(sum(n) AS BIGINT) AS n FROM conf GROUP BY 1) p USING (cls)
     LEFT JOIN (SELECT label AS cls, n FROM conf WHERE label = prediction) t USING (cls)))""",
                                                extra=CLASSIFIED))
 

@@ -44,6 +44,17 @@ def _rows(columns, rows):
     return sorted(out, key=lambda t: tuple((x is None, str(x)) for x in t))
 
 
+SPARK_TO_DUCK = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "date": "DATE"}
+
+
+def types_of(sdf, con, sql):
+    st = {f.name: SPARK_TO_DUCK.get(f.dataType.simpleString(), f.dataType.simpleString())
+          for f in sdf.schema.fields}
+    dt = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    return {k: (st.get(k), dt.get(k)) for k in set(st) | set(dt) if st.get(k) != dt.get(k)}
+
+
 def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None) -> dict:
     con = con or duck(sf_dir)
     t0 = time.time()
@@ -58,6 +69,7 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None) -> dict:
            "columns_match": sorted(scols) == sorted(dcols), "spark_sec": round(t1 - t0, 2)}
     a, b = _rows(scols, srows), _rows(dcols, drows)
     res["values_match"] = res["columns_match"] and a == b
+    res["type_diffs"] = types_of(sdf, con, sql)
     if not res["values_match"]:
         res["spark_cols"], res["duck_cols"] = sorted(scols), sorted(dcols)
         diff = [(x, y) for x, y in zip(a, b) if x != y][:3]
@@ -88,7 +100,7 @@ def main(argv):
             bad += 1
             print(f"ERROR {name}: {type(e).__name__}: {str(e)[:600]}", flush=True)
             continue
-        ok = r["values_match"] and r["spark_rows"] == r["duck_rows"]
+        ok = r["values_match"] and r["spark_rows"] == r["duck_rows"] and not r["type_diffs"]
         bad += not ok
         print(("OK   " if ok else "FAIL ") + str(r), flush=True)
     print(f"failures: {bad}")

@@ -21,6 +21,7 @@ def test_query_matches_twin(spark, con, name):
     assert r["columns_match"], r
     assert r["spark_rows"] == r["duck_rows"], r
     assert r["values_match"], r
+    assert not r["type_diffs"], r
 
 
 def test_every_query_has_a_twin_or_is_ml():
