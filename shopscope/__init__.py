@@ -6,7 +6,6 @@ Layout:
   operators/  DataFrame -> DataFrame operators (joins, cleaning, profiling, exploration,
               statistics, sampling, clustering, RFM/CLV, models and metrics)
   plans/      the registered queries, their DuckDB twins, and end-to-end studies
-  streaming/  intentionally empty: the analyses are batch-only
 """
 
 __version__ = "0.1.0"

@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from shopscope.functions import nearest_sorted_centre
 from shopscope.operators.profile import quantiles_from_hist
 
-# Upper bound on Lloyd iterations; a fit stops earlier as soon as no centre moves.
-LLOYD_MAX_ITER = 60
+# Guard on Lloyd iterations: a fit that hasn't converged by then raises.
+LLOYD_MAX_ITER = 1000
 
 
 def value_histogram(df: DataFrame, value_col: str, weight_col: str | None = None) -> DataFrame:
@@ -78,11 +78,13 @@ def _assignments(fits: Sequence[Fit], centres: dict[Fit, list[float]],
 
 def kmeans_1d(hist: DataFrame, ks, max_iter: int = LLOYD_MAX_ITER, cache: bool = True,
               series_col: str | None = None) -> dict:
-    """Ascending centres after at most ``max_iter`` Lloyd iterations.
+    """Ascending centres of the converged Lloyd iteration.
 
     ``ks``: an int, a list of ints, or (with ``series_col``) a dict series -> k or [k...].
-    All fits advance together: one aggregation per iteration. Stops when no centre moves;
-    an empty cluster keeps its centre. Returns {k: centres} without ``series_col``, else
+    All fits advance together: one aggregation per iteration. Stops when no value changes its
+    cluster: clusters are neighbouring ranges of values, so unchanged cluster weights decide that
+    (sums of centres could differ in their last bits from run to run). Raises RuntimeError if
+    that isn't reached in ``max_iter`` iterations. An empty cluster keeps its centre. Returns {k: centres} without ``series_col``, else
     {(series, k): centres}.
     """
     fits = _normalize_fits(ks)
@@ -92,6 +94,7 @@ def kmeans_1d(hist: DataFrame, ks, max_iter: int = LLOYD_MAX_ITER, cache: bool =
         h = h.cache()
     try:
         centres = initial_centres(h, fits, series_col)
+        last = None
         for _ in range(max_iter):
             sums = (h.select("value", "weight", F.inline(_assignments(fits, centres, series_col)))
                     .where(F.col("cluster").isNotNull())
@@ -103,9 +106,13 @@ def kmeans_1d(hist: DataFrame, ks, max_iter: int = LLOYD_MAX_ITER, cache: bool =
             for r in sums:
                 if r["w"]:
                     new[fits[r["fit"]]][r["cluster"]] = r["sw"] / r["w"]
-            if new == centres:
-                break
             centres = new
+            weights = {(r["fit"], r["cluster"]): r["w"] for r in sums if r["w"]}
+            if weights == last:
+                break
+            last = weights
+        else:
+            raise RuntimeError(f"k-means hasn't converged after {max_iter} iterations")
     finally:
         if cache:
             h.unpersist()
@@ -172,7 +179,7 @@ def order_cluster(df: DataFrame, cluster_col: str, target_col: str, ascending: b
 def kmeans_ml(df: DataFrame, value_col: str, k: int, weight_col: str | None = None,
               max_iter: int = 1000, seed: int = 1) -> list[float]:
     """Spark ML k-means (k >= 2) on one column; returns ascending centres."""
-    vec = VectorAssembler(inputCols=[value_col], outputCol="__v", handleInvalid="skip") \
+    vec = VectorAssembler(inputCols=[value_col], outputCol="__v", handleInvalid="error") \
         .transform(df.select(F.col(value_col).cast("double").alias(value_col),
                              *([weight_col] if weight_col else [])))
     km = KMeans(k=k, maxIter=max_iter, seed=seed, featuresCol="__v",

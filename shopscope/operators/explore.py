@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopscope.functions import period_label
@@ -100,6 +100,34 @@ def best_seller_monthly(df: DataFrame, translation: DataFrame, k: int = 10,
     return pivot_sum(monthly, "month", english_col, value_col, names)
 
 
+def best_sellers_ranked(df: DataFrame, translation: DataFrame, k: int = 10,
+                        value_col: str = "price", category_col: str = "product_category_name",
+                        english_col: str = "product_category_name_english") -> DataFrame:
+    """k rows: rank (1 = best), category and its English name."""
+    top = best_sellers(lookup_join(df, translation, category_col), k, category_col, value_col)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("total"), category_col)))  # k rows
+    return ranked.join(translation.select(category_col, english_col), category_col) \
+        .select("rank", category_col, english_col)
+
+
+def best_seller_monthly_long(df: DataFrame, translation: DataFrame, k: int = 10,
+                             ts_col: str = "order_purchase_timestamp", value_col: str = "price",
+                             category_col: str = "product_category_name") -> DataFrame:
+    """Monthly revenue of the k best-selling categories in long form: rank, category, month, total."""
+    ranked = best_sellers_ranked(df, translation, k, value_col, category_col)
+    members = best_seller_members(lookup_join(df, translation, category_col), k, category_col, value_col)
+    monthly = members.groupBy(category_col, F.month(ts_col).alias("month")).agg(F.sum(value_col).alias("total"))
+    return monthly.join(F.broadcast(ranked), category_col) \
+        .select("rank", F.col("product_category_name_english").alias("category"), "month", "total")
+
+
+def best_seller_monthly_ranked(df: DataFrame, translation: DataFrame, k: int = 10, **cols) -> DataFrame:
+    """``best_seller_monthly`` with columns named by rank: month, top_01 ... (null: no sales)."""
+    long = best_seller_monthly_long(df, translation, k, **cols)
+    return long.groupBy("month").agg(*[
+        F.sum(F.when(F.col("rank") == i, F.col("total"))).alias(f"top_{i:02d}") for i in range(1, k + 1)])
+
+
 def best_seller_members(df: DataFrame, k: int = 10,
                         category_col: str = "product_category_name",
                         value_col: str = "price") -> DataFrame:

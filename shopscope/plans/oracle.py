@@ -225,18 +225,23 @@ SELECT product_category_name, round(coalesce(sum(price), 0), 2) AS total
 FROM fact WHERE product_category_name IS NOT NULL
 GROUP BY 1 ORDER BY coalesce(sum(price), 0) DESC, 1 LIMIT 10"""))
 
-register("best_seller_monthly", with_fact("""
-SELECT * FROM (
-  PIVOT (
-    SELECT CAST(month(f.order_purchase_timestamp) AS INTEGER) AS month,
-           t.product_category_name_english AS cat, f.price
-    FROM fact f JOIN translation t USING (product_category_name)
-    WHERE f.product_category_name IN (SELECT product_category_name FROM top10)
-  ) ON cat USING round(sum(price), 2) GROUP BY month
-)""", extra="""top10 AS (
-  SELECT product_category_name, sum(price) AS total FROM fact
-  JOIN translation USING (product_category_name)
-  GROUP BY product_category_name ORDER BY total DESC, product_category_name LIMIT 10)"""))
+TOP10 = """top10 AS (
+  SELECT product_category_name, CAST(row_number() OVER (ORDER BY total DESC, product_category_name) AS INTEGER) AS rank
+  FROM (SELECT product_category_name, coalesce(sum(price), 0) AS total FROM fact
+        JOIN translation USING (product_category_name)
+        GROUP BY product_category_name ORDER BY total DESC, product_category_name LIMIT 10)),
+best_months AS (
+  SELECT p.rank, t.product_category_name_english AS category,
+         CAST(month(f.order_purchase_timestamp) AS INTEGER) AS month, sum(f.price) AS total
+  FROM fact f JOIN translation t USING (product_category_name) JOIN top10 p USING (product_category_name)
+  GROUP BY ALL)"""
+
+register("best_seller_monthly", with_fact("SELECT month, " + ", ".join(
+    f"round(sum(CASE WHEN rank = {i} THEN total END), 2) AS top_{i:02d}" for i in range(1, 11)
+) + " FROM best_months GROUP BY month", extra=TOP10))
+
+register("best_seller_monthly_long", with_fact(
+    "SELECT rank, category, month, round(total, 2) AS total FROM best_months", extra=TOP10))
 
 register("orders_per_period", with_fact("""
 SELECT CAST(year(order_purchase_timestamp) AS INTEGER) AS year,

@@ -206,10 +206,16 @@ def best_sellers(spark, sf):
 
 @query
 def best_seller_monthly(spark, sf):
-    out = explore.best_seller_monthly(_fact(spark, sf), standins.category_translation(spark, sf))
+    out = explore.best_seller_monthly_ranked(_fact(spark, sf), standins.category_translation(spark, sf))
     return finish(out.withColumn("month", F.col("month").cast("int")), digits=2)
 
 
+@query
+def best_seller_monthly_long(spark, sf):
+    out = explore.best_seller_monthly_long(_fact(spark, sf), standins.category_translation(spark, sf))
+    return finish(out, money=("total",))
+
+
 @query
 def orders_per_period(spark, sf):
     return explore.orders_per_period(_fact(spark, sf)) \

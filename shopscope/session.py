@@ -55,6 +55,8 @@ def ensure_checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> s
         sc.setCheckpointDir(shared)
         return shared
     if fallback is not None:
+        if not sc.master.startswith("local"):
+            raise ValueError("a cluster needs spark.checkpoint.dir: a local folder isn't shared")
         path = os.path.join(fallback, "checkpoints")
         sc.setCheckpointDir(path)
         return path

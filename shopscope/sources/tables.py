@@ -93,8 +93,9 @@ def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def read_marketplace(spark: SparkSession, folder: str,
-                     file_pattern: str = "olist_{name}_dataset.csv") -> dict[str, DataFrame]:
-    """All ten marketplace tables from one folder (the file naming is a parameter)."""
+                     file_pattern: str) -> dict[str, DataFrame]:
+    """All ten marketplace tables from one folder (``file_pattern`` names a
+    table's file by ``{name}``)."""
     names = [n for n in MARKETPLACE_SCHEMAS if n != "category_translation"]
     return {n: read_csv_table(spark, os.path.join(folder, file_pattern.format(name=n)), n)
             for n in names}

@@ -61,7 +61,9 @@ def compare(spark, sf_dir: str, name: str, fn, sql: str, con=None) -> dict:
     sdf = fn(spark, sf_dir)
     srows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    rel = con.execute(sql)
+    # the twin must also hold as a view
+    con.execute(f"CREATE OR REPLACE TEMP VIEW twin AS {sql}")
+    rel = con.execute("SELECT * FROM twin")
     dcols = [d[0] for d in rel.description]
     drows = rel.fetchall()
     scols = sdf.columns

@@ -2,12 +2,13 @@
 
 import pytest
 
-import __spark_entry__ as entry
+from shopscope.plans.oracle import SQL
+from shopscope.plans.queries import QUERIES
 from tests.conftest import SMALL
 from tests.parity import compare, duck
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = QUERIES
+SQL = SQL
 
 
 @pytest.fixture(scope="module")

@@ -4,6 +4,7 @@ import pytest
 
 import __spark_entry__ as entry
 from shopscope.operators import explore
+from shopscope.plans.queries import QUERIES
 from shopscope.sources import standins
 from tests.conftest import SMALL
 
@@ -40,7 +41,7 @@ def test_nation_broadcast(spark):
     assert "BroadcastHashJoin" in p or "BroadcastExchange" in p
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_python_evaluation(spark, name):
     if name in ("elbow_curve", "price_gbt_metrics", "tree_importance", "explained_variance",
                 "value_classifier_confusion", "value_classifier_metrics",
