@@ -42,7 +42,8 @@ _LOCAL, _DOMAIN = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@{_DOMAIN}++(?:\.{_DOMAIN}++)++",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    # a run of digits with fewer than 13 of them can't be a card, and no part of it can
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Cheap conditions without which a pattern can't match.
@@ -276,7 +277,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets (n_chars, if there, follows)."""
     given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = with_spans(given)
+    found = staged(with_spans(given), "pii-found")
     out = accepted(found, train(vote_counts(found)))
     text = F.col("text")
 
