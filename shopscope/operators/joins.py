@@ -113,12 +113,3 @@ def attach_group_aggregates(df: DataFrame, keys: str | Sequence[str],
         base = df.where(cond)
     agg = base.groupBy(*ks).agg(*[c.alias(n) for n, c in aggregates.items()])
     return base.join(agg, ks, "inner")
-
-
-def relabel(df: DataFrame, mapping: DataFrame, column: str, new_column: str) -> DataFrame:
-    """Replace ``column`` by ``new_column`` from a small (k-row) mapping frame.
-
-    The mapping is built from k cluster ids, so it is broadcast by construction.
-    """
-    out = df.join(F.broadcast(mapping.select(column, new_column)), column, "inner").drop(column)
-    return out.withColumnRenamed(new_column, column) if new_column != column else out

@@ -5,13 +5,14 @@ Exact quantiles at scale
 Spark's ``percentile`` aggregate keeps every distinct value of a group in one buffer, and a
 global quantile merges all of them in one task. ``quantiles`` instead:
 
-1. takes bucket edges from ``percentile_approx`` (a bounded sketch; edges only balance
-   the work, they never change the answer),
-2. reduces the column to (group, bucket, value, count) - a hot value collapses to one row,
+1. reduces the column to (group, value, count) - a hot value collapses to one row,
+2. takes bucket edges per group from ``percentile_approx`` (a bounded sketch; edges only
+   balance the work, they never change the answer), one bucket per shuffle partition or more,
 3. ranks values inside each (group, bucket) with a running sum over a window partitioned by
    (group, bucket), plus the bucket's offset from a (groups x buckets)-row table,
-4. picks the values holding ranks floor(p(n-1)) and ceil(p(n-1)) and interpolates linearly
-   (the definition of pandas ``quantile``, Spark ``percentile`` and DuckDB ``quantile_cont``).
+4. joins the wanted ranks floor(p(n-1)) and ceil(p(n-1)) to the bucket that holds them and
+   interpolates linearly (the definition of pandas ``quantile``, Spark ``percentile`` and
+   DuckDB ``quantile_cont``).
 
 No step holds more than one bucket of one group's distinct values in a task.
 """
@@ -60,40 +61,48 @@ def value_hist(df: DataFrame, column: str, by: Sequence[str] = (),
     return base.groupBy(*by, x.alias("__x")).agg(F.sum(wt).alias("__c"))
 
 
+def _bucketed(hist: DataFrame, by: list[str], cuts: list[float], accuracy: int) -> DataFrame:
+    """The histogram with ``__b``, the range of its group's distinct values a value lies in.
+
+    Edges are taken per group, so a narrow column is split as finely as a wide one. They stay
+    in a table (one row a group): the same edges serve every reading of the result."""
+    edges = F.percentile_approx("__x", cuts, accuracy)
+    if not by:
+        found = sorted(set(hist.agg(edges.alias("e")).first()["e"] or []))
+        return hist.withColumn("__b", bucket_by_edges("__x", found) if found else F.lit(0))
+    per_group = materialize(hist.groupBy(*by).agg(F.array_distinct(edges).alias("__e")))
+    below = F.size(F.filter("__e", lambda e: e < F.col("__x")))
+    return hist.join(per_group, by).withColumn("__b", below).drop("__e")
+
+
 def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
                         buckets: int = 64, accuracy: int = 10000) -> DataFrame:
     """Exact quantiles from a (*by, __x, __c) histogram (see module doc)."""
     by = list(by)
     plist = [float(p) for p in probs]
     hist = hist.where(F.col("__x").isNotNull())
-    cuts = [i / buckets for i in range(1, buckets)]
-    # edges over distinct values: they balance the ranking work, which is per histogram row
-    edge_row = hist.agg(F.percentile_approx("__x", cuts, accuracy).alias("e")).first()
-    edges = sorted(set(edge_row["e"] or []))
-    hb = hist.withColumn("__b", bucket_by_edges("__x", edges) if edges else F.lit(0))
+    buckets = max(buckets, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    hb = _bucketed(hist, by, [i / buckets for i in range(1, buckets)], accuracy)
     sizes = hb.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
     before = _window(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(*by, "__b",
+    pos = F.col("p") * (F.col("__n") - 1)
+    # the wanted ranks, each with the one bucket that holds it: at most 2 x probs rows a group
+    wanted = (sizes.select(*by, "__b", "__bc",
                            F.coalesce(F.sum("__bc").over(before), F.lit(0)).alias("__off"),
                            F.sum("__bc").over(_window(by)).alias("__n"))
+              .withColumn("p", F.explode(F.array(*[F.lit(p) for p in plist])))
+              .withColumn("__rank", F.explode(F.array_distinct(F.array(F.floor(pos), F.ceil(pos)))))
+              .where((F.col("__rank") >= F.col("__off")) & (F.col("__rank") < F.col("__off") + F.col("__bc"))))
     running = Window.partitionBy(*by, "__b").orderBy("__x") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = (hb.withColumn("__end", F.sum("__c").over(running))
-              .join(offsets, [*by, "__b"])
-              .withColumn("__end", F.col("__end") + F.col("__off"))
-              .withColumn("__start", F.col("__end") - F.col("__c")))
-    pos = F.col("p") * (F.col("__n") - 1)
-    picked = (ranked.select(*by, "__x", "__start", "__end", "__n",
-                            F.explode(F.array(*[F.lit(p) for p in plist])).alias("p"))
-              .withColumn("__lo", F.floor(pos)).withColumn("__hi", F.ceil(pos))
-              .withColumn("__has_lo", (F.col("__start") <= F.col("__lo")) & (F.col("__lo") < F.col("__end")))
-              .withColumn("__has_hi", (F.col("__start") <= F.col("__hi")) & (F.col("__hi") < F.col("__end")))
-              .where(F.col("__has_lo") | F.col("__has_hi")))
+    end = F.col("__end") + F.col("__off")
+    picked = (hb.withColumn("__end", F.sum("__c").over(running)).join(wanted, [*by, "__b"])
+              .where((end - F.col("__c") <= F.col("__rank")) & (F.col("__rank") < end)))
     res = picked.groupBy(*by, "p").agg(
-        F.max(F.when(F.col("__has_lo"), F.col("__x"))).alias("__vlo"),
-        F.max(F.when(F.col("__has_hi"), F.col("__x"))).alias("__vhi"),
+        F.max(F.when(F.col("__rank") == F.floor(pos), F.col("__x"))).alias("__vlo"),
+        F.max(F.when(F.col("__rank") == F.ceil(pos), F.col("__x"))).alias("__vhi"),
         F.first("__n").alias("__n"))
-    frac = F.col("p") * (F.col("__n") - 1) - F.floor(F.col("p") * (F.col("__n") - 1))
+    frac = pos - F.floor(pos)
     return res.select(*by, "p", (F.col("__vlo") + (F.col("__vhi") - F.col("__vlo")) * frac).alias("value"))
 
 
@@ -163,15 +172,19 @@ def _moments_from_hist(hist: DataFrame, by: Sequence[str]) -> DataFrame:
         .drop("__ss")
 
 
-def describe(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "exact") -> DataFrame:
+def describe(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "exact",
+             weight_col: str | None = None) -> DataFrame:
     """count, mean, std (sample), min, 25/50/75 % (linear), max — per group when ``by``.
 
     Exact method: the input is reduced once to a value histogram (materialized); moments
-    and quantiles are computed from it.
+    and quantiles are computed from it. ``weight_col`` (exact method only): integer
+    multiplicity of each row.
     """
     by = list(by)
+    if weight_col and method != "exact":
+        raise ValueError("weights need method='exact'")
     if method == "exact":
-        hist = materialize(value_hist(df, column, by))
+        hist = materialize(value_hist(df, column, by, weight_col))
         moments = _moments_from_hist(hist, by)
         qs = quantiles_from_hist(hist, DESCRIBE_PROBS, by)
         qs = qs.groupBy(*by).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value")))

@@ -327,6 +327,21 @@ register("customer_revenue", with_fact("SELECT customer_unique_id, revenue FROM
 register("recency_describe", with_fact(_describe("recency", "clv JOIN per USING (customer_unique_id)"),
                                        extra=MEASURES))
 
+
+
+def _describe_measures(src: str) -> str:
+    """Describe of several (group key, column) pairs, doubles to 2 digits."""
+    return "\nUNION ALL\n".join(f"""
+SELECT '{m}' AS measure, count({m}) AS count, round(avg({m}), 2) AS mean, round(stddev_samp({m}), 2) AS std,
+       round(CAST(min({m}) AS DOUBLE), 2) AS min, round(quantile_cont({m}, 0.25), 2) AS p25,
+       round(quantile_cont({m}, 0.5), 2) AS p50, round(quantile_cont({m}, 0.75), 2) AS p75,
+       round(CAST(max({m}) AS DOUBLE), 2) AS max
+FROM {src}""" for m in ("recency", "frequency", "revenue"))
+
+
+register("measure_describe", with_fact(_describe_measures("clv JOIN per USING (customer_unique_id)"),
+                                       extra=MEASURES))
+
 register("event_recency_days", f"""
 WITH per AS (SELECT user_id, max(ts) AS last_ts FROM events WHERE user_id IS NOT NULL GROUP BY 1),
 g AS (SELECT max(last_ts) AS latest FROM per)
@@ -417,6 +432,12 @@ register("rfm_scatter_points", with_fact("""
 SELECT category, frequency AS x, round(revenue, 2) AS y, CAST(sum(rows) AS BIGINT) AS n FROM rfm
 WHERE revenue < 4000000 AND frequency < 7000 GROUP BY 1, 2, 3""", extra=RFM))
 
+register("rfm_scatter_recency", with_fact("\nUNION ALL\n".join(f"""
+SELECT '{y}' AS y_measure, category, recency AS x, round(CAST({y} AS DOUBLE), 2) AS y,
+       CAST(sum(rows) AS BIGINT) AS n
+FROM rfm WHERE revenue < 4000000 AND frequency < 7000 GROUP BY category, recency, {y}"""
+    for y in ("revenue", "frequency")), extra=RFM))
+
 
 def _window_sql(start: str, end_next: str, with_clv: bool) -> str:
     clv_col = ", round(r.revenue, 2) AS CLV" if with_clv else ""
@@ -467,6 +488,13 @@ SELECT CLV_cluster, count(*) AS customers, CAST(sum(rows) AS BIGINT) AS rows,
        round(max(m14_revenue), 2) AS max
 FROM valued GROUP BY 1""", extra=VALUED))
 
+register("clv_describe", with_fact("""
+SELECT CLV_cluster, count(*) AS count, round(avg(m14_revenue), 2) AS mean,
+       round(stddev_samp(m14_revenue), 2) AS std, round(min(m14_revenue), 2) AS min,
+       round(quantile_cont(m14_revenue, 0.25), 2) AS p25, round(quantile_cont(m14_revenue, 0.5), 2) AS p50,
+       round(quantile_cont(m14_revenue, 0.75), 2) AS p75, round(max(m14_revenue), 2) AS max
+FROM clv JOIN valued USING (customer_unique_id) GROUP BY 1""", extra=VALUED))
+
 register("clv_score_points", with_fact("""
 SELECT category, overall_score AS x, round(m14_revenue, 2) AS y, CAST(sum(rows) AS BIGINT) AS n
 FROM valued WHERE m14_revenue < 4000000 GROUP BY 1, 2, 3""", extra=VALUED))

@@ -69,6 +69,7 @@ def _clv_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 WINDOWS = {"short": SHORT_WINDOW, "long": LONG_WINDOW}
+MEASURES = ("recency", "frequency", "revenue")
 
 
 def _measures(spark: SparkSession, sf: str) -> DataFrame:
@@ -295,9 +296,23 @@ def customer_revenue(spark, sf):
 
 @query
 def recency_describe(spark, sf):
-    base = _clv_rows(spark, sf)
-    rows = rfm.attach_to_rows(base, rfm.customer_measures(base))
-    return finish(profile.describe(rows, "recency"))
+    # every row repeats its customer's value: the customers weighted with their rows
+    return finish(profile.describe(_measures(spark, sf), "recency", weight_col="rows"))
+
+
+@query
+def measure_describe(spark, sf):
+    """Recency, frequency and revenue over the detail rows, one row each."""
+    long = _measures(spark, sf).select("rows", *[F.col(m).cast("double").alias(m) for m in MEASURES]) \
+        .unpivot(["rows"], list(MEASURES), "measure", "value")
+    return finish(profile.describe(long, "value", by=["measure"], weight_col="rows"), digits=2)
+
+
+@query
+def clv_describe(spark, sf):
+    """The window value over the detail rows of each value cluster."""
+    _, v = _clv_value(spark, sf)
+    return finish(profile.describe(v, "m14_revenue", by=["CLV_cluster"], weight_col="rows"), digits=2)
 
 
 @query
@@ -347,6 +362,17 @@ def rfm_scatter_points(spark, sf):
     return finish(pts, digits=2)
 
 
+@query
+def rfm_scatter_recency(spark, sf):
+    """The two pairs with recency on x, under the same limits."""
+    _, per = _rfm(spark, sf)
+    kept = materialize(per.where("revenue < 4000000 and frequency < 7000"))
+    pairs = [rfm.scatter(kept, "recency", y, {}).select(F.lit(y).alias("y_measure"), "category", "x",
+                                                        F.col("y").cast("double").alias("y"), "n")
+             for y in ("revenue", "frequency")]
+    return finish(pairs[0].unionByName(pairs[1]), digits=2)
+
+
 @query
 def window_short(spark, sf):
     _, per = _rfm(spark, sf)
@@ -361,8 +387,7 @@ def window_long(spark, sf):
 
 @query
 def clv_window_value(spark, sf):
-    _, per = _rfm(spark, sf)
-    val = clv.window_value(per, "long")
+    val = clv.window_value(_measures(spark, sf), "long")
     return finish(clv.trim_upper(val, "m14_revenue", 0.99)
                   .select("customer_unique_id", "m14_revenue", "rows"), digits=2)
 
@@ -445,15 +470,30 @@ def price_linear_predictions(spark, sf):
     return finish(models.prediction_table(models.predict(m, s, PRICE_FEATURES)), digits=4)
 
 
+def _price_gbt(spark, sf):
+    """(rows with their bins, predicted cells): 400 trees on the cells of the training rows."""
+    s = _price_split(spark, sf)
+    edges = models.bin_edges(s.where(F.col("split") == "train"), PRICE_FEATURES)
+    rows = models.binned(s, edges)
+    cells = materialize(models.regression_cells(rows, PRICE_FEATURES, "price", "split"))
+    m = models.fit_gbt_regressor(cells.where(F.col("split") == "train"), PRICE_FEATURES)
+    return rows, models.predict(m, cells, [f"{f}_bin" for f in PRICE_FEATURES])
+
+
 @query
 def price_gbt_metrics(spark, sf):
-    s = _price_split(spark, sf).cache()
-    m = models.fit_gbt_regressor(s.where(F.col("split") == "train"), PRICE_FEATURES, "price",
-                                 max_iter=20)
-    met = models.regression_metrics(models.predict(m, s, PRICE_FEATURES), "price", by="split")
+    _, pred = _price_gbt(spark, sf)
+    met = models.cell_metrics(pred, "split")
     return met.select("split", F.round("r2", 4).alias("r2"), F.round("mse", 0).alias("mse"), "n")
 
 
+@query
+def price_gbt_predictions(spark, sf):
+    rows, pred = _price_gbt(spark, sf)
+    keys = ["split", *[f"{f}_bin" for f in PRICE_FEATURES]]
+    return finish(models.prediction_table(rows.join(pred.select(*keys, "prediction"), keys)))
+
+
 CLASS_FEATURES = ("category_low_value", "category_mid_value", "category_high_value")
 
 
@@ -469,9 +509,9 @@ def _classified(spark, sf):
         .otherwise(F.lit("train"))
     cells = materialize(rows.groupBy(split.alias("split"), "category", "CLV_cluster")
                         .agg(F.count(F.lit(1)).alias("n")))
-    cells = clv.one_hot_classes(cells, drop=())
+    cells = clv.one_hot_classes(cells, drop=()).coalesce(1)
     model = models.fit_value_classifier(cells.where(F.col("split") == "train"), CLASS_FEATURES,
-                                        "CLV_cluster", max_iter=20, weight_col="n")
+                                        "CLV_cluster", weight_col="n")
     return models.classify(model, cells, CLASS_FEATURES)
 
 
