@@ -3,6 +3,7 @@ and long texts, ties, repeated rows, clashing column names, and empty tables."""
 
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -74,6 +75,21 @@ def test_license_scan(docs):
     assert [(r.doc_id, r.license, r.verdict) for r in got] == [(11, "MIT", "exact")]
 
 
+def wrapped(text, width):
+    return "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+@pytest.mark.parametrize("width", [10_000, 78, 30, 12])
+def test_license_templates_in_documents(spark, width):
+    given = [(name, t) for name, wordings in licenses.TEMPLATES.items() for t in wordings]
+    rows = [(k, f"import os\n\nCopyright 2020 The Authors\n\n{wrapped(t, width)}\n\nand other words follow\nhere.")
+            for k, (_, t) in enumerate(given)]
+    rows += [(1000 + k, wrapped(t, width)) for k, (_, t) in enumerate(given)]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).where("verdict = 'exact'").collect()
+    assert sorted((r.doc_id, r.license) for r in got) == sorted(
+        (i + k, name) for i in (0, 1000) for k, (name, _) in enumerate(given))
+
+
 # ---------------------------------------------------------------- 2
 
 def repeats(rows, n=200):
