@@ -90,6 +90,19 @@ def test_license_templates_in_documents(spark, width):
         (i + k, name) for i in (0, 1000) for k, (name, _) in enumerate(given))
 
 
+def test_license_scan_finds_every_license_of_a_block(spark):
+    mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
+    gpl2, gpl3 = (licenses.TEMPLATES[k][1] for k in ("GPL-2.0", "GPL-3.0"))
+    rows = [(1, f"{mit}\n{apache}"), (2, f"{gpl3} {gpl2.replace('published', 'issued')} {gpl3}"),
+            (3, "\n".join(["All rights reserved.", licenses.TEMPLATES["ISC"][0], mit, apache, licenses.TEMPLATES["BSD-3-Clause"][1]])),
+            (4, licenses.TEMPLATES["LGPL-3.0"][0])]
+    got = licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license, r.verdict) for r in got) == [
+        (1, "Apache-2.0", "exact"), (1, "MIT", "exact"), (2, "GPL-2.0", "variant"), (2, "GPL-3.0", "exact"),
+        (3, "All-Rights-Reserved", "exact"), (3, "Apache-2.0", "exact"), (3, "BSD-3-Clause", "exact"), (3, "ISC", "exact"),
+        (3, "MIT", "exact"), (4, "LGPL-3.0", "exact")]
+
+
 # ---------------------------------------------------------------- 2
 
 def repeats(rows, n=200):
