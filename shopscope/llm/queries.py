@@ -28,7 +28,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.jaccard_groups(documents(spark, sf_dir)).drop("class_id")
+    return jaccard.jaccard_groups(documents(spark, sf_dir), links=True)
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

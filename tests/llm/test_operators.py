@@ -231,6 +231,27 @@ def test_jaccard_groups_against_all_pairs(spark, docs, real, monkeypatch, small)
     assert got == groups(texts(df))
 
 
+@pytest.mark.parametrize("block", [1 << 16, 300])
+def test_jaccard_link_counts_against_all_pairs(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "LINK_BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "LINK_SPLIT", 1 << 30)
+    rng = np.random.default_rng(5)
+    near = [(6000 + k, " ".join(np.where(rng.random(150) < 0.02, f"r{k}", [f"d{i}" for i in range(150)]))) for k in range(40)]
+    near += [(6050, near[0][1]), (6050, near[0][1]), (6051, near[1][1]), (6051, "another text under the same id")]
+    df = docs.where("doc_id is not null").select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
+    rows, want = texts(df), Counter()
+    sets = []
+    for _, t in rows:
+        w = WORD.findall(re.sub("[A-Z]", lambda m: m.group().lower(), t))
+        sets.append({tuple(w[i:i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    for (i, _), a in zip(rows, sets):
+        want[i, len(a), sum(100 * len(a & b) >= 80 * len(a | b) for b in sets if a and b) - bool(a)] += 1
+    got = jaccard.jaccard_groups(df, links=True).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.n_links) for r in got) == want
+    assert max(r.n_links for r in got) > 10
+
+
 def test_jaccard_keeps_one_of_each_group(docs):
     kept = jaccard.keep_one_of_each_group(docs)
     assert kept.columns[0] == "doc_id" and set(kept.columns) == set(docs.columns)
