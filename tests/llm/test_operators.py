@@ -258,6 +258,17 @@ def test_jaccard_keeps_one_of_each_group(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 9, 10, 10, 11, 12]
 
 
+def test_jaccard_judges_rows_by_id_and_text(spark):
+    near, other = BASE.replace("tok40", "other"), BASE[::-1]
+    rows = [(3, BASE), (5, BASE), (5, "an unrelated text under the same id"), (None, near), (None, other), (None, other),
+            (None, other.replace("04kot", "xyz")), (7, "a text of its own"), (7, near), (None, ""), (None, None)]
+    kept = jaccard.keep_one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [tuple(r) for r in kept.collect()]
+    assert sorted(r for r in got if r[0]) == [(3, BASE), (5, "an unrelated text under the same id"), (7, "a text of its own")]
+    nameless = [t for i, t in got if i is None]
+    assert len(nameless) == 3 and nameless.count("") == 1 and nameless.count(None) == 1
+
+
 # ---------------------------------------------------------------- 5
 
 def luhn(d):
