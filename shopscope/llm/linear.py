@@ -21,12 +21,13 @@ SAMPLE_SCHEMA = "doc_id long, label int, idx binary, val binary"
 
 @dataclass
 class Model:
-    """P(label 1) = sigmoid(a * (x . weight + bias) + c)."""
+    """P(label 1) = sigmoid(a * (x . weight + bias) + c). Not fitted: a constant, which says nothing of a document."""
 
     weight: np.ndarray
     bias: float
     a: float
     c: float
+    fitted: bool = True
 
     def probability(self, dot: np.ndarray) -> np.ndarray:
         return sigmoid(self.a * (dot + self.bias) + self.c)
@@ -92,10 +93,10 @@ def fit(ids, y, indptr, idx, val, dim: int, l2: float = 1e-6, steps: int = 120,
 
     ``swaps``: (feature taken out, feature put in, times): the objective gets
     swap_penalty * sum(times * (weight in - weight out)**2) / rows, the squared change of the score
-    under each swap. Without rows of both labels the model is the constant share of label 1."""
+    under each swap. Without rows of both labels, or with less than ten, the model is the constant share of label 1 and not ``fitted``."""
     n = len(y)
     share = (y.sum() + 0.5) / (n + 1)
-    constant = Model(np.zeros(dim, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0)
+    constant = Model(np.zeros(dim, np.float32), float(np.log(share / (1 - share))), 1.0, 0.0, fitted=False)
     if n < 10 or not 0 < y.sum() < n:
         return constant
     rest = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in ids])

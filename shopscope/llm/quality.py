@@ -4,7 +4,7 @@ Features are the shares of hashed words and of hashed 3-byte strings in a text,
 depend on length. The regression is trained on at most ``SAMPLE`` rows that ``labels.quality`` marks
 (chosen by hash of doc_id), calibrated on a held-out fifth of them (Platt), and scored over whole
 texts in Arrow batches. A document is kept if no rule fails and its probability of good quality
-reaches ``KEEP_AT``. Without labels of both kinds the rules alone decide.
+reaches ``KEEP_AT``. Without ten labels, or labels of both kinds, the rules alone decide.
 
 Null text: no words, fails. Lines and windows are compared within one document only; repeated rows
 are scored each for itself. Empty input: empty result.
@@ -141,17 +141,17 @@ def _score(model):
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality double"
 
 
-def _judged(rows: DataFrame) -> DataFrame:
+def _judged(rows: DataFrame, model: linear.Model) -> DataFrame:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return rows.withColumn("base_failed", failed) \
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= KEEP_AT if model.fitted else F.lit(True)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, counts, quality, base_failed, kept) of every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     scored = text_rows(docs).mapInArrow(_score(model), f"doc_id long, text string, {_COUNTS}")
-    return _judged(scored.drop("text"))
+    return _judged(scored.drop("text"), model.value)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -160,5 +160,6 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     text_rows(docs)
     given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = _judged(given.mapInArrow(_score(model), f"given {given.schema['given'].dataType.simpleString()}, text string, {_COUNTS}"))
+    out = _judged(given.mapInArrow(_score(model), f"given {given.schema['given'].dataType.simpleString()}, text string, {_COUNTS}"),
+                  model.value)
     return out.where("kept").select("given.*")

@@ -191,6 +191,15 @@ def test_classifiers_without_labels(docs, labels):
     assert set(quality.keep_good(docs, none).columns) == set(docs.columns)
 
 
+@pytest.mark.parametrize("given", [[0] * 40, [0, 0, 0, 0, 1]])
+def test_rules_alone_decide_without_a_model(spark, docs, given):
+    long = spark.createDataFrame([(100 + k, " ".join(f"word{k}_{j}" for j in range(20))) for k in range(len(given))], "doc_id long, text string")
+    few = spark.createDataFrame([(100 + k, y) for k, y in enumerate(given)], "doc_id long, quality int")
+    got = quality.quality_rules(long, few).collect()
+    assert len(got) == len(given) and all(r.kept and not r.base_failed for r in got)
+    assert quality.keep_good(long, few).count() == len(given)
+
+
 # ---------------------------------------------------------------- 4
 
 def groups(rows):
