@@ -627,12 +627,12 @@ SELECT split, round(avg(CASE WHEN CLV_cluster = prediction THEN 1.0 ELSE 0.0 END
        count(*) AS n FROM predicted GROUP BY 1""", extra=CLASSIFIED))
 
 
-def _elbow_sql(ks=range(1, 8)) -> str:
-    parts = [MEASURES, "h_rec AS MATERIALIZED (SELECT CAST(recency AS DOUBLE) AS value, "
+def _elbow_sql(ks=range(1, 8), measure: str = "recency", iters: int = 60) -> str:
+    parts = [MEASURES, f"h_rec AS MATERIALIZED (SELECT CAST({measure} AS DOUBLE) AS value, "
                        "CAST(sum(rows) AS DOUBLE) AS weight FROM per GROUP BY 1)"]
     sse = []
     for k in ks:
-        ctes, final = kmeans_ctes(f"e{k}", "h_rec", k)
+        ctes, final = kmeans_ctes(f"e{k}", "h_rec", k, iters)
         parts += ctes
         centre = ("c.c0" if k == 1 else
                   "CASE " + " ".join(f"WHEN {assign_case('h.value', 'c', k)} = {i} THEN c.c{i}"
@@ -643,3 +643,4 @@ def _elbow_sql(ks=range(1, 8)) -> str:
 
 
 register("elbow_curve", _elbow_sql())
+register("elbow_frequency", _elbow_sql(measure="frequency"))

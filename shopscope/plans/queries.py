@@ -334,6 +334,12 @@ def elbow_curve(spark, sf):
     return finish(elbow(value_histogram(per, "recency", "rows"), range(1, 8)), digits=0)
 
 
+@query
+def elbow_frequency(spark, sf):
+    per = _measures(spark, sf)
+    return finish(elbow(value_histogram(per, "frequency", "rows"), range(1, 8)), digits=0)
+
+
 @query
 def rfm_clusters(spark, sf):
     _, per = _rfm(spark, sf)
