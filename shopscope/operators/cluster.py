@@ -2,15 +2,11 @@
 
 The R, F, M and CLV clusterings are 1-D. Fitting on rows would cost one pass over the fact
 table per iteration; instead each column is reduced once to its distinct values with a
-weight (rows per value), which gives the same objective on far fewer rows. Lloyd's
-iterations then run on that histogram: assign every value to the nearest centre (a
-midpoint comparison tree, ties to the lower centre), take weighted means per cluster. All
-requested k are fitted in the same jobs (one aggregation per iteration for all of them).
-Only k centres per k reach the driver.
-
-Start centres are the (i + 0.5) / k quantiles of the distinct values, so the run is
-deterministic and reproducible in SQL. ``method="ml"`` uses Spark ML ``KMeans`` (k-means||
-start, ``weightCol``) instead.
+weight (rows per value), which gives the same objective on far fewer rows. ``best_centres``
+finds the exact optimum (``operators.optimal``) for all series and all k in the same few jobs.
+
+``kmeans_1d`` is the plain Lloyd iteration from the (i + 0.5) / k quantiles of the distinct values: a
+local optimum. ``kmeans_ml`` uses Spark ML ``KMeans`` (k-means|| start, ``weightCol``).
 """
 
 from __future__ import annotations
@@ -23,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from shopscope.functions import nearest_sorted_centre
+from shopscope.operators.optimal import optimal_borders
 from shopscope.operators.profile import quantiles_from_hist
 
 # Guard on Lloyd iterations: a fit that hasn't converged by then raises.
@@ -121,6 +118,22 @@ def kmeans_1d(hist: DataFrame, ks, max_iter: int = LLOYD_MAX_ITER, cache: bool =
     return centres
 
 
+def best_centres(hist: DataFrame, ks, series_col: str | None = None) -> dict:
+    """Ascending centres of the optimal clustering (least weighted sum of squares of all).
+
+    Arguments and keys as in ``kmeans_1d``; ``hist`` is read once a round, so cache it. With fewer
+    distinct values than k each value is a centre."""
+    fits = _normalize_fits(ks)
+    h = hist.select((F.col(series_col) if series_col else F.lit("")).alias("series"), "value", "weight")
+    wanted: dict = {}
+    for s, k in fits:
+        wanted.setdefault("" if s is None else s, []).append(k)
+    found = optimal_borders(h, wanted)
+    if series_col is None:
+        return {k: c for (_, k), (c, _) in found.items()}
+    return {f: c for f, (c, _) in found.items()}
+
+
 def assign(df: DataFrame, value_col: str, centres: Sequence[float], out_col: str) -> DataFrame:
     """Label each row with the index of its nearest centre."""
     return df.withColumn(out_col, nearest_sorted_centre(F.col(value_col).cast("double"),
@@ -139,12 +152,11 @@ def sse(hist: DataFrame, centres: dict[int, list[float]]) -> DataFrame:
     return (hist.select(F.inline(recs)).groupBy("k").agg(F.sum("d").alias("sse")).orderBy("k"))
 
 
-def elbow(hist: DataFrame, ks: Sequence[int] = range(1, 8), max_iter: int = LLOYD_MAX_ITER) -> DataFrame:
-    """SSE for each k (deterministic 1-D k-means): ``k, sse``."""
+def elbow(hist: DataFrame, ks: Sequence[int] = range(1, 8)) -> DataFrame:
+    """Least SSE for each k: ``k, sse``."""
     h = hist.cache()
     try:
-        cents = kmeans_1d(h, list(ks), max_iter, cache=False)
-        return _materialize(sse(h, cents))
+        return _materialize(sse(h, best_centres(h, list(ks))))
     finally:
         h.unpersist()
 

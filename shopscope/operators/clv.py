@@ -83,7 +83,7 @@ def trim_upper(df: DataFrame, column: str, q: float = 0.99, weight_col: str | No
 
 
 def value_clusters(df: DataFrame, column: str = "m14_revenue", k: int = 3,
-                   out_col: str = "CLV_cluster", max_iter: int = LLOYD_MAX_ITER, method: str = "lloyd") -> DataFrame:
+                   out_col: str = "CLV_cluster", max_iter: int = LLOYD_MAX_ITER, method: str = "best") -> DataFrame:
     """Ranked 1-D clusters of the window value (row-weighted)."""
     spec = ClusterSpec(column, k, out_col=out_col)
     centres, ranks = fit_ranked_clusters(df, [spec], "rows", max_iter, method)[spec.name]

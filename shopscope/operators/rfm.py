@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shopscope.functions import nearest_sorted_centre, score_class, whole_days
-from shopscope.operators.cluster import LLOYD_MAX_ITER, kmeans_1d, kmeans_ml
+from shopscope.operators.cluster import LLOYD_MAX_ITER, best_centres, kmeans_1d, kmeans_ml
 
 CLV_COLUMNS = ("order_id", "product_id", "order_purchase_timestamp", "payment_value", "price",
                "customer_unique_id", "geolocation_state")
@@ -111,10 +111,12 @@ def measure_histograms(per_customer: DataFrame, specs, weight_col: str = "rows")
 
 
 def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows",
-                        max_iter: int = LLOYD_MAX_ITER, method: str = "lloyd"
+                        max_iter: int = LLOYD_MAX_ITER, method: str = "best"
                         ) -> dict[str, tuple[list[float], dict[int, int]]]:
     """For each spec: ascending centres and the map cluster id -> rank of the cluster's
-    weighted mean. One histogram job and one aggregation per iteration serve all specs."""
+    weighted mean. One histogram job and one aggregation per round serve all specs.
+
+    ``method``: ``"best"`` (the optimum), ``"lloyd"`` (local, from quantiles) or ``"ml"``."""
     specs = list(specs)
     hist = measure_histograms(per_customer, specs, weight_col).cache()
     try:
@@ -122,8 +124,9 @@ def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows"
             centres = {s.name: kmeans_ml(hist.where(F.col("series") == s.name), "value",
                                          s.k, "weight") for s in specs}
         else:
-            fitted = kmeans_1d(hist, {s.name: s.k for s in specs}, max_iter, cache=False,
-                               series_col="series")
+            ks = {s.name: s.k for s in specs}
+            fitted = (best_centres(hist, ks, "series") if method == "best" else
+                      kmeans_1d(hist, ks, max_iter, cache=False, series_col="series"))
             centres = {s.name: fitted[(s.name, s.k)] for s in specs}
         lab = None
         for s in specs:
@@ -144,7 +147,7 @@ def fit_ranked_clusters(per_customer: DataFrame, specs, weight_col: str = "rows"
 
 
 def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = LLOYD_MAX_ITER,
-                        method: str = "lloyd", weight_col: str = "rows") -> DataFrame:
+                        method: str = "best", weight_col: str = "rows") -> DataFrame:
     """Fits every spec together and adds its ranked cluster column (null where the spec's
     ``where`` is false)."""
     fitted = fit_ranked_clusters(per_customer, specs, weight_col, max_iter=max_iter, method=method)
@@ -157,7 +160,7 @@ def add_ranked_clusters(per_customer: DataFrame, specs, max_iter: int = LLOYD_MA
 
 
 def rfm_clusters(per_customer: DataFrame, specs=DEFAULT_SPECS, max_iter: int = LLOYD_MAX_ITER,
-                 method: str = "lloyd", extra_specs=()) -> DataFrame:
+                 method: str = "best", extra_specs=()) -> DataFrame:
     """Adds the ranked ``{measure}_cluster`` columns, ``overall_score`` (their sum) and
     ``category``. ``extra_specs`` are fitted in the same iterations but not scored."""
     specs = list(specs)

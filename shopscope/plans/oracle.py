@@ -351,24 +351,35 @@ SELECT user_id, {ts_text('last_ts')} AS last_ts,
 FROM per, g""")
 
 
-def kmeans_ctes(p: str, hist: str, k: int, iters: int = 60) -> tuple[list[str], str]:
-    """Lloyd iterations on a (value, weight) CTE as chained materialized CTEs.
-
-    Start: (i + 0.5) / k quantiles of the distinct values. Assignment: value <= midpoint of
-    neighbouring centres goes to the lower one. Empty cluster: centre kept."""
-    probs = ", ".join(f"{(i + 0.5) / k!r}::DOUBLE" for i in range(k))
-    ctes = [f"{p}_q AS MATERIALIZED (SELECT quantile_cont(value, [{probs}]) AS q FROM {hist})",
-            f"{p}_c0 AS MATERIALIZED (SELECT "
-            + ", ".join(f"q[{i + 1}] AS c{i}" for i in range(k)) + f" FROM {p}_q)"]
-    for it in range(1, iters + 1):
-        prev = f"{p}_c{it - 1}"
-        ctes.append(f"{p}_s{it} AS MATERIALIZED (SELECT {assign_case('h.value', 'c', k)} AS cl, "
-                    f"sum(h.weight * h.value) AS sw, sum(h.weight) AS w FROM {hist} h, {prev} c "
-                    f"GROUP BY 1)")
-        ctes.append(f"{p}_c{it} AS MATERIALIZED (SELECT " + ", ".join(
-            f"coalesce((SELECT sw / w FROM {p}_s{it} WHERE cl = {i} AND w > 0), c.c{i}) AS c{i}"
-            for i in range(k)) + f" FROM {prev} c)")
-    return ctes, f"{p}_c{iters}"
+def best_ctes(p: str, hist: str, most: int) -> list[str]:
+    """Dynamic programming over a (value, weight) CTE for 1 .. ``most`` clusters.
+
+    ``{p}_h``: running sums; ``{p}_d{j}``: least sum of squares of the first i values in j
+    ranges, with the last border (ties: the first)."""
+    ctes = [f"""{p}_h AS MATERIALIZED (
+  SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q
+  UNION ALL
+  SELECT row_number() OVER o, sum(weight) OVER o, sum(weight * (value - m)) OVER o, sum(weight * (value - m) ^ 2) OVER o
+  FROM {hist}, (SELECT round(sum(weight * value) / sum(weight)) AS m FROM {hist})
+  WINDOW o AS (ORDER BY value ROWS UNBOUNDED PRECEDING))""",
+            f"{p}_d1 AS MATERIALIZED (SELECT i, struct_pack(d := q - s ^ 2 / w, l := 0) AS r FROM {p}_h WHERE i > 0)"]
+    for j in range(2, most + 1):
+        ctes.append(f"""{p}_d{j} AS MATERIALIZED (
+  SELECT b.i, min(struct_pack(d := c.r.d + greatest(b.q - a.q - (b.s - a.s) ^ 2 / (b.w - a.w), 0), l := a.i)) AS r
+  FROM {p}_h b JOIN {p}_h a ON a.i < b.i JOIN {p}_d{j - 1} c ON c.i = a.i GROUP BY b.i)""")
+    return ctes
+
+
+def centre_ctes(p: str, hist: str, k: int) -> tuple[list[str], str]:
+    """One row of ascending centres c0 .. c{k-1} of the best clustering (null: fewer values)."""
+    ctes = [f"{p}_b{k}_{k} AS MATERIALIZED (SELECT max(i) AS i FROM {p}_h)"]
+    for j in range(k, 0, -1):
+        ctes.append(f"{p}_b{k}_{j - 1} AS MATERIALIZED (SELECT r.l AS i FROM {p}_d{j} WHERE i = (SELECT i FROM {p}_b{k}_{j}))")
+    mean = [f"(SELECT (b.s - a.s) / (b.w - a.w) FROM {p}_h a, {p}_h b WHERE a.i = (SELECT i FROM {p}_b{k}_{j}) "
+            f"AND b.i = (SELECT i FROM {p}_b{k}_{j + 1})) + m AS c{j}" for j in range(k)]
+    ctes.append(f"{p}_c{k} AS MATERIALIZED (SELECT {', '.join(mean)} FROM "
+                f"(SELECT round(sum(weight * value) / sum(weight)) AS m FROM {hist}))")
+    return ctes, f"{p}_c{k}"
 
 
 def assign_case(x: str, c: str, k: int) -> str:
@@ -379,8 +390,9 @@ def assign_case(x: str, c: str, k: int) -> str:
 
 
 def ranked_clusters_ctes(p: str, hist: str, k: int) -> tuple[list[str], str, str]:
-    """k-means chain + the rank map ``{p}_rank(cl, rank)`` by weighted cluster mean."""
-    ctes, final = kmeans_ctes(p, hist, k)
+    """Best clustering + the rank map ``{p}_rank(cl, rank)`` by weighted cluster mean."""
+    centres, final = centre_ctes(p, hist, k)
+    ctes = best_ctes(p, hist, k) + centres
     ctes.append(f"{p}_rank AS MATERIALIZED (SELECT cl, CAST(row_number() OVER (ORDER BY m, cl) - 1 "
                 f"AS INTEGER) AS rank FROM (SELECT {assign_case('h.value', 'c', k)} AS cl, "
                 f"sum(h.weight * h.value) / sum(h.weight) AS m FROM {hist} h, {final} c GROUP BY 1))")
@@ -627,20 +639,21 @@ SELECT split, round(avg(CASE WHEN CLV_cluster = prediction THEN 1.0 ELSE 0.0 END
        count(*) AS n FROM predicted GROUP BY 1""", extra=CLASSIFIED))
 
 
-def _elbow_sql(ks=range(1, 8), measure: str = "recency", iters: int = 60) -> str:
+def _elbow_sql(measure: str, most: int = 7, digits: int = 0) -> str:
     parts = [MEASURES, f"h_rec AS MATERIALIZED (SELECT CAST({measure} AS DOUBLE) AS value, "
-                       "CAST(sum(rows) AS DOUBLE) AS weight FROM per GROUP BY 1)"]
+                       "CAST(sum(rows) AS DOUBLE) AS weight FROM per GROUP BY 1)", *best_ctes("e", "h_rec", most)]
     sse = []
-    for k in ks:
-        ctes, final = kmeans_ctes(f"e{k}", "h_rec", k, iters)
+    for k in range(1, most + 1):
+        ctes, final = centre_ctes("e", "h_rec", k)
         parts += ctes
         centre = ("c.c0" if k == 1 else
                   "CASE " + " ".join(f"WHEN {assign_case('h.value', 'c', k)} = {i} THEN c.c{i}"
                                      for i in range(k)) + " END")
-        sse.append(f"SELECT {k} AS k, round(sum(h.weight * (h.value - {centre}) ^ 2), 0) AS sse "
+        sse.append(f"SELECT {k} AS k, round(sum(h.weight * (h.value - {centre}) ^ 2), {digits}) AS sse "
                    f"FROM h_rec h, {final} c")
     return with_fact("\nUNION ALL\n".join(sse), extra=",\n".join(parts))
 
 
-register("elbow_curve", _elbow_sql())
-register("elbow_frequency", _elbow_sql(measure="frequency"))
+register("elbow_curve", _elbow_sql("recency"))
+register("elbow_frequency", _elbow_sql("frequency"))
+register("elbow_revenue", _elbow_sql("revenue", digits=-6))

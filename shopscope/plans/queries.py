@@ -74,7 +74,7 @@ MEASURES = ("recency", "frequency", "revenue")
 
 def _measures(spark: SparkSession, sf: str) -> DataFrame:
     """Per-customer measures (one pass over the fact), materialized: every later step
-    (histograms, Lloyd iterations, quantiles, windows) reads this small table."""
+    (histograms, clusterings, quantiles, windows) reads this small table."""
     return materialize(rfm.customer_measures(_clv_rows(spark, sf), windows=WINDOWS))
 
 
@@ -87,7 +87,7 @@ def _clv_value(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """(clv rows, customers under the p99 window value with their value cluster).
 
     The window value needs no cluster, so its p99 is found first and the value clustering
-    (on the customers under it) runs in the same Lloyd iterations as R, F and M."""
+    (on the customers under it) runs in the same jobs as that of R, F and M."""
     val = clv.window_value(_measures(spark, sf), "long")
     p99 = clv.upper_quantile(val, "m14_revenue", 0.99)
     kept = F.col("m14_revenue") < F.lit(p99)
@@ -340,6 +340,13 @@ def elbow_frequency(spark, sf):
     return finish(elbow(value_histogram(per, "frequency", "rows"), range(1, 8)), digits=0)
 
 
+@query
+def elbow_revenue(spark, sf):
+    per = _measures(spark, sf)
+    # squares of millions: whole millions of the sums of squares
+    return finish(elbow(value_histogram(per, "revenue", "rows"), range(1, 8)), digits=-6)
+
+
 @query
 def rfm_clusters(spark, sf):
     _, per = _rfm(spark, sf)
