@@ -107,6 +107,38 @@ FROM supplier s JOIN customer c ON s.s_nationkey = c.c_nationkey
 JOIN nation n ON n.n_nationkey = s.s_nationkey
 GROUP BY n.n_name""")
 
+
+
+def _marketplace_sql(geo: str) -> str:
+    return f"""
+WITH geo0 AS (
+  SELECT c_nationkey * 100 + c_custkey % 20 AS zip, c_nationkey * CAST(1.5 AS DOUBLE) - 20 + (c_custkey % 7) * CAST(0.125 AS DOUBLE) AS lat,
+         c_nationkey * CAST(2.0 AS DOUBLE) - 60 + (c_custkey % 11) * CAST(0.125 AS DOUBLE) AS lng,
+         n_name || ' ' || (c_custkey % 3) AS city, n_name AS state
+  FROM customer JOIN nation ON c_nationkey = n_nationkey
+), geo AS ({geo}
+), pay AS (SELECT o_orderkey AS order_id, CASE WHEN o_orderkey % 4 = 0 THEN o_totalprice / 2 ELSE o_totalprice END AS payment_value,
+                  unnest(range(CASE WHEN o_orderkey % 4 = 0 THEN 2 ELSE 1 END)) AS part FROM orders
+), near AS (
+  SELECT s_suppkey AS seller_id_y, geo.*, CASE WHEN s_suppkey % 2 = 0 THEN 'search' ELSE 'social' END AS origin
+  FROM supplier JOIN geo ON geo.zip = s_nationkey * 100 + s_suppkey % 20 WHERE s_suppkey % 3 = 0
+)
+SELECT n_name AS customer_state, origin, count(*) AS n, count(DISTINCT o_orderkey) AS orders, count(DISTINCT seller_id_y) AS zip_sellers,
+       round(sum(l_extendedprice), 2) AS total_price, round(sum(payment_value), 2) AS total_paid, round(avg(lat), 4) AS lat,
+       round(avg(lng), 4) AS lng, max(city) AS last_city, CAST(sum(CASE WHEN l_suppkey = seller_id_y THEN 1 ELSE 0 END) AS BIGINT) AS own_seller_rows
+FROM orders JOIN pay ON pay.order_id = o_orderkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey
+JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey
+JOIN near ON near.zip = c_nationkey * 100 + c_custkey % 20
+WHERE o_orderkey % 10 <> 0
+GROUP BY n_name, origin"""
+
+
+register("denormalize_marketplace", _marketplace_sql("SELECT * FROM geo0"))
+register("denormalize_geo_dedupe", _marketplace_sql("""
+  SELECT zip, avg(lat) AS lat, avg(lng) AS lng,
+         (SELECT city FROM geo0 g WHERE g.zip = geo0.zip GROUP BY city ORDER BY count(*) DESC, city LIMIT 1) AS city, max(state) AS state
+  FROM geo0 GROUP BY zip"""))
+
 register("category_lookup_join", with_fact("""
 SELECT t.product_category_name_english AS category, count(*) AS n,
        round(sum(f.price), 2) AS total_price

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from shopscope.functions import hash_bucket, whole_days
-from shopscope.operators import (cleaning, clv, explore, joins, models, profile, rfm,
+from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, rfm,
                                  sampling, stats)
 from shopscope.operators.cluster import elbow, value_histogram
 from shopscope.session import materialize
@@ -119,6 +119,29 @@ def zip_fanout_counts(spark, sf):
                     F.col("n_right").alias("customers"), F.col("n_pairs").alias("pairs")))
 
 
+def _marketplace(spark, sf, geo_dedupe: bool) -> DataFrame:
+    rows = marketplace.denormalize(standins.marketplace_tables(spark, sf), geo_dedupe)
+    return finish(rows.groupBy("customer_state", "origin").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("order_id").alias("orders"),
+        F.countDistinct("seller_id_y").alias("zip_sellers"), F.sum("price").alias("total_price"),
+        F.sum("payment_value").alias("total_paid"), F.avg("geolocation_lat").alias("lat"),
+        F.avg("geolocation_lng").alias("lng"), F.max("geolocation_city").alias("last_city"),
+        F.sum(F.when(F.col("seller_id_x") == F.col("seller_id_y"), 1).otherwise(0)).alias("own_seller_rows")),
+        money=("total_price", "total_paid"))
+
+
+@query
+def denormalize_marketplace(spark, sf):
+    """All ten tables joined with the full zip fan-out, summed by state and lead origin."""
+    return _marketplace(spark, sf, False)
+
+
+@query
+def denormalize_geo_dedupe(spark, sf):
+    """As denormalize_marketplace, with one centroid a zip."""
+    return _marketplace(spark, sf, True)
+
+
 @query
 def category_lookup_join(spark, sf):
     named = joins.lookup_join(_fact(spark, sf), standins.category_translation(spark, sf),

@@ -124,3 +124,50 @@ def category_translation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (p.select(F.col("p_brand").alias("product_category_name")).distinct()
             .withColumn("product_category_name_english",
                         F.lower(F.regexp_replace("product_category_name", "#", "_"))))
+
+
+def marketplace_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The ten marketplace tables derived from the driver tables (names as in the CSV schemas).
+
+    A zip prefix is the nation and the last digits of the key, so that sellers, location points and
+    customers meet many to many. Nine of ten orders have a review, one of four is paid in two parts, every
+    customer is a location point, every third supplier has a closed deal."""
+    o, li, p, s, c, n = (read_table(spark, sf_dir, x) for x in ("orders", "lineitem", "part", "supplier", "customer", "nation"))
+
+    def zip_of(nation: str, key: str):
+        return (F.col(nation) * 100 + F.pmod(F.col(key), F.lit(20))).cast("int")
+
+    key = F.col("o_orderkey")
+    part = F.explode(F.sequence(F.lit(1), F.when(key % 4 == 0, 2).otherwise(1)))
+    place = c.join(F.broadcast(n), c.c_nationkey == n.n_nationkey)
+    deal = s.where("s_suppkey % 3 = 0")
+    return {
+        "order_reviews": o.where(key % 10 != 0).select(
+            F.concat(F.lit("r"), key).alias("review_id"), key.alias("order_id"), (key % 5 + 1).cast("int").alias("review_score")),
+        "orders": o.select(key.alias("order_id"), F.col("o_custkey").alias("customer_id"), F.col("o_orderstatus").alias("order_status"),
+                           F.col("o_orderdate").alias("order_purchase_timestamp")),
+        "order_payments": o.select(key.alias("order_id"), "o_totalprice", part.alias("payment_sequential")).select(
+            "order_id", "payment_sequential", F.when(F.col("order_id") % 4 == 0, F.col("o_totalprice") / 2)
+            .otherwise(F.col("o_totalprice")).alias("payment_value")),
+        "order_items": li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("order_item_id"),
+                                 F.col("l_partkey").alias("product_id"), F.col("l_suppkey").alias("seller_id"),
+                                 F.col("l_extendedprice").alias("price"), F.col("l_quantity").alias("freight_value")),
+        "products": p.select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("product_category_name"),
+                             F.col("p_size").alias("product_weight_g")),
+        "sellers": s.select(F.col("s_suppkey").alias("seller_id"), zip_of("s_nationkey", "s_suppkey").alias("seller_zip_code_prefix")),
+        "geolocation": place.select(
+            zip_of("c_nationkey", "c_custkey").alias("geolocation_zip_code_prefix"),
+            (F.col("c_nationkey") * 1.5 - 20 + (F.col("c_custkey") % 7) * 0.125).alias("geolocation_lat"),
+            (F.col("c_nationkey") * 2.0 - 60 + (F.col("c_custkey") % 11) * 0.125).alias("geolocation_lng"),
+            F.concat(F.col("n_name"), F.lit(" "), F.col("c_custkey") % 3).alias("geolocation_city"),
+            F.col("n_name").alias("geolocation_state")),
+        "customers": place.select(
+            F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("customer_unique_id"),
+            zip_of("c_nationkey", "c_custkey").alias("customer_zip_code_prefix"), F.col("n_name").alias("customer_state")),
+        "closed_deals": deal.select(F.concat(F.lit("m"), F.col("s_suppkey")).alias("mql_id"), F.col("s_suppkey").alias("seller_id"),
+                                    F.element_at(F.array(*[F.lit(x) for x in ("cat", "eagle", "wolf")]), (F.col("s_suppkey") % 3 + 1).cast("int"))
+                                    .alias("lead_behaviour_profile")),
+        "marketing_qualified_leads": deal.select(
+            F.concat(F.lit("m"), F.col("s_suppkey")).alias("mql_id"),
+            F.when(F.col("s_suppkey") % 2 == 0, "search").otherwise("social").alias("origin")),
+    }
