@@ -6,15 +6,15 @@ Spark's ``percentile`` aggregate keeps every distinct value of a group in one bu
 global quantile merges all of them in one task. ``quantiles`` instead:
 
 1. reduces the column to (group, value, count) - a hot value collapses to one row,
-2. takes bucket edges per group from ``percentile_approx`` (a bounded sketch; edges only
-   balance the work, they never change the answer), one bucket per shuffle partition or more,
-3. ranks values inside each (group, bucket) with a running sum over a window partitioned by
-   (group, bucket), plus the bucket's offset from a (groups x buckets)-row table,
-4. joins the wanted ranks floor(p(n-1)) and ceil(p(n-1)) to the bucket that holds them and
+2. range-partitions these rows by (group, value) and writes them down with their partition, so a
+   large group is spread over many partitions and many small groups share one,
+3. carries the counts of a group's earlier partitions into its later ones (a table of at most
+   groups + partitions rows) and ranks values inside each (group, partition) with a running sum,
+4. joins the wanted ranks floor(p(n-1)) and ceil(p(n-1)) to the partition that holds them and
    interpolates linearly (the definition of pandas ``quantile``, Spark ``percentile`` and
    DuckDB ``quantile_cont``).
 
-No step holds more than one bucket of one group's distinct values in a task.
+No step holds more than one partition of one group's distinct values in a task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from shopscope.functions import bucket_by_edges
 from shopscope.session import materialize
 
 DESCRIBE_PROBS = (0.25, 0.5, 0.75)
@@ -61,28 +60,19 @@ def value_hist(df: DataFrame, column: str, by: Sequence[str] = (),
     return base.groupBy(*by, x.alias("__x")).agg(F.sum(wt).alias("__c"))
 
 
-def _bucketed(hist: DataFrame, by: list[str], cuts: list[float], accuracy: int) -> DataFrame:
-    """The histogram with ``__b``, the range of its group's distinct values a value lies in.
+def ranged(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A histogram written down in ranges of (group, value), with the range's number ``__b``.
 
-    Edges are taken per group, so a narrow column is split as finely as a wide one. They stay
-    in a table (one row a group): the same edges serve every reading of the result."""
-    edges = F.percentile_approx("__x", cuts, accuracy)
-    if not by:
-        found = sorted(set(hist.agg(edges.alias("e")).first()["e"] or []))
-        return hist.withColumn("__b", bucket_by_edges("__x", found) if found else F.lit(0))
-    per_group = materialize(hist.groupBy(*by).agg(F.array_distinct(edges).alias("__e")))
-    below = F.size(F.filter("__e", lambda e: e < F.col("__x")))
-    return hist.join(per_group, by).withColumn("__b", below).drop("__e")
+    Range borders come from a sample and differ from run to run; written once, all readers agree."""
+    parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return materialize(hist.repartitionByRange(parts, *by, "__x").withColumn("__b", F.spark_partition_id()))
 
 
-def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = (),
-                        buckets: int = 64, accuracy: int = 10000) -> DataFrame:
-    """Exact quantiles from a (*by, __x, __c) histogram (see module doc)."""
+def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """Exact quantiles from a (*by, __x, __c) histogram, ``ranged`` or not (see module doc)."""
     by = list(by)
     plist = [float(p) for p in probs]
-    hist = hist.where(F.col("__x").isNotNull())
-    buckets = max(buckets, int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    hb = _bucketed(hist, by, [i / buckets for i in range(1, buckets)], accuracy)
+    hb = (hist if "__b" in hist.columns else ranged(hist, by)).where(F.col("__x").isNotNull())
     sizes = hb.groupBy(*by, "__b").agg(F.sum("__c").alias("__bc"))
     before = _window(by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     pos = F.col("p") * (F.col("__n") - 1)
@@ -107,15 +97,15 @@ def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[st
 
 
 def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[str] = (),
-              method: str = "exact", buckets: int = 64, accuracy: int = 10000,
-              weight_col: str | None = None, materialize_hist: bool = True) -> DataFrame:
+              method: str = "exact", accuracy: int = 10000,
+              weight_col: str | None = None) -> DataFrame:
     """Linear-interpolation quantiles of ``column`` per group: columns ``*by, p, value``.
 
     ``method``: ``"exact"`` (distributed, see module doc), ``"percentile"`` (Spark's exact
     aggregate: fine for small groups) or ``"approx"`` (``percentile_approx``).
     ``weight_col`` (exact method only) gives each row an integer multiplicity, as if it
-    were repeated that many times. The exact method evaluates ``df`` once: its histogram
-    is materialized (``materialize_hist``) before the ranking jobs read it.
+    were repeated that many times. The exact method evaluates ``df`` once: its histogram is
+    written down before the ranking jobs read it.
     """
     by = list(by)
     plist = [float(p) for p in probs]
@@ -132,10 +122,7 @@ def quantiles(df: DataFrame, column: str, probs: Sequence[float], by: Sequence[s
             *by, F.element_at(arg, F.col("__i") + 1).alias("p"), "value")
     if method != "exact":
         raise ValueError(method)
-    hist = value_hist(df, column, by, weight_col)
-    if materialize_hist:
-        hist = materialize(hist)
-    return quantiles_from_hist(hist, plist, by, buckets, accuracy)
+    return quantiles_from_hist(value_hist(df, column, by, weight_col), plist, by)
 
 
 def _pname(p: float) -> str:
@@ -184,7 +171,7 @@ def describe(df: DataFrame, column: str, by: Sequence[str] = (), method: str = "
     if weight_col and method != "exact":
         raise ValueError("weights need method='exact'")
     if method == "exact":
-        hist = materialize(value_hist(df, column, by, weight_col))
+        hist = ranged(value_hist(df, column, by, weight_col), by)
         moments = _moments_from_hist(hist, by)
         qs = quantiles_from_hist(hist, DESCRIBE_PROBS, by)
         qs = qs.groupBy(*by).agg(*[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("value")))
@@ -264,7 +251,7 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None,
     """
     cols = list(columns) if columns is not None else numeric_columns(df)
     long = _long(df, cols, "double")
-    hist = materialize(value_hist(long, "value", ["column"], keep_nulls=True))
+    hist = ranged(value_hist(long, "value", ["column"], keep_nulls=True), ["column"])
     counts = hist.groupBy("column").agg(
         F.sum("__c").alias("rows"),
         F.sum(F.when(F.col("__x").isNull(), F.col("__c"))).alias("n_null"),
