@@ -60,12 +60,12 @@ def value_hist(df: DataFrame, column: str, by: Sequence[str] = (),
     return base.groupBy(*by, x.alias("__x")).agg(F.sum(wt).alias("__c"))
 
 
-def ranged(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+def ranged(hist: DataFrame, by: Sequence[str] = (), values: Sequence[str] = ("__x",)) -> DataFrame:
     """A histogram written down in ranges of (group, value), with the range's number ``__b``.
 
     Range borders come from a sample and differ from run to run; written once, all readers agree."""
     parts = int(hist.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return materialize(hist.repartitionByRange(parts, *by, "__x").withColumn("__b", F.spark_partition_id()))
+    return materialize(hist.repartitionByRange(parts, *by, *values).withColumn("__b", F.spark_partition_id()))
 
 
 def quantiles_from_hist(hist: DataFrame, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
@@ -215,6 +215,35 @@ def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
                           "n").orderBy("bin")
 
 
+def auto_bins(hist: DataFrame, max_bins: int = 1000) -> DataFrame:
+    """One row (lo, width, bins) for the histogram of a ``ranged`` (__x, __c) histogram of values.
+
+    The width is the narrower of Freedman-Diaconis, 2 * (p75 - p25) / n^(1/3), and Sturges,
+    (max - min) / (log2(n) + 1); without an interquartile range Sturges holds. At most ``max_bins``."""
+    q = quantiles_from_hist(hist, (0.25, 0.75)).agg((F.max("value") - F.min("value")).alias("iqr")).scalar()
+    base = hist.where(F.col("__x").isNotNull()).agg(F.min("__x").alias("lo"), F.max("__x").alias("hi"), F.sum("__c").alias("n"))
+    n, extent = F.col("n").cast("double"), F.col("hi") - F.col("lo")
+    sturges = extent / (F.log2(n) + 1)
+    fd = F.lit(2.0) * F.col("iqr") * F.pow(n, F.lit(-1.0 / 3))
+    width = F.when(F.col("iqr") > 0, F.least(fd, sturges)).otherwise(sturges)
+    bins = F.when(extent > 0, F.least(F.ceil(extent / width), F.lit(max_bins))).otherwise(F.lit(1))
+    return base.withColumn("iqr", q).select("lo", (extent / bins).alias("width"), bins.cast("int").alias("bins"))
+
+
+def auto_histogram(df: DataFrame, column: str, weight_col: str | None = None, max_bins: int = 1000) -> DataFrame:
+    """Histogram whose bins follow the data (``auto_bins``): ``bin, lo, hi, n``, empty bins left out.
+
+    The input is reduced once to its distinct values; bin rule and counts are computed from those.
+    ``weight_col``: integer multiplicity of each row. x = max lies in the last bin."""
+    hist = ranged(value_hist(df, column, (), weight_col))
+    rule = auto_bins(hist, max_bins).select(F.struct("lo", "width", "bins")).scalar()
+    lo, width, bins = (rule.getField(c) for c in ("lo", "width", "bins"))
+    b = F.when(width > 0, F.least(F.floor((F.col("__x") - lo) / width), bins - 1)).otherwise(F.lit(0))
+    counted = hist.where(F.col("__x").isNotNull()).select(b.cast("int").alias("bin"), lo.alias("l"), width.alias("w"), "__c")         .groupBy("bin", "l", "w").agg(F.sum("__c").alias("n"))
+    return counted.select("bin", (F.col("l") + F.col("bin") * F.col("w")).alias("lo"),
+                          (F.col("l") + (F.col("bin") + 1) * F.col("w")).alias("hi"), "n").orderBy("bin")
+
+
 def _long(df: DataFrame, columns: Sequence[str], cast: str) -> DataFrame:
     """(column, value) pairs, one per input row and column (an Expand, not a Generate)."""
     return (df.select(*[F.col(f"`{c}`").cast(cast).alias(c) for c in columns])

@@ -184,6 +184,36 @@ SELECT '{c}' AS column, count({c}) AS n, count(*) - count({c}) AS n_null,
        round(quantile_cont({c}, 0.75), 4) AS p75
 FROM f""" for c in NUMERIC), extra="f AS MATERIALIZED (SELECT * FROM fact)"))
 
+_REPORT_TYPES = {**dict.fromkeys(("customer_id", "order_id", "product_id", "seller_id", "customer_unique_id"), "bigint"),
+                 **dict.fromkeys(("line_number", "zip_code_prefix_x", "zip_code_prefix_y"), "int"),
+                 **dict.fromkeys(NUMERIC + ("declared_monthly_revenue",), "double"),
+                 **dict.fromkeys(("order_purchase_timestamp", "shipping_limit_date"), "timestamp_ntz")}
+
+
+def _report_sql(columns, top: int) -> str:
+    rows = []
+    for c in columns:
+        dtype = _REPORT_TYPES.get(c, "string")
+        number = dtype in ("bigint", "int", "double")
+        text = (f"CAST(CAST({c} AS DECIMAL(38,6)) AS VARCHAR)" if number else
+                f"strftime({c}, '%Y-%m-%d %H:%M:%S.%f')" if dtype == "timestamp_ntz" else c)
+        x, t = (f"CAST({c} AS DOUBLE)", "CAST(NULL AS VARCHAR)") if number else ("CAST(NULL AS DOUBLE)", text)
+        rows.append(f"""
+SELECT '{c}' AS "column", '{dtype}' AS dtype, count({c}) AS n, count(*) - count({c}) AS n_null,
+       round(100.0 * (count(*) - count({c})) / count(*), 4) AS null_pct, count(DISTINCT {c}) AS n_distinct,
+       round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, round(min({x}), 4) AS min, round(max({x}), 4) AS max,
+       round(quantile_cont({x}, 0.25), 4) AS p25, round(quantile_cont({x}, 0.5), 4) AS p50, round(quantile_cont({x}, 0.75), 4) AS p75,
+       min({t}) AS min_text, max({t}) AS max_text,
+       (SELECT string_agg(v || ':' || m, '; ' ORDER BY m DESC, v) FROM (
+          SELECT {text} AS v, count(*) AS m FROM gaps WHERE {c} IS NOT NULL GROUP BY 1 ORDER BY m DESC, v LIMIT {top})) AS top
+FROM gaps""")
+    return with_fact("\nUNION ALL\n".join(rows), extra=f"gaps AS MATERIALIZED ({GAPS})")
+
+
+register("column_report", _report_sql(FACT_RAW_COLUMNS + GAP_COLUMNS, 5))
+register("column_report_numeric", _report_sql(
+    [c for c in FACT_RAW_COLUMNS + GAP_COLUMNS if _REPORT_TYPES.get(c) in ("bigint", "int", "double")], 2))
+
 register("top_values", with_fact(f"""
 SELECT "column", value, n, CAST(rank AS INTEGER) AS rank FROM (
   SELECT "column", value, n,
@@ -374,6 +404,27 @@ FROM {src}""" for m in ("recency", "frequency", "revenue"))
 register("measure_describe", with_fact(_describe_measures("clv JOIN per USING (customer_unique_id)"),
                                        extra=MEASURES))
 
+
+
+def _auto_histogram_sql(measure: str, digits: int = 4, most: int = 1000) -> str:
+    return with_fact(f"""
+SELECT bin, round(lo + bin * (extent / bins), {digits}) AS lo, round(lo + (bin + 1) * (extent / bins), {digits}) AS hi,
+       CAST(count(*) AS BIGINT) AS n
+FROM (SELECT CAST(CASE WHEN extent > 0 THEN least(floor((x - lo) / (extent / bins)), bins - 1) ELSE 0 END AS INTEGER) AS bin,
+             lo, extent, bins FROM v, rule)
+GROUP BY bin, lo, extent, bins""", extra=MEASURES + f""",
+v AS MATERIALIZED (SELECT CAST({measure} AS DOUBLE) AS x FROM clv JOIN per USING (customer_unique_id)),
+spread AS (SELECT min(x) AS lo, max(x) - min(x) AS extent, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr,
+                  CAST(count(*) AS DOUBLE) AS n FROM v),
+widths AS (SELECT *, extent / (log2(n) + 1) AS sturges, 2 * iqr * n ^ (-1.0 / 3) AS fd FROM spread),
+rule AS MATERIALIZED (SELECT lo, extent, CASE WHEN extent > 0 THEN least(ceil(extent / CASE WHEN iqr > 0 THEN least(fd, sturges)
+                             ELSE sturges END), {most}) ELSE 1 END AS bins FROM widths)""")
+
+
+register("recency_histogram", _auto_histogram_sql("recency"))
+register("frequency_histogram", _auto_histogram_sql("frequency"))
+register("revenue_histogram", _auto_histogram_sql("revenue", 2))
+
 register("event_recency_days", f"""
 WITH per AS (SELECT user_id, max(ts) AS last_ts FROM events WHERE user_id IS NOT NULL GROUP BY 1),
 g AS (SELECT max(last_ts) AS latest FROM per)

@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from shopscope.functions import hash_bucket, whole_days
-from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, rfm,
-                                 sampling, stats)
+from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, report,
+                                 rfm, sampling, stats)
 from shopscope.operators.cluster import elbow, value_histogram
-from shopscope.session import materialize
+from shopscope.session import materialize, shared_folder
 from shopscope.sources import standins
-from shopscope.sources.tables import read_table
+from shopscope.sources.tables import read_facts, read_table, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -169,6 +169,26 @@ def column_profile(spark, sf):
     return finish(profile.profile(_fact(spark, sf), list(NUMERIC)))
 
 
+def _top_text(df: DataFrame) -> DataFrame:
+    one = F.transform("top", lambda r: F.concat(r["value"], F.lit(":"), r["n"].cast("string")))
+    return df.withColumn("top", F.array_join(one, "; "))
+
+
+@query
+def column_report(spark, sf):
+    """Every column of the fact with gaps, whatever its type; the report is a Parquet file."""
+    path = shared_folder(spark, "column-report")
+    write_facts(report.profile_columns(standins.fact_with_gaps(spark, sf)), path)
+    return _top_text(finish(read_facts(spark, path)))
+
+
+@query
+def column_report_numeric(spark, sf):
+    """The report over the columns that are numbers, chosen by their type."""
+    fact = standins.fact_with_gaps(spark, sf)
+    return _top_text(finish(report.profile_columns(fact, profile.numeric_columns(fact), top=2)))
+
+
 @query
 def top_values(spark, sf):
     return profile.top_values(_fact(spark, sf), list(PROFILE_STRINGS), k=5) \
@@ -190,6 +210,21 @@ def price_histogram(spark, sf):
     return finish(profile.histogram(_fact(spark, sf), "price", bins=10))
 
 
+@query
+def recency_histogram(spark, sf):
+    return finish(profile.auto_histogram(_measures(spark, sf), "recency", "rows"))
+
+
+@query
+def frequency_histogram(spark, sf):
+    return finish(profile.auto_histogram(_measures(spark, sf), "frequency", "rows"))
+
+
+@query
+def revenue_histogram(spark, sf):
+    return finish(profile.auto_histogram(_measures(spark, sf), "revenue", "rows"), digits=2)
+
+
 @query
 def fact_summary(spark, sf):
     s = rfm.summary(rfm.clv_base(_fact(spark, sf)))

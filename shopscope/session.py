@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -68,6 +69,16 @@ def scratch_dir(prefix: str = "shopscope-") -> str:
     return tempfile.mkdtemp(prefix=prefix, dir="/tmp")
 
 
+def shared_folder(spark: SparkSession, tag: str) -> str:
+    """A new folder name under the cluster's shared ``spark.checkpoint.dir``.
+
+    Only a local master without that setting gets a scratch folder of its own."""
+    root = ensure_checkpoint_dir(spark)
+    if root is None:
+        root = ensure_checkpoint_dir(spark, fallback=scratch_dir())
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
 def materialize(df, eager: bool = True):
     """Cut a DataFrame's lineage so that later jobs (and a lost executor) start from it.
 
