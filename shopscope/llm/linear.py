@@ -1,8 +1,9 @@
 """Logistic regression on hashed sparse rows: fitted on a bounded sample, then calibrated.
 
-The sample is at most a documented number of labelled rows, so it fits one process; scoring, which
-covers all rows, happens in the operators' Arrow batches. Everything is deterministic: rows are
-chosen and divided by hashes of their ids, and the solver starts at zero.
+The sample is bounded in rows and in bytes of text (``bounded_sample``), and the driver gets of it only the
+features that say something about the label (``telling_features`` counts them in Spark), as int32 and
+float32. Scoring, which covers all rows, happens in the operators' Arrow batches. Everything is
+deterministic: rows are chosen and divided by hashes of their ids, and the solver starts at zero.
 """
 
 from __future__ import annotations
@@ -13,9 +14,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shopscope.llm.common import staged
+
 SAMPLE_SCHEMA = "doc_id long, label int, idx binary, val binary"
 
 
@@ -48,12 +51,54 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
 
-def collected(sample: DataFrame, features) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def bounded_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int, most_bytes: int) -> DataFrame:
+    """The labelled sample as a table, cut to ``most_bytes`` bytes of text: rows in the order of their
+    hashes as far as the sum allows; a row with more than a sixteenth of it is left out."""
+    found = staged(labelled_sample(docs, labels, column, rows)
+                   .withColumn("row_key", F.xxhash64("doc_id", "text")), "labelled")
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "row_key")  # at most ``rows`` labelled ids
+    sizes = found.select("doc_id", "row_key", F.octet_length("text").cast("long").alias("size")).where(F.col("size") <= most_bytes // 16)
+    kept = sizes.withColumn("total", F.sum("size").over(order)).where(F.col("total") <= most_bytes).select("row_key").distinct()
+    return found.join(kept, "row_key", "left_semi").drop("row_key")
+
+
+def telling_features(sample: DataFrame, features, least: float, most: int) -> np.ndarray:
+    """At most ``most`` feature numbers whose rows have an unlikely share of label 1 (Chernoff: a share as far
+    off has a probability of exp(-least) at most if the feature says nothing), the least likely first.
+
+    Rows are counted for each feature by the tasks and summed by Spark."""
+    def run(batches):
+        for b in batches:
+            labels = b.column("label").to_numpy(zero_copy_only=False)
+            rows = [i for i, _ in features(b)]
+            if not rows:
+                continue
+            used, at = np.unique(np.concatenate(rows), return_inverse=True)
+            y = np.repeat(labels, [len(i) for i in rows])
+            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.bincount(at, minlength=len(used))),
+                                              pa.array(np.bincount(at, y, minlength=len(used)).astype(np.int64))], names=["f", "n", "ones"])
+
+    total = sample.agg(F.avg("label").alias("q")).first()["q"]
+    if total is None:
+        return np.zeros(0, np.int64)
+    q = float(np.clip(total, 1e-9, 1 - 1e-9))
+    counted = sample.select("doc_id", "label", "text").mapInArrow(run, "f int, n long, ones long") \
+        .groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
+    p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("ones") / F.col("n")))
+    far = F.col("n") * (p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q)))
+    best = counted.select("f", far.alias("far")).where(F.col("far") >= least).orderBy(F.desc("far"), "f").limit(most)
+    return np.sort(np.array([r["f"] for r in best.collect()], dtype=np.int64))
+
+
+def collected(sample: DataFrame, features, wanted: np.ndarray | None = None
+              ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, labels, indptr, idx, val) of the sample, in the order of ids. ``features`` maps record
-    batches to (idx, val) arrays for each row."""
+    batches to (idx, val) arrays for each row; of these only the ``wanted`` ones (default: all) are sent."""
     def run(batches):
         for b in batches:
             rows = features(b)
+            if wanted is not None:
+                rows = [(i[k], v[k]) for i, v in rows for k in [np.isin(i, wanted)]]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), b.column("label"), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())],
@@ -101,12 +146,13 @@ def fit(ids, y, indptr, idx, val, dim: int, l2: float = 1e-6, steps: int = 120,
         return constant
     rest = np.array([zlib.crc32(f"fold {i}".encode()) % 5 == 0 for i in ids])
     train = ~rest if 0 < y[~rest].sum() < (~rest).sum() else np.ones(n, bool)
-    row_of = np.repeat(np.arange(n), np.diff(indptr))
-    used, col = np.unique(idx, return_inverse=True)
+    row_of = np.repeat(np.arange(n, dtype=np.int32), np.diff(indptr))
+    used = np.unique(idx)
+    col = np.searchsorted(used, idx).astype(np.int32)
     w, b = np.zeros(len(used)), constant.bias
     m, v, mb, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     in_train = train[row_of]
-    tc, tv, tr = col[in_train], val[in_train].astype(np.float64), row_of[in_train]
+    tc, tv, tr = col[in_train], val[in_train], row_of[in_train]
     if swaps is not None:
         near = [np.searchsorted(used, x) for x in swaps[:2]]
         known = np.ones(len(swaps[0]), bool)

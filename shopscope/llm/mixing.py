@@ -92,7 +92,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the input's own columns.
 
     Texts stay whole: the document that reaches the budget is taken if at least half of it is within."""
-    given = F.struct(*[docs[c] for c in docs.columns]).alias("given")
+    given = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given")
     out = _selected(docs, given).withColumn(
         "copies", (F.col("epochs") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).cast("int"))
     return out.where("copies > 0").select("given", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("given.*")

@@ -275,7 +275,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with every span replaced by its kind in brackets (n_chars, if there, follows)."""
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"),
+    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     found = staged(with_spans(given), "pii-found")
     out = accepted(found, train(vote_counts(found)))
@@ -289,10 +289,10 @@ def redact(docs: DataFrame) -> DataFrame:
 
     done = F.aggregate(F.col("all_spans"), F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut, lambda acc: F.concat(
         acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    out = out.withColumn("clean", F.when(F.size("all_spans") > 0, done).otherwise(F.col("given.text")))
     lower = {c.lower(): c for c in docs.columns}
+    out = out.withColumn("clean", F.when(F.size("all_spans") > 0, done).otherwise(F.col("given")[lower["text"]]))
     put = {lower["text"]: F.col("clean")}
     if "n_chars" in lower:
         put[lower["n_chars"]] = F.when(F.size("all_spans") > 0, F.length("clean").cast(docs.schema[lower["n_chars"]].dataType)) \
-            .otherwise(F.col(f"given.{lower['n_chars']}"))
-    return out.select(*[put.get(c, F.col(f"given.`{c}`")).alias(c) for c in docs.columns])
+            .otherwise(F.col("given")[lower["n_chars"]])
+    return out.select(*[put.get(c, F.col("given")[c]).alias(c) for c in docs.columns])

@@ -1,9 +1,10 @@
 """Quality rules: fixed text rules, then a calibrated logistic regression on hashed n-grams.
 
-Features are the shares of hashed words and of hashed 3-byte strings in a text, so a score doesn't
-depend on length. The regression is trained on at most ``SAMPLE`` rows that ``labels.quality`` marks
-(chosen by hash of doc_id), calibrated on a held-out fifth of them (Platt), and scored over whole
-texts in Arrow batches. A document is kept if no rule fails and its probability of good quality
+Features are the shares of hashed words, pairs of consecutive words and strings of three characters in
+a text, so a score doesn't depend on length. The regression is trained on at most ``SAMPLE`` rows that
+``labels.quality`` marks (chosen by hash of doc_id, ``SAMPLE_BYTES`` bytes of text in all, none of more than a
+sixteenth of that) and on the at most ``FEATURES`` features whose rows differ most in their labels. It is
+calibrated on a held-out fifth of the sample (Platt) and scored over whole texts in Arrow batches. A document is kept if no rule fails and its probability of good quality
 reaches ``KEEP_AT``. Without ten labels, or labels of both kinds, the rules alone decide.
 
 Null text: no words, fails. Lines and windows are compared within one document only; repeated rows
@@ -16,14 +17,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shopscope.llm import linear
 from shopscope.llm.common import (mix64, prefix_hash, span_hash, text_rows, text_slices, window_hashes, words_of)
 
-#: Labelled rows that the regression is trained on, at most.
+#: Labelled rows that the regression is trained on, at most, and their bytes of text together.
 SAMPLE = 6000
-WORD_BITS, GRAM_BITS = 18, 18
-DIM = (1 << WORD_BITS) + (1 << GRAM_BITS)
+SAMPLE_BYTES = 1 << 24
+#: Features that the regression may use, and the least evidence (natural logarithm) of each.
+FEATURES, EVIDENCE = 1 << 14, 4.0
+#: Bits of a hashed feature: words, pairs of words, strings of CHARS characters lie one after another.
+BITS, CHARS = 18, 3
+DIM = 3 << BITS
 #: Fixed thresholds.
 KEEP_AT = 0.5
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
@@ -81,31 +87,51 @@ def counts(data: np.ndarray, offs: np.ndarray, words, prefix: np.ndarray, wh: np
             np.bincount(d[repeated], minlength=docs)]
 
 
-def grams(data: np.ndarray) -> np.ndarray:
-    """Feature index of the 3-byte string at each place (the last two are left out)."""
-    x = data[:-2].astype(np.uint32) | data[1:-1].astype(np.uint32) << np.uint32(8) | data[2:].astype(np.uint32) << np.uint32(16)
-    return (x * np.uint32(0x9E3779B1) >> np.uint32(32 - GRAM_BITS)).astype(np.int64) + (1 << WORD_BITS)
+def _slots(h: np.ndarray, block: int) -> np.ndarray:
+    return (h >> np.uint64(64 - BITS)).astype(np.int64) + (block << BITS)
+
+
+def grams(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(feature number, document) of every string of CHARS characters of a slice."""
+    lead = np.flatnonzero((data & 0xC0) != 0x80)
+    doc = np.searchsorted(offs, lead, "right") - 1
+    after = np.concatenate((lead, [len(data)]))
+    n = len(lead) - CHARS + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    whole = np.flatnonzero(doc[:n] == doc[CHARS - 1:])
+    # a document's last string ends where the next document begins
+    return _slots(span_hash(prefix, lead[whole], after[whole + CHARS]), 2), doc[whole]
+
+
+def ngrams(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray, word_hash: np.ndarray, word_doc: np.ndarray):
+    """Of words, pairs of words and strings of characters: (feature number, document) of all of a slice."""
+    pair, at = window_hashes(word_hash, word_doc, 2)
+    return ((_slots(word_hash, 0), word_doc), (_slots(pair, 1), word_doc[at]), grams(data, offs, prefix))
 
 
 def _features(batch):
-    """(indices, values) of each row's distinct features."""
+    """(numbers, values) of each row's distinct features; a kind's values have the sum SCALE."""
     out = []
     for _, _, data, offs in text_slices(batch):
+        docs = len(offs) - 1
         s, e, d = words_of(data, offs)
-        wi = (span_hash(prefix_hash(data), s, e) & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)
-        at = np.searchsorted(d, np.arange(len(offs)))
-        for i in range(len(offs) - 1):
-            word, nw = np.unique(wi[at[i]:at[i + 1]], return_counts=True)
-            g = grams(data[offs[i]:offs[i + 1]]) if offs[i + 1] - offs[i] > 2 else np.zeros(0, np.int64)
-            gram, ng = np.unique(g, return_counts=True)
-            out.append((np.concatenate((word, gram)),
-                        SCALE * np.concatenate((nw / max(1, nw.sum()), ng / max(1, ng.sum())))))
+        prefix = prefix_hash(data)
+        parts = []
+        for slot, doc in ngrams(data, offs, prefix, span_hash(prefix, s, e), d):
+            n = np.bincount(doc, minlength=docs)
+            key, times = np.unique(doc * np.int64(DIM) + slot, return_counts=True)
+            doc, slot = np.divmod(key, np.int64(DIM))
+            parts.append((slot, SCALE * times / n[doc], np.searchsorted(doc, np.arange(docs + 1))))
+        for i in range(docs):
+            out.append(tuple(np.concatenate([p[k][p[2][i]:p[2][i + 1]] for p in parts]) for k in (0, 1)))
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE) -> linear.Model:
-    sample = linear.labelled_sample(text_rows(docs), labels, "quality", rows)
-    return linear.fit(*linear.collected(sample, _features), dim=DIM)
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> linear.Model:
+    sample = linear.bounded_sample(text_rows(docs), labels, "quality", rows, most_bytes)
+    wanted = linear.telling_features(sample, _features, EVIDENCE, FEATURES)
+    return linear.fit(*linear.collected(sample, _features, wanted), dim=DIM)
 
 
 def _score(model):
@@ -120,13 +146,9 @@ def _score(model):
                 wh = span_hash(prefix, s, e)
                 docs = len(offs) - 1
                 base = counts(data, offs, words, prefix, wh)
-                ws = np.bincount(d, weight[(wh & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64)], minlength=docs)
-                dot = ws / np.maximum(base[0], 1)
-                if len(data) > 2:
-                    total = np.concatenate(([0.0], np.cumsum(weight[grams(data)]), [0.0, 0.0]))
-                    total[-2:] = total[-3]
-                    last = np.maximum(offs[1:] - 2, offs[:-1])
-                    dot += (total[last] - total[offs[:-1]]) / np.maximum(last - offs[:-1], 1)
+                dot = np.zeros(docs)
+                for slot, doc in ngrams(data, offs, prefix, wh, d):
+                    dot += np.bincount(doc, weight[slot], minlength=docs) / np.maximum(np.bincount(doc, minlength=docs), 1)
                 for c, x in zip(cols, (*base, m.probability(SCALE * dot))):
                     c.append(x)
             joined = [np.concatenate(c) if c else np.zeros(0) for c in cols]
@@ -158,8 +180,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with the input's own columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     text_rows(docs)
-    given = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("given"),
+    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    out = _judged(given.mapInArrow(_score(model), f"given {given.schema['given'].dataType.simpleString()}, text string, {_COUNTS}"),
-                  model.value)
-    return out.where("kept").select("given.*")
+    schema = T.StructType([*given.schema.fields, *T.StructType.fromDDL(_COUNTS).fields])
+    return _judged(given.mapInArrow(_score(model), schema), model.value).where("kept").select("given.*")

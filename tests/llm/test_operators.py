@@ -267,6 +267,48 @@ def test_jaccard_keeps_one_of_each_group(docs):
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 4, 5, 6, 7, 9, 10, 10, 11, 12]
 
 
+@pytest.mark.parametrize("stage", ["quality", "jaccard", "pii", "mixing"])
+def test_stages_take_any_column_names(docs, labels, stage):
+    odd = docs.withColumns({c: F.lit(c) for c in ("a.b", "__id", "__cls", "__text", "copy", "given", "row_key")})
+    out = {"quality": lambda d: quality.keep_good(d, labels), "jaccard": jaccard.keep_one_of_each_group, "pii": pii.redact,
+           "mixing": mixing.mixed_documents}[stage](odd)
+    plain = {"quality": lambda d: quality.keep_good(d, labels), "jaccard": jaccard.keep_one_of_each_group, "pii": pii.redact,
+             "mixing": mixing.mixed_documents}[stage](docs.select("doc_id", "text", "source", "lang", "n_chars"))
+    assert out.columns == odd.columns
+    rows = out.collect()
+    assert all(r["a.b"] == "a.b" and r["__id"] == "__id" for r in rows)
+    keys = ("doc_id", "text", "source")
+    assert sorted(str([r[k] for k in keys]) for r in rows) == sorted(str([r[k] for k in keys]) for r in plain.collect())
+
+
+def test_training_sample_is_bounded_in_bytes(spark, labels):
+    given = [(i, ("good words %d " % i) * 20 if i % 2 else ("bad # %d " % i) * 20) for i in range(60)] + [(60, "x y " * 2_000_000)]
+    docs = spark.createDataFrame(given, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(61)], "doc_id long, quality int")
+    sample = linear.bounded_sample(common.text_rows(docs), marks, "quality", 6000, 8_000).collect()
+    assert 0 < sum(len(r.text) for r in sample) <= 8_000 and 60 not in {r.doc_id for r in sample}
+    whole = linear.bounded_sample(common.text_rows(docs), marks, "quality", 6000, 1 << 24)
+    assert {r.doc_id for r in whole.select("doc_id").collect()} == set(range(60))
+    wanted = linear.telling_features(whole, quality._features, 4.0, 7)
+    assert 0 < len(wanted) <= 7
+    _, _, _, idx, _ = linear.collected(whole, quality._features, wanted)
+    assert set(idx.tolist()) <= set(wanted.tolist())
+
+
+def test_character_strings_and_word_pairs():
+    rows = ["aé中b", "xy", "one two one"]
+    raw = [r.encode() for r in rows]
+    data, offs = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw])
+    prefix = common.prefix_hash(data)
+    s, e, d = common.words_of(data, offs)
+    words, pairs, chars = quality.ngrams(data, offs, prefix, common.span_hash(prefix, s, e), d)
+    assert chars[1].tolist() == [0, 0] + [2] * 9 and pairs[1].tolist() == [2, 2] and words[1].tolist() == [0, 1, 2, 2, 2]
+    def slot(t):
+        x = np.frombuffer(t.encode(), np.uint8)
+        return int(quality._slots(common.span_hash(common.prefix_hash(x), np.array([0]), np.array([len(x)])), 2)[0])
+    assert chars[0].tolist() == [slot(r[i:i + 3]) for r in rows for i in range(len(r) - 2)]
+
+
 def test_jaccard_judges_rows_by_id_and_text(spark):
     near, other = BASE.replace("tok40", "other"), BASE[::-1]
     rows = [(3, BASE), (5, BASE), (5, "an unrelated text under the same id"), (None, near), (None, other), (None, other),
