@@ -21,8 +21,10 @@ repeated window shows up among suffixes that start at equal anchors.
 5. The marked intervals return to their documents, which are cut and hashed.
 
 An anchor that is common (``HOT`` times or more) doesn't gather in one task: each of its windows is
-sent as a suffix of its own, dealt by the window's content. No step collects a document's or an
-anchor's occurrences without bound: the lists are those of one document.
+sent as a suffix of its own, dealt by the window's content. At most ``HOT_ANCHORS`` anchors are treated
+so (their list is broadcast); in corpora of more than HOT * HOT_ANCHORS anchors the limit rises above ``HOT``
+accordingly. A task holds one run (``RUN_BYTES``), or the entries of its merge a batch at a time: a batch ends
+where the next suffix shares less than an anchor with the last, as no repeated window crosses that.
 
 Results are exact for every pair of equal windows; 64-bit hashes select candidates and name documents
 (hash of doc_id and text). Null texts are empty; texts below 200 bytes lose nothing; repeated rows
@@ -45,11 +47,13 @@ from shopscope.llm.common import partitions, prefix_hash, span_hash, staged, tex
 LENGTH = 200
 GRAM = 64
 REACH = LENGTH - GRAM
-#: Anchors that occur as often as this are dealt by window (or a hundred-thousandth of all anchors, if that is more).
-HOT = 4096
-#: Anchors that a task holds before it sends them; bytes of suffixes in one sorted run.
-FLUSH = 1 << 20
-RUN_BYTES = 1 << 26
+#: Anchors that occur as often as this are dealt by window, the most frequent HOT_ANCHORS at most.
+HOT, HOT_ANCHORS = 4096, 1 << 21
+#: Anchors that a task holds before it sends them; bytes of suffixes and left contexts in one sorted run.
+FLUSH = 1 << 19
+RUN_BYTES = 1 << 25
+#: Merged entries that are looked at together, at least (a batch ends between two anchors).
+MERGED = 1 << 15
 _CHUNK = 1 << 22
 
 
@@ -183,16 +187,21 @@ def shared_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return n - (x.bit_length() + 7) // 8
 
 
-def front_coded(records: list) -> tuple[bytes, bytes]:
-    """A sorted run of (suffix, left context, least, greatest offset, document, position, repeated)
-    as one fixed-width head for each record, and the bytes of suffix rests and left contexts."""
-    head = np.zeros(len(records), dtype=_HEAD)
+def front_coded(suffixes: list[bytes], lefts: list[bytes], numbers: np.ndarray) -> tuple[bytes, bytes]:
+    """A sorted run as one fixed-width head for each record (``numbers`` holds its least and greatest
+    offset, document, position and whether it is repeated), and the bytes of suffix rests and left contexts."""
+    head = np.zeros(len(suffixes), dtype=_HEAD)
+    for name in ("lo", "hi", "multi", "pos", "doc"):
+        head[name] = numbers[name]
     body, before = [], b""
-    for i, (r, left, lo, hi, doc, pos, multi) in enumerate(records):
+    shared = []
+    for r, left in zip(suffixes, lefts):
         k = shared_prefix(before, r)
-        head[i] = (k, len(r) - k, len(left), lo, hi, multi, pos, doc)
+        shared.append(k)
         body += (r[k:], left)
         before = r
+    head["shared"], head["left"] = shared, [len(x) for x in lefts]
+    head["rest"] = [len(r) - k for r, k in zip(suffixes, shared)]
     return head.tobytes(), b"".join(body)
 
 
@@ -260,41 +269,77 @@ def merge_runs(runs: list) -> Iterator[tuple[int, bytes, tuple]]:
         tree[0] = w
 
 
-def _runs(hot, buckets: int):
-    """Sorted runs of each task; what repeats inside the run is marked at once (kind 0 rows)."""
-    def flush(records):
-        records.sort(key=lambda r: (r[0], r[1], r[2], r[3], r[4]))
-        done, kept = [], []
-        i = 0
-        while i < len(records):
-            j = i + 1
-            while j < len(records) and records[j][:5] == records[i][:5]:
-                j += 1
-            b, r, left, lo, hi, doc, pos = records[i]
-            if j - i > 1:
-                done += [(x[5], x[6] - hi, x[6] - lo + LENGTH) for x in records[i:j]]
-            kept.append((b, r, left, lo, hi, doc, pos, j - i > 1))
-            i = j
+_NUMBERS = np.dtype([("bucket", "<i4"), ("lo", "u1"), ("hi", "u1"), ("multi", "u1"), ("pos", "<i4"), ("doc", "<i8")])
+
+
+def _joined(doc: np.ndarray, start: np.ndarray, end: np.ndarray):
+    """The union of marked intervals as disjoint ones, ordered by document and start."""
+    if not len(doc):
+        return doc, start, end
+    order = np.lexsort((start, doc))
+    doc, start, end = doc[order], start[order], end[order]
+    row = np.cumsum(np.concatenate(([0], doc[1:] != doc[:-1])))
+    far = int(end.max()) + 1
+    reach = np.maximum.accumulate(row * np.int64(far) + end) - row * np.int64(far)
+    new = np.flatnonzero(np.concatenate(([True], (doc[1:] != doc[:-1]) | (start[1:] > reach[:-1]))))
+    last = np.concatenate((new[1:], [len(doc)])) - 1
+    return doc[new], start[new], reach[last]
+
+
+class _Run:
+    """Records of a run: bytes in lists, numbers in arrays."""
+
+    def __init__(self):
+        self.suffixes, self.lefts, self.numbers, self.size = [], [], [], 0
+
+    def add(self, suffixes, lefts, bucket, lo, hi, pos, doc):
+        n = np.zeros(len(suffixes), dtype=_NUMBERS)
+        n["bucket"], n["lo"], n["hi"], n["pos"], n["doc"] = bucket, lo, hi, pos, doc
+        self.suffixes += suffixes
+        self.lefts += lefts
+        self.numbers.append(n)
+        self.size += sum(map(len, suffixes)) + sum(map(len, lefts))
+
+    def flush(self, buckets: int):
+        """One blob for each bucket; what repeats inside the run is marked at once, joined by document."""
+        numbers = np.concatenate(self.numbers)
+        bucket, lo, hi = (numbers[c].tolist() for c in ("bucket", "lo", "hi"))
+        r, left = self.suffixes, self.lefts
+        order = sorted(range(len(r)), key=lambda i: (bucket[i], r[i], left[i], lo[i], hi[i]))
+        same = np.array([(bucket[i], r[i], left[i], lo[i], hi[i]) == (bucket[j], r[j], left[j], lo[j], hi[j])
+                         for i, j in zip(order, order[1:])], dtype=bool)
+        order = np.array(order, dtype=np.int64)
+        first = np.concatenate(([True], ~same))
+        size = np.diff(np.concatenate((np.flatnonzero(first), [len(order)])))
+        repeated = numbers[order[np.repeat(size > 1, size)]]
+        kept = order[first]
+        numbers = numbers[kept]
+        numbers["multi"] = size > 1
+        edge = np.searchsorted(numbers["bucket"], np.arange(buckets + 1))
         out_b, out = [], []
-        i = 0
-        while i < len(kept):
-            j = i
-            while j < len(kept) and kept[j][0] == kept[i][0]:
-                j += 1
-            out_b.append(kept[i][0])
-            out.append((j - i).to_bytes(8, "little") + b"".join(front_coded([x[1:] for x in kept[i:j]])))
-            i = j
+        for b in np.flatnonzero(np.diff(edge)).tolist():
+            at = kept[edge[b]:edge[b + 1]].tolist()
+            out_b.append(b)
+            out.append(len(at).to_bytes(8, "little") + b"".join(
+                front_coded([r[i] for i in at], [left[i] for i in at], numbers[edge[b]:edge[b + 1]])))
+        self.__init__()
         none = pa.nulls(len(out), pa.int64())
         yield _mixed(pa.array(out_b, pa.int32()), pa.array(out, pa.binary()), none, none, none)
-        if done:
-            d = np.array(done, dtype=np.int64)
+        pos = repeated["pos"].astype(np.int64)
+        doc, s, e = _joined(repeated["doc"].astype(np.int64), pos - repeated["hi"], pos - repeated["lo"] + LENGTH)
+        if len(doc):
             # marked intervals are spread over all tasks by their document
-            spread = pa.array((d[:, 0] % buckets).astype(np.int32))
-            yield _mixed(spread, pa.nulls(len(d), pa.binary()), pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(d[:, 2]))
+            yield _mixed(pa.array((doc % buckets).astype(np.int32)), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(s), pa.array(e))
+
+
+def _runs(hot, buckets: int):
+    """Sorted runs of each task."""
+    def bucket_of(h):
+        return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
     def run(batches):
         common = hot.value
-        records, size = [], 0
+        held = _Run()
         for b in batches:
             keys = b.column("dk").to_numpy(zero_copy_only=False)
             wanted = b.column("pos")
@@ -308,28 +353,27 @@ def _runs(hot, buckets: int):
                 pos, h, o_lo, o_hi, doc = (x[keep] for x in (pos, h, o_lo, o_hi, doc))
                 raw = data.tobytes()
                 begin, dk = offs[doc], keys[lo:hi][doc]
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).tolist()
-                often = np.isin(h, common)
+                at = np.minimum(np.searchsorted(common, h), max(len(common) - 1, 0))
+                often = common[at] == h if len(common) else np.zeros(len(h), bool)
+                for i in range(0, len(pos), 1 << 14):
+                    g = np.flatnonzero(~often[i:i + (1 << 14)]) + i
+                    p, a, z = pos[g].tolist(), o_lo[g].tolist(), o_hi[g].tolist()
+                    held.add([raw[x:x - y + LENGTH] for x, y in zip(p, a)], [raw[x - y:x][::-1] for x, y in zip(p, z)],
+                             bucket_of(h[g]), o_lo[g], o_hi[g], pos[g] - begin[g], dk[g])
+                    if held.size >= RUN_BYTES:
+                        yield from held.flush(buckets)
                 dense = np.flatnonzero(often)
-                for p, k, a, z, s, g in zip(*(x.tolist() for x in (pos, dk, o_lo, o_hi, begin)), range(len(pos))):
-                    if often[g]:
-                        continue
-                    records.append((bucket[g], raw[p:p - a + LENGTH], raw[p - z:p][::-1], a, z, k, p - s))
-                    size += LENGTH - a + z + 200
                 if len(dense):
                     prefix = prefix_hash(data)
                     for g in dense.tolist():
                         first = np.arange(pos[g] - o_hi[g], pos[g] - o_lo[g] + 1)
                         content = span_hash(prefix, first, first + LENGTH)
-                        to = ((content >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).tolist()
-                        for s, t in zip(first.tolist(), to):
-                            records.append((t, raw[s:s + LENGTH], b"", 0, 0, int(dk[g]), s - int(begin[g])))
-                        size += len(first) * (LENGTH + 200)
-                if size >= RUN_BYTES:
-                    yield from flush(records)
-                    records, size = [], 0
-        if records:
-            yield from flush(records)
+                        held.add([raw[x:x + LENGTH] for x in first.tolist()], [b""] * len(first), bucket_of(content), 0, 0,
+                                 first - begin[g], dk[g])
+                        if held.size >= RUN_BYTES:
+                            yield from held.flush(buckets)
+        if held.suffixes:
+            yield from held.flush(buckets)
 
     return run
 
@@ -373,6 +417,14 @@ def repeated_offsets(share: np.ndarray, left: list[bytes], lo: np.ndarray, hi: n
     return least, most
 
 
+def _marked(share, left, rest):
+    lo, hi, multi, pos, doc = (np.array(x, dtype=np.int64) for x in zip(*rest))
+    least, most = repeated_offsets(np.array(share), left, lo, hi, multi > 0)
+    hit = (least >= 0) & (multi == 0)  # the others are marked already
+    doc, s, e = _joined(doc[hit], pos[hit] - most[hit], pos[hit] - least[hit] + LENGTH)
+    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(s), pa.array(e)], names=["dk", "s", "e"])
+
+
 def _merge(batches):
     blobs = []
     for b in batches:
@@ -380,18 +432,16 @@ def _merge(batches):
         if pa.compute.any(done).as_py():
             yield b.filter(done).select(["dk", "s", "e"])
         blobs += [x.as_buffer().to_pybytes() for x in b.column("blob") if x.is_valid]
-    if not blobs:
-        return
     share, left, rest = [], [], []
     for k, _, (l, *more) in merge_runs([read_run(x) for x in blobs]):
+        if len(share) >= MERGED and k < GRAM:
+            yield _marked(share, left, rest)
+            share, left, rest = [], [], []
         share.append(k)
         left.append(l)
         rest.append(more)
-    lo, hi, multi, pos, doc = (np.array(x, dtype=np.int64) for x in zip(*rest))
-    least, most = repeated_offsets(np.array(share), left, lo, hi, multi > 0)
-    hit = (least >= 0) & (multi == 0)  # the others are marked already
-    yield pa.RecordBatch.from_arrays([pa.array(doc[hit]), pa.array(pos[hit] - most[hit]),
-                                      pa.array(pos[hit] - least[hit] + LENGTH)], names=["dk", "s", "e"])
+    if share:
+        yield _marked(share, left, rest)
 
 
 def _cut(batches):
@@ -426,20 +476,19 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     ``kept`` holds the remaining bytes (a cut may fall inside a character)."""
     spark = docs.sparkSession
-    parts = partitions(spark)
-    buckets = 4 * parts
+    buckets = partitions(spark)
     rows = text_rows(docs).withColumn("dk", F.xxhash64("doc_id", "text"))
     found = rows.select("dk", "text").where(F.octet_length("text") >= LENGTH) \
         .mapInArrow(_anchors(buckets), "bucket int, blob binary") \
-        .repartition(parts, "bucket").mapInArrow(_repeated_anchors, "kind byte, a long, b long")
+        .repartitionById(buckets, F.col("bucket")).mapInArrow(_repeated_anchors, "kind byte, a long, b long")
     found = staged(found, "suffix-anchors")
     total = found.where("kind = 2").agg(F.sum("b")).first()[0] or 0
-    least = max(HOT, total // 100_000)
-    hot = spark.sparkContext.broadcast(np.array(
-        [r["a"] for r in found.where((F.col("kind") == 1) & (F.col("b") >= least)).collect()], dtype=np.int64).view(np.uint64))
+    least = max(HOT, total // HOT_ANCHORS)  # fewer than HOT_ANCHORS anchors occur as often
+    often = found.where((F.col("kind") == 1) & (F.col("b") >= least)).select("a").toArrow()["a"].to_numpy()
+    hot = spark.sparkContext.broadcast(np.sort(often.view(np.uint64)))
     places = found.where("kind = 0").groupBy(F.col("a").alias("dk")).agg(F.collect_set("b").alias("pos"))
     spans = rows.select("dk", "text").join(places, "dk").mapInArrow(_runs(hot, buckets), _MIXED) \
-        .repartition(parts, "bucket").mapInArrow(_merge, "dk long, s long, e long")
+        .repartitionById(buckets, F.col("bucket")).mapInArrow(_merge, "dk long, s long, e long")
     spans = spans.groupBy("dk").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
     return rows.join(spans, "dk", "left").select("doc_id", F.col("text").cast("binary").alias("text"), "spans") \
         .mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -122,19 +122,46 @@ def repeats(rows, n=200):
     return Counter(out)
 
 
-@pytest.mark.parametrize("hot", [4096, 2])
-def test_suffixes_against_all_windows(docs, real, monkeypatch, hot):
+@pytest.mark.parametrize("hot, small", [(4096, False), (2, False), (4096, True)])
+def test_suffixes_against_all_windows(docs, real, monkeypatch, hot, small):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    if small:  # short runs and batches, also in the workers
+        runs, merge = suffixes._runs, suffixes._merge
+
+        def small_runs(hot_, buckets):
+            def run(batches):
+                suffixes.RUN_BYTES = 3000
+                yield from runs(hot_, buckets)(batches)
+
+            return run
+
+        def small_merge(batches):
+            suffixes.MERGED = 5
+            yield from merge(batches)
+
+        monkeypatch.setattr(suffixes, "_runs", small_runs)
+        monkeypatch.setattr(suffixes, "_merge", small_merge)
     df = both(docs, real.limit(80)).withColumn("text", F.substring("text", 1, 6000))
     got = Counter(tuple(r) for r in suffixes.without_repeats(df).drop("kept").collect())
     assert got == repeats(texts(df))
 
 
+def test_marked_intervals_are_joined():
+    rng = np.random.default_rng(4)
+    doc, start = rng.integers(-3, 3, 300) * 10 ** 18, rng.integers(0, 900, 300)
+    end = start + rng.integers(1, 40, 300)
+    got = list(zip(*(x.tolist() for x in suffixes._joined(doc, start, end))))
+    cover = {(d, p) for d, s, e in zip(doc.tolist(), start.tolist(), end.tolist()) for p in range(s, e)}
+    assert {(d, p) for d, s, e in got for p in range(s, e)} == cover
+    assert sum(e - s for _, s, e in got) == len(cover)
+    assert all(a[0] != b[0] or a[2] < b[1] for a, b in zip(got, got[1:])) and got == sorted(got)
+
+
 def test_merge_runs_gives_order_and_common_prefixes():
     rng = np.random.default_rng(1)
     words = [bytes(rng.integers(97, 99, rng.integers(0, 12)).astype(np.uint8)) for _ in range(400)]
     runs = [sorted(words[i::7]) for i in range(7)]
-    blobs = [len(r).to_bytes(8, "little") + b"".join(suffixes.front_coded([(w, b"", 0, 0, 0, 0, False) for w in r])) for r in runs]
+    blobs = [len(r).to_bytes(8, "little") + b"".join(suffixes.front_coded(r, [b""] * len(r), np.zeros(len(r), suffixes._NUMBERS))) for r in runs]
     out = list(suffixes.merge_runs([suffixes.read_run(b) for b in blobs]))
     assert [w for _, w, _ in out] == sorted(words)
     assert [k for k, _, _ in out][1:] == [suffixes.shared_prefix(a[1], b[1]) for a, b in zip(out, out[1:])]
