@@ -42,7 +42,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shopscope.llm.common import partitions, prefix_hash, span_hash, staged, text_rows, text_slices
+from shopscope.llm.common import mix64, partitions, prefix_hash, span_hash, staged, text_rows, text_slices
 
 LENGTH = 200
 GRAM = 64
@@ -92,7 +92,8 @@ def anchors(data: np.ndarray, offs: np.ndarray):
     first = np.flatnonzero(np.concatenate(([True], pos[1:] != pos[:-1])))
     last = np.concatenate((first[1:], [len(pos)])) - 1
     p = pos[first]
-    return p, h[p], p - start[last], p - start[first]
+    # anchors have small hashes (the least of many): mixed again they spread over all buckets
+    return p, mix64(h[p]), p - start[last], p - start[first]
 
 
 def _anchors(buckets: int):
