@@ -69,14 +69,14 @@ def telling_features(sample: DataFrame, features, least: float, most: int) -> np
     Rows are counted for each feature by the tasks and summed by Spark."""
     def run(batches):
         for b in batches:
-            labels = b.column("label").to_numpy(zero_copy_only=False)
-            rows = [i for i, _ in features(b)]
-            if not rows:
-                continue
-            used, at = np.unique(np.concatenate(rows), return_inverse=True)
-            y = np.repeat(labels, [len(i) for i in rows])
-            yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.bincount(at, minlength=len(used))),
-                                              pa.array(np.bincount(at, y, minlength=len(used)).astype(np.int64))], names=["f", "n", "ones"])
+            labels, at = b.column("label").to_numpy(zero_copy_only=False), 0
+            for rows in features(b):  # a slice of the batch at a time
+                y = np.repeat(labels[at:at + len(rows)], [len(i) for i, _ in rows])
+                at += len(rows)
+                used, place = np.unique(np.concatenate([i for i, _ in rows]), return_inverse=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used.astype(np.int32)), pa.array(np.bincount(place, minlength=len(used))),
+                     pa.array(np.bincount(place, y, minlength=len(used)).astype(np.int64))], names=["f", "n", "ones"])
 
     total = sample.agg(F.avg("label").alias("q")).first()["q"]
     if total is None:
@@ -92,17 +92,20 @@ def telling_features(sample: DataFrame, features, least: float, most: int) -> np
 
 def collected(sample: DataFrame, features, wanted: np.ndarray | None = None
               ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, labels, indptr, idx, val) of the sample, in the order of ids. ``features`` maps record
-    batches to (idx, val) arrays for each row; of these only the ``wanted`` ones (default: all) are sent."""
+    """(ids, labels, indptr, idx, val) of the sample, in the order of ids. ``features`` yields the (idx, val)
+    arrays of a batch's rows a slice at a time; of these only the ``wanted`` ones (default: all) are sent."""
     def run(batches):
         for b in batches:
-            rows = features(b)
-            if wanted is not None:
-                rows = [(i[k], v[k]) for i, v in rows for k in [np.isin(i, wanted)]]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("label"), pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()),
-                 pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())],
-                names=["doc_id", "label", "idx", "val"])
+            at = 0
+            for rows in features(b):
+                if wanted is not None:
+                    rows = [(i[k], v[k]) for i, v in rows for k in [np.isin(i, wanted)]]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("doc_id").slice(at, len(rows)), b.column("label").slice(at, len(rows)),
+                     pa.array([i.astype(np.int32).tobytes() for i, _ in rows], pa.binary()),
+                     pa.array([v.astype(np.float32).tobytes() for _, v in rows], pa.binary())],
+                    names=["doc_id", "label", "idx", "val"])
+                at += len(rows)
 
     got = sample.mapInArrow(run, SAMPLE_SCHEMA).toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("idx", "ascending")]))
@@ -161,9 +164,9 @@ def fit(ids, y, indptr, idx, val, dim: int, l2: float = 1e-6, steps: int = 120,
         out, into, times = near[0][known], near[1][known], swaps[2][known].astype(np.float64)
     rows = train.sum()
     for step in range(1, steps + 1):
-        z = np.bincount(tr, tv * w[tc], minlength=n) + b
+        z = np.bincount(tr, tv * w.astype(np.float32)[tc], minlength=n) + b
         err = np.where(train, sigmoid(z) - y, 0.0) / rows
-        g = np.bincount(tc, tv * err[tr], minlength=len(used)) + 2 * l2 * w
+        g = np.bincount(tc, tv * err.astype(np.float32)[tr], minlength=len(used)) + 2 * l2 * w
         if swaps is not None and len(out):
             change = 2 * swap_penalty * times * (w[into] - w[out]) / rows
             g += np.bincount(into, change, minlength=len(used)) - np.bincount(out, change, minlength=len(used))

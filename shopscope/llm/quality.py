@@ -24,9 +24,9 @@ from shopscope.llm.common import (mix64, prefix_hash, span_hash, text_rows, text
 
 #: Labelled rows that the regression is trained on, at most, and their bytes of text together.
 SAMPLE = 6000
-SAMPLE_BYTES = 1 << 24
+SAMPLE_BYTES = 1 << 23
 #: Features that the regression may use, and the least evidence (natural logarithm) of each.
-FEATURES, EVIDENCE = 1 << 14, 4.0
+FEATURES, EVIDENCE = 1 << 13, 4.0
 #: Bits of a hashed feature: words, pairs of words, strings of CHARS characters lie one after another.
 BITS, CHARS = 18, 3
 DIM = 3 << BITS
@@ -111,8 +111,7 @@ def ngrams(data: np.ndarray, offs: np.ndarray, prefix: np.ndarray, word_hash: np
 
 
 def _features(batch):
-    """(numbers, values) of each row's distinct features; a kind's values have the sum SCALE."""
-    out = []
+    """A slice at a time, (numbers, values) of each row's distinct features; a kind's values have the sum SCALE."""
     for _, _, data, offs in text_slices(batch):
         docs = len(offs) - 1
         s, e, d = words_of(data, offs)
@@ -123,9 +122,7 @@ def _features(batch):
             key, times = np.unique(doc * np.int64(DIM) + slot, return_counts=True)
             doc, slot = np.divmod(key, np.int64(DIM))
             parts.append((slot, SCALE * times / n[doc], np.searchsorted(doc, np.arange(docs + 1))))
-        for i in range(docs):
-            out.append(tuple(np.concatenate([p[k][p[2][i]:p[2][i + 1]] for p in parts]) for k in (0, 1)))
-    return out
+        yield [tuple(np.concatenate([p[k][p[2][i]:p[2][i + 1]] for p in parts]) for k in (0, 1)) for i in range(docs)]
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> linear.Model:

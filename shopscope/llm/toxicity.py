@@ -64,12 +64,10 @@ def term_feature(term: str) -> int:
 
 
 def _rows(batch):
-    out = []
     for lo, hi, data, offs in text_slices(batch):
         d, f = features(data, offs)
         at = np.searchsorted(d, np.arange(hi - lo + 1))
-        out += [(f[i:j], np.ones(j - i)) for i, j in zip(at, at[1:])]
-    return out
+        yield [(f[i:j], np.ones(j - i)) for i, j in zip(at, at[1:])]
 
 
 def swaps_of(indptr: np.ndarray, idx: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
