@@ -250,6 +250,11 @@ FROM (
   WHERE f.price IS NOT NULL)
 GROUP BY bin, mn, mx"""))
 
+register("csv_quarantine", f"""
+SELECT kind, count(*) AS n, CASE WHEN kind <> 'bad' THEN {ts_text('min(o_orderdate)')} END AS first, max(o_orderkey) AS last_order
+FROM (SELECT *, CASE WHEN o_orderkey % 97 = 0 OR o_orderkey % 101 = 0 OR o_orderkey % 103 = 0 THEN 'bad' ELSE o_orderstatus END AS kind
+      FROM orders) GROUP BY kind""")
+
 register("fact_summary", with_fact("""
 SELECT CAST(min(CAST(order_purchase_timestamp AS DATE)) AS VARCHAR) AS min_date,
        CAST(max(CAST(order_purchase_timestamp AS DATE)) AS VARCHAR) AS max_date,
@@ -355,6 +360,76 @@ SELECT component, round(pct_variance, 4) AS pct_variance, round(cum_pct, 4) AS c
   SELECT covar_pop(price, payment_value) / (stddev_pop(price) * stddev_pop(payment_value)) AS r
   FROM fact WHERE price IS NOT NULL AND payment_value IS NOT NULL)"""))
 
+
+
+def _eigen_sql(sweeps: int = 12) -> str:
+    """Cyclic Jacobi rotations of the correlation matrix (a list of p x p numbers), one a recursion step."""
+    p = len(NUMERIC)
+    pairs = [(i, j) for i in range(p) for j in range(i + 1, p)]
+    entries = " UNION ALL ".join(f"SELECT '{a}' AS c, {i} AS i" for i, a in enumerate(NUMERIC))
+    extra = _pairs_sql(_UPPER) + ",\n" + _MATRIX + f""",
+num AS ({entries}),
+start AS MATERIALIZED (SELECT list(corr ORDER BY x.i, y.i) AS m FROM full_m JOIN num x ON x.c = col_a JOIN num y ON y.c = col_b)"""
+    body = f"""
+SELECT CAST(component AS INTEGER) AS component, round(100 * e / {p}, 4) AS pct_variance,
+       round(100 * sum(e) OVER (ORDER BY component) / {p}, 4) AS cum_pct
+FROM (SELECT row_number() OVER (ORDER BY e DESC) AS component, e FROM (
+  SELECT unnest(list_transform(range({p}), lambda i: m[i * {p} + i + 1])) AS e FROM rotated WHERE step = {sweeps * len(pairs)}))"""
+    rotated = f"""rotated AS (
+  SELECT 0 AS step, m FROM start
+  UNION ALL
+  SELECT step + 1, list_transform(range({p * p}), lambda z:
+    CASE WHEN z // {p} = p THEN c * b[p * {p} + z % {p} + 1] - s * b[q * {p} + z % {p} + 1]
+         WHEN z // {p} = q THEN s * b[p * {p} + z % {p} + 1] + c * b[q * {p} + z % {p} + 1] ELSE b[z + 1] END)
+  FROM (SELECT step, p, q, c, s, list_transform(range({p * p}), lambda z:
+          CASE WHEN z % {p} = p THEN c * m[z + 1] - s * m[z - p + q + 1]
+               WHEN z % {p} = q THEN s * m[z - q + p + 1] + c * m[z + 1] ELSE m[z + 1] END) AS b
+        FROM (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s
+              FROM (SELECT *, CASE WHEN abs(m[p * {p} + q + 1]) < 1e-300 THEN 0 ELSE
+                       (CASE WHEN th >= 0 THEN 1 ELSE -1 END) / (abs(th) + sqrt(th * th + 1)) END AS t
+                    FROM (SELECT *, CASE WHEN abs(m[p * {p} + q + 1]) < 1e-300 THEN 0 ELSE
+                             (m[q * {p} + q + 1] - m[p * {p} + p + 1]) / (2 * m[p * {p} + q + 1]) END AS th
+                          FROM (SELECT step, m, {[a for a, _ in pairs]}[step % {len(pairs)} + 1] AS p,
+                                       {[b for _, b in pairs]}[step % {len(pairs)} + 1] AS q
+                                FROM rotated WHERE step < {sweeps * len(pairs)}))))))"""
+    return with_fact(body, extra=extra + ",\n" + rotated).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+register("explained_variance", _eigen_sql())
+
+
+def _tree_sql(label: str, depth: int, digits: int = 12) -> str:
+    """Splits level by level: class counts below and above each value of each feature in each node."""
+    feats = list(NUMERIC)
+    stack = "[" + ", ".join(f"struct_pack(f := {i}, x := CAST({c} AS DOUBLE))" for i, c in enumerate(feats)) + "]"
+    parts = [f"n0 AS MATERIALIZED (SELECT 1 AS node, {label} AS label, {stack} AS xs FROM fact)"]
+    for d in range(depth):
+        parts.append(f"""s{d} AS MATERIALIZED (
+  SELECT node, arg_min(f, k) AS f, arg_min(x, k) AS x, min(n) AS n, -min(k).d AS d FROM (
+    SELECT *, struct_pack(d := -d, f := f, x := x) AS k FROM (
+      SELECT node, f, x, any_value(n) AS n, round((sum(l ^ 2) / any_value(nl) + sum((t - l) ^ 2) / nullif(any_value(n - nl), 0)
+             - sum(t ^ 2) / any_value(n)) / any_value(n), {digits}) AS d
+      FROM (SELECT *, sum(l) OVER (PARTITION BY node, f, x) AS nl, sum(t) OVER (PARTITION BY node, f, x) AS n FROM (
+        SELECT node, f, x, label, CAST(sum(c) OVER (PARTITION BY node, f, label ORDER BY x) AS DOUBLE) AS l,
+               CAST(sum(c) OVER (PARTITION BY node, f, label) AS DOUBLE) AS t
+        FROM (SELECT g.node, g.f, g.x, k.label, coalesce(h.c, 0) AS c
+              FROM (SELECT DISTINCT node, xs.f AS f, xs.x AS x FROM (SELECT node, unnest(xs) AS xs FROM n{d})) g
+              CROSS JOIN (SELECT DISTINCT label FROM n0) k
+              LEFT JOIN (SELECT node, xs.f AS f, xs.x AS x, label, count(*) AS c FROM (SELECT node, label, unnest(xs) AS xs FROM n{d}) GROUP BY ALL) h
+              ON h.node = g.node AND h.f = g.f AND h.x = g.x AND h.label = k.label)))
+      GROUP BY node, f, x) WHERE d > 0) GROUP BY node)""")
+        parts.append(f"""n{d + 1} AS MATERIALIZED (SELECT 2 * n.node + CASE WHEN n.xs[s.f + 1].x <= s.x THEN 0 ELSE 1 END AS node, label, xs
+  FROM n{d} n JOIN s{d} s USING (node))""")
+    names = " UNION ALL ".join(f"SELECT {i} AS f, '{c}' AS feature" for i, c in enumerate(feats))
+    gains = " UNION ALL ".join(f"SELECT f, n * d AS g FROM s{d}" for d in range(depth))
+    return with_fact(f"""
+SELECT feature, round(coalesce(g, 0) / (SELECT sum(g) FROM gains), 6) AS importance
+FROM ({names}) LEFT JOIN (SELECT f, sum(g) AS g FROM gains GROUP BY f) USING (f)""",
+                     extra=",\n".join(parts) + f",\ngains AS MATERIALIZED ({gains})")
+
+
+register("tree_importance_exact", _tree_sql("order_status", 3))
+
 # --- sampling and splits ------------------------------------------------------------------
 
 register("sample_exact", with_fact(f"""

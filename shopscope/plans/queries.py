@@ -15,11 +15,11 @@ from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from shopscope.functions import hash_bucket, whole_days
 from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, report,
-                                 rfm, sampling, stats)
+                                 rfm, sampling, stats, tree)
 from shopscope.operators.cluster import elbow, value_histogram
 from shopscope.session import materialize, shared_folder
 from shopscope.sources import standins
-from shopscope.sources.tables import read_facts, read_table, write_facts
+from shopscope.sources.tables import read_csv_checked, read_facts, read_table, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -225,6 +225,26 @@ def revenue_histogram(spark, sf):
     return finish(profile.auto_histogram(_measures(spark, sf), "revenue", "rows"), digits=2)
 
 
+@query
+def csv_quarantine(spark, sf):
+    """Orders written as CSV with damaged lines and read back: good and bad lines of each kind."""
+    folder = shared_folder(spark, "csv-quarantine")
+    key = F.col("o_orderkey")
+    day = F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss")
+    line = F.when(key % 97 == 0, F.concat_ws(",", key, F.col("o_custkey"), F.col("o_orderstatus"), F.lit("not a day"))) \
+        .when(key % 101 == 0, F.concat_ws(",", key, F.col("o_custkey"), F.col("o_orderstatus"), day, *[F.lit("")] * 3, day, F.lit("more"))) \
+        .when(key % 103 == 0, F.concat_ws(",", key, F.col("o_custkey"))) \
+        .otherwise(F.concat_ws(",", key, F.col("o_custkey"), F.col("o_orderstatus"), day, *[F.lit("")] * 3, day))
+    read_table(spark, sf, "orders").select(line.alias("value")).write.text(folder)
+    good, bad = read_csv_checked(spark, folder, "orders", header=False)
+    kept = good.groupBy(F.col("order_status").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("order_purchase_timestamp").alias("first"), F.max(F.col("order_id").cast("long")).alias("last_order"))
+    lost = bad.groupBy(F.lit("bad").alias("kind")).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(None).cast("timestamp_ntz").alias("first"),
+        F.max(F.split_part("line", F.lit(","), F.lit(1)).cast("long")).alias("last_order"))
+    return finish(kept.unionByName(lost))
+
+
 @query
 def fact_summary(spark, sf):
     s = rfm.summary(rfm.clv_base(_fact(spark, sf)))
@@ -317,6 +337,12 @@ def tree_importance(spark, sf):
     return finish(stats.tree_importance(_fact(spark, sf), "order_status", list(NUMERIC)))
 
 
+@query
+def tree_importance_exact(spark, sf):
+    """Importances of a tree grown by exact split search (three levels)."""
+    return finish(tree.importances(_fact(spark, sf), "order_status", list(NUMERIC), 3), digits=6)
+
+
 # --- sampling and splits ------------------------------------------------------------------
 
 @query

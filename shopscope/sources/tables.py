@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shopscope.session import shared_folder
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -92,6 +94,32 @@ def read_csv_table(spark: SparkSession, path: str, name: str) -> DataFrame:
             .option("encoding", "UTF-8").schema(schema).csv(path))
 
 
+_LINE = "_bad_line"
+
+
+def read_csv_checked(spark: SparkSession, path: str, name: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(good rows, bad lines) of a marketplace CSV file or folder.
+
+    A line that doesn't fit the declared schema (a value of another type, too few or too many fields) is no
+    row with silent nulls: it goes to the second frame as (file, line). The lines are parsed once, into a
+    Parquet stage file in the shared folder; write the second frame with ``write_quarantine``."""
+    schema = T.StructType([*MARKETPLACE_SCHEMAS[name].fields, T.StructField(_LINE, T.StringType())])
+    rows = (spark.read.option("header", header).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _LINE)
+            .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss").option("encoding", "UTF-8").schema(schema).csv(path)
+            .withColumn("file", F.col("_metadata.file_path")))
+    stage = shared_folder(spark, f"csv-{name}")
+    rows.write.parquet(stage)
+    rows = spark.read.parquet(stage)
+    good = rows.where(F.col(_LINE).isNull()).drop(_LINE, "file")
+    return good, rows.where(F.col(_LINE).isNotNull()).select("file", F.col(_LINE).alias("line"))
+
+
+def write_quarantine(bad: DataFrame, path: str) -> DataFrame:
+    """Write bad lines to a Parquet table and count them by file: (file, n)."""
+    bad.write.mode("append").parquet(path)
+    return bad.sparkSession.read.parquet(path).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
 def read_marketplace(spark: SparkSession, folder: str,
                      file_pattern: str) -> dict[str, DataFrame]:
     """All ten marketplace tables from one folder (``file_pattern`` names a
