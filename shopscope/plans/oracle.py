@@ -815,3 +815,39 @@ def _elbow_sql(measure: str, most: int = 7, digits: int = 0) -> str:
 register("elbow_curve", _elbow_sql("recency"))
 register("elbow_frequency", _elbow_sql("frequency"))
 register("elbow_revenue", _elbow_sql("revenue", digits=-6))
+
+
+# --- the two studies end to end -----------------------------------------------------------
+
+def _steps(*steps: tuple[str, str, str, dict[str, str]]) -> str:
+    """(step, query, item expression, name of value -> expression) as (step, item, value) rows."""
+    out = []
+    for step, sql, item, values in steps:
+        for name, value in values.items():
+            key = f"{item} || '.{name}'" if name else item
+            out.append(f"SELECT '{step}' AS step, {key} AS item, CAST({value} AS DOUBLE) AS value FROM ({sql})")
+    return "\nUNION ALL\n".join(out)
+
+
+def _same(*names: str) -> dict[str, str]:
+    return {n: n for n in names}
+
+
+register("price_study", _steps(
+    ("pairs", SQL["corr_pairs"], "col_a || '|' || col_b", {"": "corr"}), ("target", SQL["target_corr"], "feature", {"": "corr"}),
+    ("importance", SQL["tree_importance_exact"], "feature", {"": "importance"}),
+    ("components", SQL["explained_variance"], "CAST(component AS VARCHAR)", {"": "cum_pct"}),
+    ("linear", SQL["price_linear_metrics"], "split", _same("r2", "mse", "n"))))
+
+_indicators = "\nUNION ALL\n".join(
+    f"SELECT 'category_{c}' AS feature, round(covar_pop(x, CLV_cluster) / nullif(stddev_pop(x) * stddev_pop(CLV_cluster), 0), 6) AS corr "
+    f"FROM (SELECT CASE WHEN v.category = '{c}' THEN 1 ELSE 0 END AS x, v.CLV_cluster FROM clv c JOIN valued v USING (customer_unique_id))"
+    for c in ("high_value", "low_value", "mid_value"))
+register("clv_study", _steps(
+    ("spread", SQL["measure_describe"], "measure", _same("mean", "std", "p50", "max")),
+    ("score_means", SQL["rfm_score_means"], "CAST(overall_score AS VARCHAR)", _same("recency", "frequency", "revenue")),
+    ("categories", SQL["rfm_categories"], "category", {"": "customers"}),
+    ("value_clusters", SQL["clv_clusters"], "CAST(CLV_cluster AS VARCHAR)", {"customers": "customers", "most": "max"}),
+    ("correlations", SQL["clv_target_corr"], "feature", {"": "corr"}),
+    ("correlations", with_fact(_indicators, extra=VALUED), "feature", {"": "corr"}),
+    ("classifier", SQL["value_classifier_metrics"], "CAST(class AS VARCHAR)", _same("f_beta", "tp"))))

@@ -15,7 +15,7 @@ from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from shopscope.functions import hash_bucket, whole_days
 from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, report,
-                                 rfm, sampling, stats, tree)
+                                 rfm, sampling, stats, study, tree)
 from shopscope.operators.cluster import elbow, value_histogram
 from shopscope.session import materialize, shared_folder
 from shopscope.sources import standins
@@ -630,3 +630,16 @@ def value_classifier_metrics(spark, sf):
 def value_classifier_accuracy(spark, sf):
     pred = _classified(spark, sf)
     return finish(models.accuracy(pred, "CLV_cluster", by="split", weight_col="n"))
+
+
+# --- the two studies end to end -----------------------------------------------------------
+
+@query
+def price_study(spark, sf):
+    return study.price_study(_fact(spark, sf), shared_folder(spark, "price-study"), list(NUMERIC), "order_status", list(ROW_KEYS),
+                             list(PRICE_FEATURES))
+
+
+@query
+def clv_study(spark, sf):
+    return study.clv_study(_clv_rows(spark, sf), shared_folder(spark, "clv-study"), WINDOWS, "long", list(ROW_KEYS))
