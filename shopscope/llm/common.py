@@ -7,6 +7,8 @@ so further columns, whatever they are called, never reach it.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import zipfile
@@ -93,6 +95,18 @@ def staged(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tidy(run):
+    """A task's function that gives freed memory back when its batches are done: workers live on and
+    serve the next stages, which count what an earlier one left."""
+    def task(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # a C library without it keeps its memory
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return task
+
+
 # ---------------------------------------------------------------- text as bytes
 
 def text_slices(batch: pa.RecordBatch, column: str = "text",

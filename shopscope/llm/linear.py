@@ -17,7 +17,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopscope.llm.common import staged
+from shopscope.llm.common import staged, tidy
 
 SAMPLE_SCHEMA = "doc_id long, label int, idx binary, val binary"
 
@@ -82,7 +82,7 @@ def telling_features(sample: DataFrame, features, least: float, most: int) -> np
     if total is None:
         return np.zeros(0, np.int64)
     q = float(np.clip(total, 1e-9, 1 - 1e-9))
-    counted = sample.select("doc_id", "label", "text").mapInArrow(run, "f int, n long, ones long") \
+    counted = sample.select("doc_id", "label", "text").mapInArrow(tidy(run), "f int, n long, ones long") \
         .groupBy("f").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones"))
     p = F.greatest(F.lit(1e-9), F.least(F.lit(1 - 1e-9), F.col("ones") / F.col("n")))
     far = F.col("n") * (p * F.log(p / q) + (1 - p) * F.log((1 - p) / (1 - q)))
@@ -107,7 +107,7 @@ def collected(sample: DataFrame, features, wanted: np.ndarray | None = None
                     names=["doc_id", "label", "idx", "val"])
                 at += len(rows)
 
-    got = sample.mapInArrow(run, SAMPLE_SCHEMA).toArrow()
+    got = sample.mapInArrow(tidy(run), SAMPLE_SCHEMA).toArrow()
     got = got.take(pa.compute.sort_indices(got, [("doc_id", "ascending"), ("idx", "ascending")]))
     idx = [np.frombuffer(x.as_buffer(), np.int32) for x in got["idx"]]
     val = [np.frombuffer(x.as_buffer(), np.float32) for x in got["val"]]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shopscope.llm import linear
-from shopscope.llm.common import (mix64, prefix_hash, span_hash, text_rows, text_slices, window_hashes, words_of)
+from shopscope.llm.common import (mix64, prefix_hash, span_hash, text_rows, text_slices, tidy, window_hashes, words_of)
 
 #: Labelled rows that the regression is trained on, at most, and their bytes of text together.
 SAMPLE = 6000
@@ -131,13 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, most_bytes: in
     return linear.fit(*linear.collected(sample, _features, wanted), dim=DIM)
 
 
-def _score(model):
+def _score(model, place: int | None = None):
+    """Counts and probability beside the other columns; the text is the column ``text``, which ends here, or
+    field ``place`` of the column ``given``."""
     def run(batches):
         m = model.value
         weight = m.weight.astype(np.float64)
         for b in batches:
             cols = [[] for _ in range(6)]
-            for _, _, data, offs in text_slices(b):
+            texts = b.column("text") if place is None else b.column("given").flatten()[place].cast(pa.string())
+            for _, _, data, offs in text_slices(pa.RecordBatch.from_arrays([texts], names=["text"])):
                 words = s, e, d = words_of(data, offs)
                 prefix = prefix_hash(data)
                 wh = span_hash(prefix, s, e)
@@ -150,11 +153,11 @@ def _score(model):
                     c.append(x)
             joined = [np.concatenate(c) if c else np.zeros(0) for c in cols]
             arrays = [pa.array(x.astype(np.int64)) for x in joined[:5]] + [pa.array(joined[5].astype(np.float64))]
-            yield pa.RecordBatch.from_arrays([*b.columns, *arrays],
-                                             names=[*b.schema.names, "n_words", "word_chars", "n_symbols", "n_dup_lines",
-                                                    "n_repeat_words", "quality"])
+            own = [n for n in b.schema.names if n != "text"]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in own], *arrays],
+                                             names=[*own, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "quality"])
 
-    return run
+    return tidy(run)
 
 
 _COUNTS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, quality double"
@@ -169,15 +172,14 @@ def _judged(rows: DataFrame, model: linear.Model) -> DataFrame:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, counts, quality, base_failed, kept) of every document."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
-    scored = text_rows(docs).mapInArrow(_score(model), f"doc_id long, text string, {_COUNTS}")
-    return _judged(scored.drop("text"), model.value)
+    return _judged(text_rows(docs).mapInArrow(_score(model), f"doc_id long, {_COUNTS}"), model.value)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that pass, with the input's own columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
     text_rows(docs)
-    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"),
-                        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"))
+    place = [c.lower() for c in docs.columns].index("text")
     schema = T.StructType([*given.schema.fields, *T.StructType.fromDDL(_COUNTS).fields])
-    return _judged(given.mapInArrow(_score(model), schema), model.value).where("kept").select("given.*")
+    return _judged(given.mapInArrow(_score(model, place), schema), model.value).where("kept").select("given.*")
