@@ -8,6 +8,7 @@ so further columns, whatever they are called, never reach it.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import tempfile
 import uuid
@@ -78,11 +79,32 @@ def shared_folder(spark: SparkSession, tag: str) -> str:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+_PASSING: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("passing", default=None)
+
+
+@contextlib.contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables staged in this block, but for those with ``keep``, are deleted at its end.
+
+    What leaves the block must rest on kept tables alone; then a lost executor's work is repeated from those."""
+    paths: list[str] = []
+    outer = _PASSING.set(paths)
+    try:
+        yield
+    finally:
+        _PASSING.reset(outer)
+        for p in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(p)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at those files, and the shuffle
-    files of the write, which nothing reads again, are dropped when it has ended."""
+    files of the write, which nothing reads again, are dropped when it has ended. See ``passing_tables`` for ``keep``."""
     spark = df.sparkSession
     path = shared_folder(spark, tag)
+    if not keep and (passing := _PASSING.get()) is not None:
+        passing.append(path)
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
