@@ -8,8 +8,12 @@ selects documents by ascending key -ln(u) / w: u from the MD5 of seed and doc_id
 run), w the document's quality weight (1 minus its symbols for each word, at least 0.1), sorted and
 prefix-summed within the source; the document that reaches the budget counts up to it.
 
-A source isn't sorted in one task: keys are cut into ``SLICES`` ranges of their distribution, sums of
-the slices give each slice's start, and only a slice is sorted at a time.
+A source isn't sorted in one task: keys are cut into ``SLICES`` ranges, sums of the slices give each slice's
+start, and only a slice is sorted at a time. The ranges are equal shares of the mean distribution of keys over the
+quality weights ``RATES``; whatever the qualities of a source, about 1/200 of its rows at most share a slice.
+
+The documents of a mix aren't sorted or exchanged at all: each source's last key that is within its budget comes from
+sizes alone, and every document is held against its source's.
 
 Null text: size 0, takes 0. Empty input: empty result. Repeated rows take part one by one; between
 rows with the same key the order is by text. A null source is a source of its own; a source without
@@ -21,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shopscope.llm.common import WORD_PATTERN, ship_package, staged
+from shopscope.llm.common import WORD_PATTERN, passing_tables, ship_package, staged
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 SLICES = 1024
 MIN_QUALITY = 0.1
+#: Quality weights between which every document's weight lies.
+RATES = (0.1, 0.18, 0.32, 0.56, 1.0)
 
 
 def _measured(docs: DataFrame, *more: Column) -> DataFrame:
@@ -43,8 +49,8 @@ def _measured(docs: DataFrame, *more: Column) -> DataFrame:
         ((h.cast("long") + F.lit(0.5)) / F.lit(float(1 << 52))).alias("u"), *more)
     quality = F.greatest(F.lit(MIN_QUALITY), 1 - F.col("symbols") / F.greatest("size", F.lit(1)))
     rows = rows.withColumn("key", -F.log("u") / quality)
-    return rows.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor((1 - F.exp(-F.col("key"))) * SLICES)).cast("int")) \
-        .drop("symbols", "u")
+    share = sum((1 - F.exp(F.col("key") * -r) for r in RATES), F.lit(0.0)) / len(RATES)
+    return rows.withColumn("slice", F.least(F.lit(SLICES - 1), F.floor(share * SLICES)).cast("int")).drop("symbols", "u")
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -67,21 +73,46 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return w.select("skey", "source_size", "target", "epochs", (budget - F.col("epochs") * F.col("source_size")).alias("rest"))
 
 
-def _selected(docs: DataFrame, *carry: Column) -> DataFrame:
-    """Every row with its source's target, its epochs and the words that the fractional selection takes."""
+def _sliced(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(every row's size and key; of each slice its words, the words before it and its source's target; the targets)."""
     ship_package(docs.sparkSession)
-    slim = staged(_measured(docs), "mix-sizes")
-    rows = _measured(docs, *carry) if carry else slim
-    slices = slim.groupBy("skey", "slice").agg(F.min("source").alias("source"), F.sum("size").alias("words"))
+    rows = staged(_measured(docs), "mix-sizes")
+    slices = rows.groupBy("skey", "slice").agg(F.min("source").alias("source"), F.sum("size").alias("words"))
     slices = staged(slices, "mix-slices")
     targets = source_targets(slices.groupBy("skey").agg(F.min("source").alias("source"), F.sum("words").alias("source_size")))
     ahead = Window.partitionBy("skey").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    begin = slices.select("skey", "slice", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("begin")).join(targets, "skey")
+    begin = slices.select("skey", "slice", "words", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("begin"))
+    return rows, begin.join(targets, "skey"), targets
+
+
+def _selected(docs: DataFrame) -> DataFrame:
+    """Every row with its source's target, its epochs and the words that the fractional selection takes."""
+    rows, slices, _ = _sliced(docs)
     running = Window.partitionBy("skey", "slice").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.join(begin, ["skey", "slice"]).withColumn("before", F.col("begin") + F.sum("size").over(running) - F.col("size"))
+    out = rows.join(slices, ["skey", "slice"]).withColumn("before", F.col("begin") + F.sum("size").over(running) - F.col("size"))
     return out.withColumn("extra", F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("rest") - F.col("before"))))
 
 
+def _borders(docs: DataFrame) -> DataFrame:
+    """(skey, epochs, last, whole): one row for each source; its fraction takes the rows before ``last``, and
+    those at ``last`` if ``whole``. ``last`` is null where no fraction is left."""
+    rows, slices, targets = _sliced(docs)
+    # the slice in which the budget ends
+    at = slices.where((F.col("begin") < F.col("rest")) & (F.col("rest") <= F.col("begin") + F.col("words")))
+    equal = rows.join(at.drop("words", "source_size", "target", "epochs"), ["skey", "slice"]) \
+        .groupBy("skey", "begin", "rest", _place().alias("last")).agg(F.sum("size").alias("words"))
+    running = Window.partitionBy("skey").orderBy("last").rowsBetween(Window.unboundedPreceding, 0)
+    equal = equal.withColumn("before", F.col("begin") + F.sum("words").over(running) - F.col("words"))
+    left = F.col("rest") - F.col("before")
+    last = equal.where((left > 0) & (left <= F.col("words"))).select("skey", "last", (2 * left >= F.col("words")).alias("whole"))
+    return targets.select("skey", "epochs").join(last, "skey", "left")
+
+
+def _place() -> Column:
+    """A row's place in the order of its source; rows that are equal there are the same document repeated."""
+    return F.struct(F.col("key"), F.col("doc_id").isNotNull().alias("named"), F.coalesce("doc_id", F.lit(0).cast("long")).alias("id"), F.col("tie"))
+
+
 def mixture(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, source) of every document."""
     return _selected(docs).select("doc_id", "size", "source_size", "target",
@@ -91,10 +122,15 @@ def mixture(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The documents of the mix, each as often as it is taken, with the input's own columns.
 
-    Texts stay whole: the document that reaches the budget is taken if at least half of it is within."""
+    Texts stay whole: the document that reaches the budget is taken if at least half of it is within. Rows of that
+    document that are repeated (same id, text and source) are taken together, by the same rule on all their words."""
+    with passing_tables(docs.sparkSession):
+        # one row for each source, written: its size is known when the join is planned
+        borders = staged(_borders(docs), "mix-borders", keep=True)
     given = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given")
-    out = _selected(docs, given).withColumn(
-        "copies", (F.col("epochs") + F.when((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)).cast("int"))
+    out = _measured(docs, given).withColumn("place", _place()).join(borders, "skey")
+    within = (F.col("place") < F.col("last")) | ((F.col("place") == F.col("last")) & F.col("whole"))
+    out = out.withColumn("copies", (F.col("epochs") + F.when((F.col("size") > 0) & within, 1).otherwise(0)).cast("int"))
     return out.where("copies > 0").select("given", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select("given.*")
 
 

@@ -6,6 +6,8 @@ import re
 import textwrap
 import zlib
 from collections import Counter
+from pathlib import Path
+from urllib.parse import urlparse
 
 import numpy as np
 import pytest
@@ -496,6 +498,36 @@ def test_mixture(docs, real):
     assert Counter(map(tuple, rows)) == Counter(map(tuple, again))
 
 
+def test_mixed_documents_follow_the_mixture(docs, real):
+    df = both(docs, real)
+    want, repeated = Counter(), Counter(r.doc_id for r in df.select("doc_id").collect())
+    for r in mixing._selected(df).collect():
+        want[r.doc_id] += r.epochs + (r.extra > 0 and 2 * r.extra >= r.size)
+    got = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
+    assert all(got[d] == n for d, n in want.items() if repeated[d] == 1)
+    assert not set(got) - set(want)
+
+
+def test_mixed_documents_exchange_no_text(real):
+    plan = mixing.mixed_documents(real)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "BroadcastHashJoin" in plan
+
+
+@pytest.mark.parametrize("symbols", ["", "#" * 4, "#" * 9])
+def test_slices_are_even_whatever_the_quality(spark, symbols):
+    df = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit(f"{symbols} " + "word " * 9).alias("text"), F.lit("s").alias("source"))
+    most = mixing._measured(df).groupBy("slice").count().agg(F.max("count")).first()[0]
+    assert most <= 20_000 / 100
+
+
+def test_passing_tables_go(spark):
+    with common.passing_tables(spark):
+        gone, kept = (common.staged(spark.range(3).toDF("a"), "t", keep=k) for k in (False, True))
+        paths = [Path(urlparse(f.inputFiles()[0]).path).parent for f in (gone, kept)]
+        assert all(p.exists() for p in paths)
+    assert not paths[0].exists() and kept.count() == 3
+
+
 def test_mixed_documents_keep_their_columns(docs):
     out = mixing.mixed_documents(docs)
     assert out.columns == docs.columns
