@@ -9,7 +9,8 @@ nothing behind): its task's number and place, its documents' ids, and a payload
 
 The boundaries (running numbers of ids) are monotone, so Elias-Fano stores each with its low bits as
 they are and its high bits in unary: about 2 + log2(ids / documents) bits. The samples hold the
-position of every 64th one of the high bits; ``EliasFano.select`` reads any boundary from there.
+position of every 64th one of the high bits; ``EliasFano.select`` reads any boundary from there, and
+``select_many``, by which the files are read, many of them.
 
 Encoding is done once for each distinct word of a worker. White space never reaches a token, so words
 (ASCII white space apart) are encoded by themselves. Words of plain letters, digits and marks are
@@ -39,6 +40,10 @@ BLOCK_IDS = 1 << 20
 CACHED_WORDS = 1 << 19
 SAMPLE_EVERY = 64
 _HEAD = struct.Struct("<4sIQQIQQ")
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+#: Ones of each byte, and the place of its n-th one.
+_ONES = _BITS.sum(axis=1).astype(np.int64)
+_NTH = np.argsort(1 - _BITS, axis=1, kind="stable")
 
 
 # ---------------------------------------------------------------- boundaries
@@ -73,6 +78,37 @@ class EliasFano:
         low = int.from_bytes(self.low[bit >> 3:(bit + self.low_bits + 7 >> 3)].tobytes(), "little") >> (bit & 7)
         return (at - i) << self.low_bits | low & ((1 << self.low_bits) - 1)
 
+    def select_many(self, i: np.ndarray) -> np.ndarray:
+        """The i-th values, all walked at once byte by byte from their nearest samples."""
+        if not len(i):
+            return np.zeros(0, np.int64)
+        sample = self.samples[i // SAMPLE_EVERY].astype(np.int64)
+        byte, left = sample >> 3, i % SAMPLE_EVERY
+        # bits of the first byte up to the sample's own one don't count
+        first = self.high[byte] & (0xFE << (sample & 7) & 0xFF).astype(np.uint8)
+        seen = np.where(left > 0, first, 0).astype(np.uint8)
+        go = np.flatnonzero(left > _ONES[seen])
+        while len(go):
+            left[go] -= _ONES[seen[go]]
+            byte[go] += 1
+            seen[go] = self.high[byte[go]]
+            go = go[left[go] > _ONES[seen[go]]]
+        at = np.where(left > 0, (byte << 3) + _NTH[seen, np.maximum(left, 1) - 1], sample)
+        out = (at - i) << self.low_bits
+        if self.low_bits:
+            # nine bytes from the first one hold a value's low bits
+            low = np.concatenate((self.low, np.zeros(9, np.uint8)))
+            bit = i * self.low_bits
+            bits = np.zeros(len(i), np.uint64)
+            for j in range(8):
+                bits |= low[(bit >> 3) + j].astype(np.uint64) << np.uint64(8 * j)
+            shift = (bit & 7).astype(np.uint64)
+            bits >>= shift
+            over = shift + np.uint64(self.low_bits) > 64
+            bits[over] |= low[(bit[over] >> 3) + 8].astype(np.uint64) << (np.uint64(64) - shift[over])
+            out |= (bits & np.uint64((1 << self.low_bits) - 1)).astype(np.int64)
+        return out
+
     def values(self) -> np.ndarray:
         """All values at once."""
         at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n]
@@ -202,7 +238,7 @@ def _decode(first: dict[int, int]):
         for b in batches:
             for task, before, docs, payload in zip(*(b.column(c) for c in ("task", "before", "doc_ids", "payload"))):
                 ends, ids = read_block(payload.as_buffer())
-                end = ends.values()
+                end = ends.select_many(np.arange(ends.n))
                 start = np.concatenate(([0], end[:-1]))
                 raw = ids.astype("<u4").tobytes()
                 crc = [zlib.crc32(raw[4 * i:4 * j]) for i, j in zip(start.tolist(), end.tolist())]
