@@ -2,13 +2,13 @@
 
 Lines with a cue, joined when at most ``NEAR`` lines apart, are the cores of the candidate blocks. A block is
 its core and as many words before and after it as the longest template has, so a wrapped notice is whole
-wherever its cue stands. Templates are confirmed by their exact wording: the words of template and block
-are aligned, template words that are missing and foreign words within the aligned stretch are counted. The
-verdict is "exact" without differences, "variant" up to ``VARIANT`` of the template's words. Every template
-is tried whose words stand in the block often enough for that. A block without such a template is
-compressed alone and with every template as a raw Zstandard dictionary; a template that shares wording saves
-bytes. The best by differences of the ``CONFIRM`` that save the greatest share is named as "unconfirmed", so
-unknown licenses can be looked at.
+wherever its cue stands. The wording
+of a block (lower-case words, so neither case nor line breaks count), in pieces of ``PIECE`` words that overlap by the
+longest template, is compressed alone and with every template as a raw Zstandard dictionary. Templates that save
+bytes are ranked by the bytes saved and confirmed in that order by their exact wording: the words of template and
+piece are aligned, template words that are missing and foreign words within the aligned stretch are counted. The
+verdict is "exact" without differences, "variant" up to ``VARIANT`` of the template's words. In a block without such a
+template the best by differences of all that save is named as "unconfirmed", so unknown licenses can be looked at.
 
 A match belongs to the blocks whose core it touches, and to the first of them if there are several.
 One row for each template confirmed in a block, or one unconfirmed row; a matched word counts for one template, the
@@ -32,9 +32,9 @@ from pyspark.sql import functions as F
 from shopscope.llm.common import text_rows
 
 NEAR = 3
-CONFIRM = 3
 VARIANT = 0.15
 REMEMBERED = 4096
+PIECE = 512
 LEVEL = 3
 #: Every template holds a cue; a cue of several words may be wrapped.
 CUE = (r"(?i)licen[cs]e|licenci|lizenz|copyright|\(c\)|spdx|all\W+rights\W+reserved|permission\W+is|permission\W+to\W+use|"
@@ -129,64 +129,67 @@ class Scanner:
         self.templates = []
         for name, texts in TEMPLATES.items():
             for i, t in enumerate(texts):
-                known = zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                known = zstandard.ZstdCompressionDict(" ".join(wording(t)).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 known.precompute_compress(level=LEVEL)
                 self.templates.append((name, i, wording(t), zstandard.ZstdCompressor(
                     level=LEVEL, dict_data=known, write_content_size=False, write_dict_id=False)))
         self.counts = [Counter(words) for _, _, words, _ in self.templates]
         self.found = lru_cache(REMEMBERED)(self._found)
 
-    def ranked(self, block: str) -> list[tuple[float, str, int, list[str]]]:
-        """(share saved, license, template, its words), best first."""
-        raw = block.encode()
+    def ranked(self, words: list[str]) -> list[tuple[float, int]]:
+        """(share saved, template) of every template, best first, for a piece's wording."""
+        raw = " ".join(words).encode()
         plain = len(self.alone.compress(raw))
-        out = [((plain - len(c.compress(raw))) / plain, name, i, words) for name, i, words, c in self.templates]
-        return sorted(out, key=lambda x: (-x[0], x[1], x[2]))
+        out = [((plain - len(c.compress(raw))) / plain, k) for k, (_, _, _, c) in enumerate(self.templates)]
+        return sorted(out, key=lambda x: (-x[0], x[1]))
 
     def scan(self, block: str) -> tuple[str, int, float, int, int, str]:
         return self.found(block, 0, len(block))[0][:6]
 
-    def _best(self, words: list[str]):
-        """The confirmed template with the least share of differences, the longest of those: (key, template, missing, foreign, places)."""
+    def _best(self, words: list[str], ranking: list[tuple[float, int]]):
+        """The confirmed template of the ranking with the least share of differences, the longest and then the
+        best ranked of those: (key, template, share saved, missing, foreign, places)."""
         have, best = Counter(words), None
         match = difflib.SequenceMatcher(None, [], words, autojunk=False)
-        for k, (name, i, template, _) in enumerate(self.templates):
+        for place, (saved, k) in enumerate(ranking):
+            template = self.templates[k][2]
             n = len(template)
+            # words that stand nowhere are missing in any alignment
             if n - sum(min(c, have[w]) for w, c in self.counts[k].items()) > VARIANT * n:
                 continue
             match.set_seq1(template)
             missing, foreign, places = aligned(match, n)
-            key = (missing + foreign) / n, -n, name, i
+            key = (missing + foreign) / n, -n, place
             if key[0] <= VARIANT and (best is None or key < best[0]):
-                best = key, k, missing, foreign, places
+                best = key, k, saved, missing, foreign, places
         return best
 
     def _found(self, block: str, a: int, b: int) -> list[tuple[str, int, float, int, int, str, int]]:
         """(license, template, share saved, missing, foreign, verdict, place of the first matched word) for the core block[a:b]."""
         at = [m.span() for m in _WORD.finditer(block)]
-        words, out, others = [block[i:j].lower() for i, j in at], [], []
-        plain = len(self.alone.compress(block.encode()))
-        while best := self._best(words):
-            (share, *_), k, missing, foreign, places = best
-            name, i, _, c = self.templates[k]
-            for p in places:
-                words[p] = ""  # matched once only
-            if any(a <= at[p][0] < b for p in places):
-                row = name, i, (plain - len(c.compress(block.encode()))) / plain, missing, foreign, "variant" if share else "exact"
-                if row[:2] not in [x[:2] for x in out]:
-                    out.append((*row, at[places[0]][0]))
-            else:
-                others.append((at[places[0]][0], at[places[-1]][1]))
-        if out:
-            return out
-        for i, j in sorted(others, reverse=True):
-            if not any(x <= i and j <= y and (x, y) != (i, j) for x, y in others):
-                block = block[:i] + block[j:]
-        unsure = []
-        for saved, name, i, template in self.ranked(block)[:CONFIRM]:
-            missing, foreign = differences(template, words)
-            unsure.append((((missing + foreign) / len(template), -len(template), -saved, name), (name, i, saved, missing, foreign)))
-        return [(*min(unsure)[1], "unconfirmed", a)]
+        words, out, unsure = [block[i:j].lower() for i, j in at], [], []
+        for lo in range(0, len(words), PIECE):
+            piece = words[lo:lo + PIECE + 2 * GROW]
+            ranking = self.ranked(piece)
+            saving = [x for x in ranking if x[0] > 0]
+            while best := self._best(piece, saving):
+                (share, *_), k, saved, missing, foreign, places = best
+                for p in places:
+                    piece[p] = ""  # matched once only
+                if places[0] >= PIECE:
+                    continue  # the next piece has it whole
+                for p in places:
+                    words[lo + p] = ""
+                if any(a <= at[lo + p][0] < b for p in places):
+                    name, i = self.templates[k][:2]
+                    if (name, i) not in [x[:2] for x in out]:
+                        out.append((name, i, saved, missing, foreign, "variant" if share else "exact", at[lo + places[0]][0]))
+            if not out:
+                for saved, k in saving or ranking[:1]:
+                    name, i, template, _ = self.templates[k]
+                    missing, foreign = differences(template, piece)
+                    unsure.append((((missing + foreign) / len(template), -len(template), -saved, name, i), (name, i, saved, missing, foreign)))
+        return out or [(*min(unsure)[1], "unconfirmed", a)]
 
 
 _CUE = re.compile(CUE)

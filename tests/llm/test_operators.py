@@ -105,6 +105,26 @@ def test_license_scan_finds_every_license_of_a_block(spark):
         (3, "MIT", "exact"), (4, "LGPL-3.0", "exact")]
 
 
+@pytest.mark.parametrize("width", [10_000_000, 78])
+def test_license_rank_needs_no_line_breaks(spark, width):
+    """Notices far apart in a very long text, on one line or wrapped, are found as by alignment with every template."""
+    filler = " ".join(f"w{i * 7919 % 4001}" for i in range(3000))
+    given = [licenses.TEMPLATES[k][0] for k in ("MIT", "BSD-2-Clause", "All-Rights-Reserved", "CC-BY-4.0", "Unlicense", "MPL-2.0")]
+    text = wrapped(f" {filler} ".join(["", *(t.upper() if i % 2 else t for i, t in enumerate(given)), ""]), width)
+    got = licenses.license_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("verdict = 'exact'").collect()
+    assert sorted(r.license for r in got) == sorted(k for k, v in licenses.TEMPLATES.items() for t in v if t in given)
+
+
+def test_confirmed_templates_save_bytes():
+    """No template whose wording stands in a block is lost by the ranking (brute force: alignment with all)."""
+    scanner = licenses.Scanner()
+    filler = [f"w{i * 7919 % 4001}" for i in range(licenses.PIECE)]
+    for k, (name, i, template, _) in enumerate(scanner.templates):
+        for cut in (0, 1, len(filler) - 1):
+            words = filler[:cut] + template + filler[cut:]
+            assert (name, i) in [scanner.templates[j][:2] for saved, j in scanner.ranked(words) if saved > 0]
+
+
 # ---------------------------------------------------------------- 2
 
 def repeats(rows, n=200):
@@ -543,6 +563,11 @@ def test_elias_fano_round_trip():
             x = np.cumsum(rng.integers(0, step + 1, n))
             ef = tokens.EliasFano.of(x)
             assert ef.values().tolist() == x.tolist() == [ef.select(i) for i in range(n)]
+            some = rng.integers(0, n, 40)
+            assert ef.select_many(np.arange(n)).tolist() == x.tolist() and ef.select_many(some).tolist() == x[some].tolist()
+    far = np.array([0, 0, 5, 1 << 40, (1 << 61) + 3, (1 << 61) + 3, (1 << 62) + 1])
+    assert tokens.EliasFano.of(far).select_many(np.arange(len(far))).tolist() == far.tolist()
+    assert not len(tokens.EliasFano.of(far[:0]).select_many(np.arange(0)))
 
 
 def test_tokens_round_trip(spark, docs, real):
