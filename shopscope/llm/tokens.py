@@ -14,8 +14,9 @@ position of every 64th one of the high bits; ``EliasFano.select`` reads any boun
 
 Encoding is done once for each distinct word of a worker. White space never reaches a token, so words
 (ASCII white space apart) are encoded by themselves. Words of plain letters, digits and marks are
-split as the tokenizer's own pattern does, and its model encodes each part; all other words go
-through the whole tokenizer.
+split as the tokenizer's own pattern does, and its model encodes each part once; all other words go
+through the whole tokenizer. A new word that is one known part, or one with known marks behind it, is
+put together from these.
 
 Null texts are empty: only the end id. Rows with the same id follow each other, ordered by text; null
 ids come first. Empty input: no blocks, empty result.
@@ -37,7 +38,8 @@ from shopscope.llm.common import partitions, shared_folder, text_rows
 
 END_ID = 2
 BLOCK_IDS = 1 << 20
-CACHED_WORDS = 1 << 19
+CACHED_WORDS = 1 << 18
+CACHED_PARTS = 1 << 19
 SAMPLE_EVERY = 64
 _HEAD = struct.Struct("<4sIQQIQQ")
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
@@ -145,6 +147,8 @@ def read_block(payload) -> tuple[EliasFano, np.ndarray]:
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[!-&(-~{_LETTER}]+")
 _PARTS = re.compile(f"[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
+_SIMPLE = re.compile(f"([{_LETTER}]+)([!-&(-/:-@[-`{{-~]*)")
+_MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
 
 
 def _byte_names() -> dict[int, str]:
@@ -167,17 +171,32 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
-            self.parts.clear()
-        text = word.decode("utf-8", "replace")
-        if _PLAIN.fullmatch(text) and "<|" not in text:
-            out = b"".join([self.parts.get(p) or self._part(p) for p in _PARTS.findall(text.lower())])
-        else:
-            out = self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        low = word.lower()
+        head = low.rstrip(_MARKS)
+        out = self.parts.get(head)
+        if out is not None and len(head) < len(low):
+            marks = self.parts.get(low[len(head):])
+            out = None if marks is None else out + marks
+        if out is None:
+            out = self._split(word.decode("utf-8", "replace"))
         self[word] = out
         return out
 
-    def _part(self, part: str) -> bytes:
-        named = part.encode().decode("latin-1").translate(self.names)
+    def _split(self, text: str) -> bytes:
+        simple = _SIMPLE.fullmatch(text)
+        if simple and "<|" not in text:
+            parts = [p.lower().encode() for p in simple.groups() if p]
+            return b"".join([self.parts.get(p) or self._part(p) for p in parts])
+        if _PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join([self.parts.get(p) or self._part(p) for p in map(str.encode, _PARTS.findall(text.lower()))])
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def _part(self, part: bytes) -> bytes:
+        if len(self.parts) >= CACHED_PARTS:
+            self.parts.clear()
+        named = part.decode("latin-1")
+        if not part.isascii():
+            named = named.translate(self.names)
         out = self.parts[part] = self._bytes([t.id for t in self.tokenizer.model.tokenize(named)])
         return out
 
