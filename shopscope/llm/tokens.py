@@ -15,8 +15,7 @@ position of every 64th one of the high bits; ``EliasFano.select`` reads any boun
 Encoding is done once for each distinct word of a worker. White space never reaches a token, so words
 (ASCII white space apart) are encoded by themselves. Words of plain letters, digits and marks are
 split as the tokenizer's own pattern does, and its model encodes each part once; all other words go
-through the whole tokenizer. A new word that is one known part, or one with known marks behind it, is
-put together from these.
+through the whole tokenizer. A new word of one part, marks behind it aside, needs no pattern.
 
 Null texts are empty: only the end id. Rows with the same id follow each other, ordered by text; null
 ids come first. Empty input: no blocks, empty result.
@@ -147,7 +146,6 @@ def read_block(payload) -> tuple[EliasFano, np.ndarray]:
 _LETTER = "A-Za-zÀ-ÖØ-öø-ÿ"
 _PLAIN = re.compile(f"[!-&(-~{_LETTER}]+")
 _PARTS = re.compile(f"[{_LETTER}]+|[0-9]|[^{_LETTER}0-9]+")
-_SIMPLE = re.compile(f"([{_LETTER}]+)([!-&(-/:-@[-`{{-~]*)")
 _MARKS = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'")
 
 
@@ -167,15 +165,17 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.names, self.parts = _byte_names(), {}
+        self.packed = [self._bytes([i]) for i in range(self.tokenizer.get_vocab_size())]
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= CACHED_WORDS:
             self.clear()
         low = word.lower()
         head = low.rstrip(_MARKS)
-        out = self.parts.get(head)
+        out = self.parts.get(head) or (self._part(head) if head.isalpha() else None)
         if out is not None and len(head) < len(low):
-            marks = self.parts.get(low[len(head):])
+            tail = low[len(head):]
+            marks = self.parts.get(tail) or (self._part(tail) if b"<|" not in tail else None)
             out = None if marks is None else out + marks
         if out is None:
             out = self._split(word.decode("utf-8", "replace"))
@@ -183,10 +183,6 @@ class Words(dict):
         return out
 
     def _split(self, text: str) -> bytes:
-        simple = _SIMPLE.fullmatch(text)
-        if simple and "<|" not in text:
-            parts = [p.lower().encode() for p in simple.groups() if p]
-            return b"".join([self.parts.get(p) or self._part(p) for p in parts])
         if _PLAIN.fullmatch(text) and "<|" not in text:
             return b"".join([self.parts.get(p) or self._part(p) for p in map(str.encode, _PARTS.findall(text.lower()))])
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
@@ -197,7 +193,7 @@ class Words(dict):
         named = part.decode("latin-1")
         if not part.isascii():
             named = named.translate(self.names)
-        out = self.parts[part] = self._bytes([t.id for t in self.tokenizer.model.tokenize(named)])
+        out = self.parts[part] = b"".join([self.packed[t.id] for t in self.tokenizer.model.tokenize(named)])
         return out
 
     def _bytes(self, ids: list[int]) -> bytes:
