@@ -708,6 +708,11 @@ FROM (SELECT strptime(strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), '%Y-%m-%d %H:%
              o_orderstatus FROM orders)
 GROUP BY 1, 2, 3""")
 
+register("bucketed_order_join", """
+SELECT o_orderpriority AS order_priority, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS lines,
+       count(DISTINCT o_orderkey) AS orders, round(sum(l_extendedprice), 2) AS revenue
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""")
+
 # --- models -------------------------------------------------------------------------------
 
 _X = ("payment_value", "freight_value", "product_weight_g")
@@ -761,6 +766,57 @@ SELECT round(pred_price, 4) AS pred_price, round(price, 4) AS price,
   FROM (SELECT round_even(prediction, 2) AS pred_price, price FROM pred))
 ORDER BY price, pred_price LIMIT 100""", extra=OLS))
 
+
+
+def _boost_ctes(trees: int = 3, depth: int = 3, step: str = "0.3") -> str:
+    """Boosted trees level by level: histograms of residual sums, best split of each node, new nodes."""
+    quantiles = ", ".join(f"{i} / 32.0" for i in range(1, 32))
+    edges = ", ".join(f"list_sort(list_distinct(quantile_cont(CAST({x} AS DOUBLE), [{quantiles}]))) AS e{i}" for i, x in enumerate(_X))
+    bins = ", ".join(f"len(list_filter(e{i}, lambda e: e < {x})) AS b{i}" for i, x in enumerate(_X))
+    out = [OLS, f"edges AS MATERIALIZED (SELECT {edges} FROM split WHERE split = 'train')",
+           f"cells AS MATERIALIZED (SELECT split, b0, b1, b2, count(*) AS n, avg(price) AS mean, var_pop(price) * count(*) AS ss "
+           f"FROM (SELECT split, price, {bins} FROM split, edges) GROUP BY ALL)",
+           "base AS MATERIALIZED (SELECT sum(n * mean) / sum(n) AS base, sum(n * mean * mean) AS scale FROM cells WHERE split = 'train')",
+           "s1_0 AS MATERIALIZED (SELECT cells.*, base AS pred, 1 AS node, CAST(0 AS DOUBLE) AS val FROM cells, base)"]
+    for t in range(1, trees + 1):
+        for level in range(depth):
+            s, b = f"s{t}_{level}", f"best{t}_{level}"
+            hist = " UNION ALL ".join(f"SELECT node, {i} AS f, b{i} AS b, sum(n) AS n, sum(n * (mean - pred)) AS g FROM {s} WHERE split = 'train' GROUP BY ALL"
+                                      for i in range(3))
+            out.append(f"""{b} AS MATERIALIZED (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, b) AS rn FROM (
+    SELECT *, round((gl * gl / nl + (g - gl) * (g - gl) / (n - nl) - g * g / n) / (SELECT scale FROM base), 10) AS gain,
+           gl / nl AS lv, (g - gl) / (n - nl) AS rv FROM (
+      SELECT node, f, b, sum(n) OVER (PARTITION BY node, f ORDER BY b) AS nl, sum(g) OVER (PARTITION BY node, f ORDER BY b) AS gl,
+             sum(n) OVER (PARTITION BY node, f) AS n, sum(g) OVER (PARTITION BY node, f) AS g FROM ({hist}))
+    WHERE nl < n) WHERE gain > 0) WHERE rn = 1)""")
+            goes_left = "CASE w.f WHEN 0 THEN s.b0 WHEN 1 THEN s.b1 ELSE s.b2 END <= w.b"
+            after = f"""SELECT s.split, s.b0, s.b1, s.b2, s.n, s.mean, s.ss, s.pred,
+       CASE WHEN w.node IS NULL THEN s.node WHEN {goes_left} THEN 2 * s.node ELSE 2 * s.node + 1 END AS node,
+       CASE WHEN w.node IS NULL THEN s.val WHEN {goes_left} THEN w.lv ELSE w.rv END AS val
+       FROM {s} s LEFT JOIN {b} w ON w.node = s.node"""
+            if level + 1 < depth:
+                out.append(f"s{t}_{level + 1} AS MATERIALIZED ({after})")
+            else:
+                out.append(f"s{t + 1}_0 AS MATERIALIZED (SELECT split, b0, b1, b2, n, mean, ss, pred + {step} * val AS pred, 1 AS node, "
+                           f"CAST(0 AS DOUBLE) AS val FROM ({after}))")
+    return ",\n".join(out)
+
+
+BOOSTED = _boost_ctes()
+
+register("price_boost_splits", with_fact(" UNION ALL ".join(f"""
+SELECT CAST({t} AS INTEGER) AS tree, CAST(w.node AS INTEGER) AS node,
+       CASE w.f WHEN 0 THEN '{_X[0]}' WHEN 1 THEN '{_X[1]}' ELSE '{_X[2]}' END AS feature,
+       round(CASE w.f WHEN 0 THEN e0[w.b + 1] WHEN 1 THEN e1[w.b + 1] ELSE e2[w.b + 1] END, 4) AS threshold,
+       CAST(w.n AS BIGINT) AS rows, round(w.gain, 4) AS gain, round(w.lv, 4) AS left_value, round(w.rv, 4) AS right_value
+FROM best{t}_{level} w, edges""" for t in range(1, 4) for level in range(3)), extra=BOOSTED))
+
+register("price_boost_metrics", with_fact("""
+SELECT split, round(1 - sse / nullif(sst, 0), 6) AS r2, round(sse / n, 0) AS mse, n FROM (
+  SELECT split, sum(ss + n * (mean - pred) ^ 2) AS sse, sum(ss) + sum(n * mean ^ 2) - sum(n * mean) ^ 2 / sum(n) AS sst,
+         CAST(sum(n) AS BIGINT) AS n FROM s4_0 GROUP BY split)""", extra=BOOSTED))
+
 CLASSIFIED = VALUED + f""",
 crow AS MATERIALIZED (SELECT c.{ROW_KEYS.replace(', ', ', c.')}, v.category, v.CLV_cluster,
        CASE WHEN {bucket('c.' + ROW_KEYS.replace(', ', ', c.'), salt='56')} < 25 THEN 'test' ELSE 'train' END AS split

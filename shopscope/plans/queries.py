@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import TimestampNTZType, TimestampType
 
 from shopscope.functions import hash_bucket, whole_days
-from shopscope.operators import (cleaning, clv, explore, joins, marketplace, models, profile, report,
+from shopscope.operators import (boost, cleaning, clv, explore, joins, marketplace, models, profile, report,
                                  rfm, sampling, stats, study, tree)
 from shopscope.operators.cluster import elbow, value_histogram
 from shopscope.session import materialize, shared_folder
 from shopscope.sources import standins
+from shopscope.sources.bucketed import bucketed_join, open_bucketed, write_bucketed
 from shopscope.sources.tables import read_csv_checked, read_facts, read_table, write_facts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -537,6 +538,21 @@ def text_number_casts(spark, sf):
     return t.groupBy("year", "month", "status_num").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def bucketed_order_join(spark, sf):
+    """Order lines and orders stored in buckets of the order key, then joined without a shuffle."""
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = []
+    for table, key in (("lineitem", "l_orderkey"), ("orders", "o_orderkey")):
+        rows, folder = read_table(spark, sf, table), shared_folder(spark, f"bucketed-{table}")
+        write_bucketed(rows, folder, key, buckets)
+        sides.append(open_bucketed(spark, folder, rows.schema, key, buckets))
+    j = bucketed_join(*sides, "l_orderkey", "o_orderkey")
+    return j.groupBy(F.col("o_orderpriority").alias("order_priority"), F.year("o_orderdate").cast("int").alias("year")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_distinct("o_orderkey").alias("orders"),
+        F.round(F.sum("l_extendedprice"), 2).alias("revenue"))
+
+
 # --- models -------------------------------------------------------------------------------
 
 def _price_split(spark, sf):
@@ -591,6 +607,28 @@ def price_gbt_predictions(spark, sf):
     return finish(models.prediction_table(rows.join(pred.select(*keys, "prediction"), keys)))
 
 
+def _price_boost(spark, sf):
+    """(cells of both splits, model of three trees, bin edges): trees by exact split search."""
+    s = materialize(_price_split(spark, sf))
+    edges = models.bin_edges(s.where(F.col("split") == "train"), PRICE_FEATURES)
+    cells = materialize(models.regression_cells(models.binned(s, edges), PRICE_FEATURES, "price", "split"))
+    m = boost.fit(cells.where(F.col("split") == "train"), PRICE_FEATURES, trees=3, depth=3, step=0.3)
+    return cells, m, edges
+
+
+@query
+def price_boost_splits(spark, sf):
+    cells, m, edges = _price_boost(spark, sf)
+    return finish(boost.splits(cells, m, edges), digits=4)
+
+
+@query
+def price_boost_metrics(spark, sf):
+    cells, m, _ = _price_boost(spark, sf)
+    met = models.cell_metrics(cells.withColumn("prediction", m.prediction()), "split")
+    return met.select("split", F.round("r2", 6).alias("r2"), F.round("mse", 0).alias("mse"), "n")
+
+
 CLASS_FEATURES = ("category_low_value", "category_mid_value", "category_high_value")
 
 
