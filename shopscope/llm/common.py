@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from shopscope.session import ensure_checkpoint_dir, scratch_dir
 
 #: Bytes of text that numpy works on at once (a longer document is a slice of its own).
-SLICE_BYTES = 1 << 19
+SLICE_BYTES = 1 << 17
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
