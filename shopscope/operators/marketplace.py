@@ -79,21 +79,29 @@ def geo_centroids(geolocation: DataFrame) -> DataFrame:
         best.alias("best")).select(z, "geolocation_lat", "geolocation_lng", *[f"best.{c}" for c in place])
 
 
+def _checked(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    missing = set(TABLES) - set(tables)
+    if missing:
+        raise ValueError(f"tables missing: {sorted(missing)}")
+    return tables
+
+
+def _dealt(t: dict[str, DataFrame]) -> DataFrame:
+    return t["sellers"].join(t["closed_deals"], "seller_id").join(t["marketing_qualified_leads"], "mql_id")
+
+
 def denormalize(tables: dict[str, DataFrame], geo_dedupe: bool = False, cells: int = CELLS) -> DataFrame:
     """All ten tables as one fact table (``TABLES`` names them; see the module's text for its grain).
 
     The order branch is joined with its customers first, and sellers with their deals and leads, so the
     many-to-many join on the zip is the last one and no larger product is ever formed. ``seller_id``
     stands in both branches: the order's is ``seller_id_x``, the zip's ``seller_id_y``."""
-    missing = set(TABLES) - set(tables)
-    if missing:
-        raise ValueError(f"tables missing: {sorted(missing)}")
-    t = tables
+    t = _checked(tables)
     lines = t["order_reviews"].join(t["orders"], "order_id").join(t["order_payments"], "order_id") \
         .join(t["order_items"], "order_id").join(t["products"], "product_id")
     bought = join_with_suffixes(lines, t["customers"], "customer_id").withColumnRenamed("seller_id", "seller_id_x")
     geo = geo_centroids(t["geolocation"]) if geo_dedupe else t["geolocation"]
-    dealt = t["sellers"].join(t["closed_deals"], "seller_id").join(t["marketing_qualified_leads"], "mql_id")
+    dealt = _dealt(t)
     points = key_sizes(geo, "geolocation_zip_code_prefix")
     near = join_on(dealt, geo, "seller_zip_code_prefix", "geolocation_zip_code_prefix") if geo_dedupe else \
         fanout_join(dealt, geo, "seller_zip_code_prefix", "geolocation_zip_code_prefix", right_sizes=points, cells=cells)
@@ -103,3 +111,53 @@ def denormalize(tables: dict[str, DataFrame], geo_dedupe: bool = False, cells: i
         .select("key", (F.col("n") * F.col("m")).alias("n"))
     return fanout_join(bought, near, "customer_zip_code_prefix", "geolocation_zip_code_prefix",
                        key_sizes(t["customers"], "customer_zip_code_prefix"), per_zip, cells)
+
+
+def summarize(tables: dict[str, DataFrame], geo_dedupe: bool = False) -> DataFrame:
+    """The rows of ``denormalize`` summed by (customer_state, origin), without forming them.
+
+    All rows of a zip's order side meet all rows of its seller side, so a sum over the pairs is the product
+    of a sum and a count: both sides are reduced to one row a zip before they meet, and distinct orders and
+    sellers are counted over (order, zip) and (seller, zip). The pairs grow with the square of the tables
+    (the cube, without centroids); this grows with the tables."""
+    t = _checked(tables)
+    key = ["customer_state", "origin"]
+    one = F.count(F.lit(1))
+    geo = geo_centroids(t["geolocation"]) if geo_dedupe else t["geolocation"]
+    geo = geo.where(F.col("geolocation_zip_code_prefix").isNotNull()).groupBy(F.col("geolocation_zip_code_prefix").alias("zip")).agg(
+        one.alias("points"), F.max("geolocation_city").alias("city"),
+        *[f(f"geolocation_{c}").alias(f"{f.__name__}_{c}") for c in ("lat", "lng") for f in (F.sum, F.count)])
+    sellers = _dealt(t).select(F.col("seller_zip_code_prefix").alias("zip"), "origin", "seller_id") \
+        .groupBy("zip", "origin", "seller_id").agg(one.alias("deals")).join(geo.select("zip", "points"), "zip")
+    near = sellers.groupBy("zip", "origin").agg(F.sum("deals").alias("deals")).join(geo, "zip")
+
+    place = t["orders"].select("order_id", "customer_id").join(
+        t["customers"].select("customer_id", F.col("customer_zip_code_prefix").alias("zip"), "customer_state").where("zip IS NOT NULL"), "customer_id")
+    reviews = t["order_reviews"].groupBy("order_id").agg(one.alias("reviews"))
+    payments = t["order_payments"].groupBy("order_id").agg(one.alias("payments"), F.sum("payment_value").alias("paid"))
+    items = t["order_items"].select("order_id", "product_id", "seller_id", "price").join(t["products"].select("product_id"), "product_id")
+    lines = place.join(reviews, "order_id").join(payments, "order_id").join(items, "order_id") \
+        .withColumn("rows", F.col("reviews") * F.col("payments"))
+    orders = lines.groupBy("order_id", "zip", "customer_state").agg(
+        F.sum("rows").alias("rows"), F.sum(F.col("price") * F.col("rows")).alias("price"),
+        F.sum(F.col("paid") * F.col("reviews")).alias("paid"))
+    bought = orders.groupBy("zip", "customer_state").agg(*[F.sum(c).alias(c) for c in ("rows", "price", "paid")])
+
+    def mean(c: str):
+        met = F.col("rows") * F.col("deals")
+        return (F.sum(met * F.col(f"sum_{c}")) / F.nullif(F.sum(met * F.col(f"count_{c}")), F.lit(0))).alias(f"mean_{c}")
+
+    met = F.col("deals") * F.col("points")
+    sums = bought.join(near, "zip").groupBy(*key).agg(
+        F.sum(F.col("rows") * met).alias("n"), F.sum(F.col("price") * met).alias("total_price"),
+        F.sum(F.col("paid") * met).alias("total_paid"), mean("lat"), mean("lng"), F.max("city").alias("last_city"))
+    buyers = orders.select("order_id", "zip", "customer_state").join(near.select("zip", "origin"), "zip") \
+        .groupBy(*key).agg(F.count_distinct("order_id").alias("orders"))
+    met_sellers = bought.select("zip", "customer_state").join(sellers, "zip") \
+        .groupBy(*key).agg(F.count_distinct("seller_id").alias("zip_sellers"))
+    own = lines.select("zip", "seller_id", "customer_state", "rows").join(sellers, ["zip", "seller_id"]) \
+        .groupBy(*key).agg(F.sum(F.col("rows") * met).alias("own_seller_rows"))
+    parts = sums.unionByName(buyers, True).unionByName(met_sellers, True).unionByName(own, True)
+    names = ["n", "orders", "zip_sellers", "total_price", "total_paid", "mean_lat", "mean_lng", "last_city"]
+    return parts.groupBy(*key).agg(*[F.max(c).alias(c) for c in names], F.coalesce(F.max("own_seller_rows"), F.lit(0)).alias("own_seller_rows")) \
+        .withColumnsRenamed({"mean_lat": "lat", "mean_lng": "lng"})

@@ -92,3 +92,50 @@ def test_denormalize_from_csv_files(spark, tmp_path):
 def test_missing_table_is_named(spark):
     with pytest.raises(ValueError, match="products"):
         marketplace.denormalize({n: None for n in marketplace.TABLES if n != "products"})
+
+
+@pytest.mark.parametrize("geo_dedupe", [False, True])
+def test_summary_equals_the_summed_rows(spark, geo_dedupe):
+    """Keys that repeat or are null, zips without sellers, points without a place; no zip's pairs are formed."""
+    def frame(rows, schema):
+        return spark.createDataFrame(rows, schema)
+
+    tables = {
+        "order_reviews": frame([("r1", 1, 5), ("r2", 1, 4), ("r3", 2, 1), ("r4", 3, 1), ("r5", None, 1), ("r6", 4, 2)], "review_id string, order_id long, review_score int"),
+        "orders": frame([(1, 10), (2, 11), (2, 11), (3, 12), (4, None), (5, 10)], "order_id long, customer_id long"),
+        "order_payments": frame([(1, 1, 2.5), (1, 2, None), (2, 1, 4.0), (3, 1, None), (5, 1, 8.0)], "order_id long, payment_sequential int, payment_value double"),
+        "order_items": frame([(1, 7, 100, 1.5), (1, 8, 101, None), (2, 7, 101, 3.0), (3, 8, 102, 2.0), (3, 9, 102, 2.0)], "order_id long, product_id long, seller_id long, price double"),
+        "products": frame([(7, "a"), (7, "a"), (8, None), (None, "b")], "product_id long, product_category_name string"),
+        "sellers": frame([(100, 1), (101, 1), (101, 2), (102, None), (103, 2)], "seller_id long, seller_zip_code_prefix int"),
+        "geolocation": frame([(1, 0.5, 1.0, "x", "S"), (1, None, 2.0, "y", "S"), (2, None, None, None, "T"), (2, None, 4.0, "z", "T"), (None, 1.0, 1.0, "q", "U")],
+                             "geolocation_zip_code_prefix int, geolocation_lat double, geolocation_lng double, geolocation_city string, geolocation_state string"),
+        "customers": frame([(10, 1, "S"), (11, 2, "T"), (11, 1, "T"), (12, 2, None), (13, None, "S")], "customer_id long, customer_zip_code_prefix int, customer_state string"),
+        "closed_deals": frame([("m0", 100), ("m1", 101), ("m1", 101), ("m3", 103), ("m4", 102)], "mql_id string, seller_id long"),
+        "marketing_qualified_leads": frame([("m0", "search"), ("m1", None), ("m3", "search"), ("m4", "social")], "mql_id string, origin string")}
+    got = marketplace.summarize(tables, geo_dedupe)
+    want = marketplace.denormalize(tables, geo_dedupe).groupBy("customer_state", "origin").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("order_id").alias("orders"), F.countDistinct("seller_id_y").alias("zip_sellers"),
+        F.sum("price").alias("total_price"), F.sum("payment_value").alias("total_paid"), F.avg("geolocation_lat").alias("lat"),
+        F.avg("geolocation_lng").alias("lng"), F.max("geolocation_city").alias("last_city"),
+        F.sum(F.when(F.col("seller_id_x") == F.col("seller_id_y"), 1).otherwise(0)).alias("own_seller_rows"))
+    assert dict(got.dtypes) == dict(want.dtypes)
+    rows = {(r.customer_state, r.origin): r.asDict() for r in want.collect()}
+    assert len(rows) > 4 and {(r.customer_state, r.origin): r.asDict() for r in got.collect()} == rows
+
+
+def test_summary_of_a_hot_zip_forms_no_pairs(spark):
+    """One zip with 3,000 orders, sellers and points each: 2.7e10 rows of the joined table."""
+    many = spark.range(3000)
+    key, zip_ = F.col("id"), F.lit(1)
+    tables = {
+        "order_reviews": many.select(key.alias("order_id")), "orders": many.select(key.alias("order_id"), key.alias("customer_id")),
+        "order_payments": many.select(key.alias("order_id"), F.lit(2.0).alias("payment_value")),
+        "order_items": many.select(key.alias("order_id"), F.lit(1).alias("product_id"), key.alias("seller_id"), F.lit(0.5).alias("price")),
+        "products": many.limit(1).select(F.lit(1).alias("product_id")), "sellers": many.select(key.alias("seller_id"), zip_.alias("seller_zip_code_prefix")),
+        "geolocation": many.select(zip_.alias("geolocation_zip_code_prefix"), key.cast("double").alias("geolocation_lat"), F.lit(1.0).alias("geolocation_lng"),
+                                   F.lit("c").alias("geolocation_city"), F.lit("s").alias("geolocation_state")),
+        "customers": many.select(key.alias("customer_id"), zip_.alias("customer_zip_code_prefix"), F.lit("s").alias("customer_state")),
+        "closed_deals": many.select(key.alias("mql_id"), key.alias("seller_id")), "marketing_qualified_leads": many.select(key.alias("mql_id"), F.lit("o").alias("origin"))}
+    r = marketplace.summarize(tables).first()
+    assert (r.n, r.orders, r.zip_sellers, r.own_seller_rows) == (3000 ** 3, 3000, 3000, 3000 * 3000)
+    assert (r.total_price, r.total_paid, r.lat, r.lng) == (3000 ** 3 * 0.5, 3000 ** 3 * 2.0, 1499.5, 1.0)
