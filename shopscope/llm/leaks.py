@@ -80,7 +80,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     new = np.concatenate(([True], key[1:] != key[:-1]))
     place = np.arange(n)
     group = np.maximum.accumulate(np.where(new, place, 0))
-    rank = np.zeros(n + 1, dtype=np.int64)
+    rank = np.full(n + 1, -1, dtype=np.int64)  # the end is before all
     rank[order] = group
     zero = np.where(ids == 0, place, n)
     to_zero = np.minimum.accumulate(zero[::-1])[::-1] - place
@@ -89,7 +89,7 @@ def suffix_array(ids: np.ndarray, depth: int) -> np.ndarray:
     while h < depth and len(open_):
         open_ = open_[to_zero[order[open_]] >= h]
         p = order[open_]
-        key = rank[p] * np.int64(n + 1) + rank[np.minimum(p + h, n)]
+        key = rank[p] * np.int64(n + 1) + rank[np.minimum(p + h, n)] + 1
         by = np.argsort(key, kind="stable")
         p, key = p[by], key[by]
         order[open_] = p

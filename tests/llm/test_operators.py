@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from shopscope.llm import (common, fingerprints, jaccard, licenses, linear, mixing, packing, pii, quality, queries, suffixes,
+from shopscope.llm import (common, fingerprints, jaccard, leaks, licenses, linear, mixing, packing, periods, pii, quality, queries, ranking, suffixes,
                            tokens, toxicity)
 from tests.conftest import MEDIUM, SMALL
 
@@ -616,10 +616,13 @@ def test_chunks_resist_shifts():
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_empty_table(spark, docs, labels, name):
     none = docs.limit(0)
+    items = spark.createDataFrame([("i", "some words")], "item_id string, text string")
     run = {"op1": licenses.license_scan, "op2": suffixes.without_repeats, "op3": lambda d: toxicity.toxicity(d, labels),
            "op4": jaccard.jaccard_groups, "op5": pii.personal_data, "op6": packing.pack, "op7": mixing.mixture,
            "op8": lambda d: tokens.read_tokens(spark, tokens.write_tokens(d, _path())),
-           "op9": lambda d: quality.quality_rules(d, labels), "op10": fingerprints.fingerprint_documents}[name.split("_")[0]]
+           "op9": lambda d: quality.quality_rules(d, labels), "op10": fingerprints.fingerprint_documents,
+           "op11": lambda d: ranking.ranked(d, items), "op12": periods.periodic_runs,
+           "op13": lambda d: leaks.benchmark_hits(d, items)}[name.split("_")[0]]
     assert run(none).count() == 0
 
 

@@ -61,3 +61,31 @@ def test_no_cross_join_in_customer_measures(spark):
     p = plan(entry.queries()["customer_recency"](spark, SMALL))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
     assert "Subquery" in p
+
+
+def test_orders_are_merged_at_any_size(spark):
+    """A broadcast of the orders is no plan that grows with them; the small tables may still be broadcast."""
+    fact = standins.fact_table(spark, SMALL)
+    assert "SortMergeJoin [l_orderkey" in plan(fact)
+    assert plan(fact).count("SortMergeJoin") == 1
+
+
+@pytest.mark.parametrize("name", ["corr_matrix", "price_linear_metrics", "price_linear_predictions", "clv_target_corr", "tree_importance"])
+def test_results_of_several_passes_join_once(spark, name, monkeypatch):
+    """The fact is read for one stored table, which is gone when the result stands."""
+    from shopscope.plans import queries
+    from shopscope.session import stored
+    import contextlib
+    import os
+    folders = []
+
+    @contextlib.contextmanager
+    def seen(df, tag):
+        with stored(df, tag) as rows:
+            folders.append((tag, rows.inputFiles()[0]))
+            yield rows
+
+    monkeypatch.setattr(queries, "stored", seen)
+    got = QUERIES[name](spark, SMALL)
+    assert "lineitem" not in plan(got) and got.count() > 0
+    assert folders and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for _, f in folders)
