@@ -274,10 +274,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents with every span replaced by its kind in brackets (n_chars, if there, follows)."""
+    """The documents with every span replaced by its kind in brackets (n_chars, if there, follows).
+
+    The spans are found twice, once to count the votes: a table of them would hold every text again."""
     given = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("given"),
                         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    found = staged(with_spans(given), "pii-found")
+    found = with_spans(given)
     out = accepted(found, train(vote_counts(found)))
     text = F.col("text")
 

@@ -425,6 +425,13 @@ def test_redaction(docs):
     assert text[11].endswith("mail [EMAIL] phone [PHONE], card [CARD]") and text[5] is None and text[10] == LONG
 
 
+def test_redaction_stores_no_texts(docs, monkeypatch):
+    """A table of the spans would hold every text again, for as long as the result is read."""
+    tags = []
+    monkeypatch.setattr(pii, "staged", lambda df, tag, **k: tags.append(tag) or common.staged(df, tag, **k))
+    assert pii.redact(docs).count() == docs.count() and not tags
+
+
 # ---------------------------------------------------------------- 6
 
 def check_bins(rows, capacities=packing.CAPACITIES):
