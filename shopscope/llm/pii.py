@@ -175,7 +175,9 @@ def with_spans(rows: DataFrame) -> DataFrame:
 
 def vote_counts(rows: DataFrame) -> list:
     """Number of spans of each (kind, votes): at most 8 * 3**5 rows."""
-    return rows.select(F.inline("candidates")).groupBy("kind", "base", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
+    # an inner generator brings a filter on its array, for which every pattern would run anew
+    spans = rows.select(F.inline_outer("candidates")).where("kind is not null")
+    return spans.groupBy("kind", "base", *LABELERS).agg(F.count(F.lit(1)).alias("n")).collect()
 
 
 def estimate(patterns: list[tuple[tuple[int, ...], float]], rounds: int = 100) -> tuple[float, list[dict], list[float]]:

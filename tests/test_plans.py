@@ -89,3 +89,41 @@ def test_results_of_several_passes_join_once(spark, name, monkeypatch):
     got = QUERIES[name](spark, SMALL)
     assert "lineitem" not in plan(got) and got.count() > 0
     assert folders and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for _, f in folders)
+
+
+def test_linear_coefficients_store_nothing(spark, monkeypatch):
+    """The fit is the only pass over the joined rows."""
+    from shopscope.plans import queries
+
+    def refused(df, tag):
+        raise AssertionError(tag)
+
+    monkeypatch.setattr(queries, "stored", refused)
+    assert QUERIES["price_linear_coefficients"](spark, SMALL).count() == 4
+
+
+@pytest.mark.parametrize("name", ["target_corr", "price_gbt_predictions", "value_classifier_confusion"])
+def test_joined_rows_are_read_once(spark, name, monkeypatch):
+    """One stored table takes the joins; the model's rounds, here a few, don't matter."""
+    from functools import partial
+
+    from shopscope.operators import models
+    from shopscope.plans import queries
+    from shopscope.session import stored
+    tags = []
+    monkeypatch.setattr(queries, "stored", lambda df, tag: tags.append(tag) or stored(df, tag))
+    for fit in ("fit_gbt_regressor", "fit_value_classifier"):
+        monkeypatch.setattr(models, fit, partial(getattr(models, fit), max_iter=1))
+    got = QUERIES[name](spark, SMALL)
+    assert len(tags) == 1 and "lineitem" not in plan(got) and got.count() > 0
+
+
+def test_clv_study_reads_the_input_once(spark, scratch):
+    """Only the first stage reads the given rows: the later ones stand on its table."""
+    from shopscope.operators import study
+    from shopscope.plans import queries
+    rows = queries._clv_rows(spark, SMALL)
+    read = spark.sparkContext.accumulator(0)
+    counted = rows.rdd.map(lambda r: read.add(1) or r).toDF(rows.schema)
+    got = study.clv_study(counted, f"{scratch}/clv-study-once", queries.WINDOWS, "long", list(queries.ROW_KEYS))
+    assert got.count() > 0 and read.value == rows.count()
