@@ -91,18 +91,7 @@ def test_results_of_several_passes_join_once(spark, name, monkeypatch):
     assert folders and not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for _, f in folders)
 
 
-def test_linear_coefficients_store_nothing(spark, monkeypatch):
-    """The fit is the only pass over the joined rows."""
-    from shopscope.plans import queries
-
-    def refused(df, tag):
-        raise AssertionError(tag)
-
-    monkeypatch.setattr(queries, "stored", refused)
-    assert QUERIES["price_linear_coefficients"](spark, SMALL).count() == 4
-
-
-@pytest.mark.parametrize("name", ["target_corr", "price_gbt_predictions", "value_classifier_confusion"])
+@pytest.mark.parametrize("name", ["target_corr", "price_linear_coefficients", "price_gbt_predictions", "value_classifier_confusion"])
 def test_joined_rows_are_read_once(spark, name, monkeypatch):
     """One stored table takes the joins; the model's rounds, here a few, don't matter."""
     from functools import partial
